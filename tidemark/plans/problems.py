@@ -79,3 +79,25 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p2_found, p3_found, p4_found, p4_table, p5_found, p6_found, p7_found)}
+
+_UUID = "regexp_replace(lower({0}), '^(urn:uuid:)?[{{]?([0-9a-f]{{8}})-?([0-9a-f]{{4}})-?([0-9a-f]{{4}})-?([0-9a-f]{{4}})-?([0-9a-f]{{12}})[}}]?$', '\\2-\\3-\\4-\\5-\\6')"
+
+SQL = {
+    "p6_found": """
+        WITH v AS (SELECT repository, span_start AS s, span_end AS e FROM block_parts
+                   WHERE repository IS NOT NULL AND span_end > span_start),
+        m AS (SELECT *, max(e) OVER (PARTITION BY repository ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM v),
+        i AS (SELECT *, sum(CASE WHEN prev IS NULL OR s > prev THEN 1 ELSE 0 END)
+                     OVER (PARTITION BY repository ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS k FROM m),
+        p AS (SELECT repository, k, min(s) AS a, max(e) AS b FROM i GROUP BY repository, k)
+        SELECT repository, 'period' AS stretch_kind, a AS from_s, b AS to_s FROM p
+        UNION ALL
+        SELECT repository, 'gap', b, nxt FROM (SELECT *, lead(a) OVER (PARTITION BY repository ORDER BY a) AS nxt FROM p)
+        WHERE nxt IS NOT NULL""",
+    "p7_found": f"""
+        WITH t AS (SELECT row_id, {_UUID.format('session_id')} AS s, {_UUID.format('rec_uuid')} AS u FROM transcripts),
+        t2 AS (SELECT *, row_number() OVER (PARTITION BY s, u ORDER BY row_id) AS n FROM t WHERE s IS NOT NULL AND u IS NOT NULL),
+        o AS (SELECT row_id, row_number() OVER (PARTITION BY dedupe_key ORDER BY row_id) AS n FROM observations WHERE dedupe_key IS NOT NULL)
+        SELECT 'transcripts' AS src_table, row_id FROM t2 WHERE n > 1
+        UNION ALL SELECT 'observations', row_id FROM o WHERE n > 1""",
+}
