@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tidemark.plans import problems
+from tidemark.plans import attention, problems
 
-QUERIES = {**problems.QUERIES}
-SQL: dict[str, str] = {**problems.SQL}
-FLAGSHIP = "p5_found"
+QUERIES = {**problems.QUERIES, **attention.QUERIES}
+SQL: dict[str, str] = {**problems.SQL, **attention.SQL}
+FLAGSHIP = "report_repositories"
