@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.steps import step
+
 CANONICAL = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d+)?Z$"
 
 _ZONE = r"(?:[ ]?(Z|z|[+-]\d{2}(?::?\d{2})?|[A-Za-z]+(?:/[A-Za-z0-9_+-]+)*))?(?:\[([A-Za-z0-9_+/-]+)\])?"
@@ -93,15 +95,6 @@ def _epoch_us(text: Column) -> Column:
     return sign * us
 
 
-def _step(df: DataFrame, **columns: Column) -> DataFrame:
-    """Adds columns behind a one-row generator, which keeps Catalyst from substituting them into later uses.
-
-    Without it a filter on the result is pushed through every projection and the pattern cascade is
-    repeated at each mention, beyond what one generated method can hold.
-    """
-    return df.select("*", F.inline(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))))
-
-
 def with_instant(df: DataFrame, text: str, zone: str, out: str = "epoch_us") -> DataFrame:
     """``df`` plus ``out``, the microseconds since 1970-01-01 UTC that ``text`` denotes, or null.
 
@@ -110,7 +103,7 @@ def with_instant(df: DataFrame, text: str, zone: str, out: str = "epoch_us") ->
     """
     zones = known_zones(df.sparkSession)
     d = df.withColumn("__t_x", F.trim(F.col(text)))
-    d = _step(d, __t_f=_fields(F.col("__t_x")))
+    d = step(d, __t_f=_fields(F.col("__t_x")))
     get = lambda k: F.col("__t_f")[FIELDS.index(k)]
     num = lambda k: get(k).try_cast("int")
     place_of_name = F.position(F.lower(get("month")), F.lit(_MONTHS))
@@ -119,7 +112,7 @@ def with_instant(df: DataFrame, text: str, zone: str, out: str = "epoch_us") ->
         F.when(get("half") == "", num("hour"))
         .when(num("hour").between(1, 12), num("hour") % 12 + F.when(F.lower(get("half")) == "p", 12).otherwise(0))
     )
-    d = _step(
+    d = step(
         d, __t_y=num("year"), __t_m=month, __t_d=num("day"), __t_h=hour, __t_i=num("minute"), __t_s=num("second"),
         __t_u=_micro(get("fraction")), __t_z=F.when(get("zone") != "", get("zone")).otherwise(get("bracket")),
     )
@@ -145,7 +138,7 @@ def with_instant(df: DataFrame, text: str, zone: str, out: str = "epoch_us") ->
     named = F.coalesce(table[F.concat_ws("|", z, home)], table[F.concat_ws("|", z, region)], table[z])
     offset = F.when(F.upper(z).isin("Z", "UTC", "GMT", "UT"), 0).when(z.rlike(r"^[+-]"), signed).when(z.rlike("^[A-Z]{2,5}$"), named)
     place = F.when(z == "", home).when(z.contains("/"), z)
-    d = _step(d, __t_l=local_us, __t_o=offset, __t_n=place)
+    d = step(d, __t_l=local_us, __t_o=offset, __t_n=place)
     local = F.col("__t_l")
     d = d.withColumn("__t_p", F.expr("CASE WHEN __t_n IN (" + ", ".join(f"'{x}'" for x in zones) + ") THEN __t_n END"))
     in_zone = F.unix_micros(F.to_utc_timestamp(F.timestamp_micros(local), F.col("__t_p")))
@@ -153,7 +146,7 @@ def with_instant(df: DataFrame, text: str, zone: str, out: str = "epoch_us") ->
         F.col("__t_p").isNotNull() & local.isNotNull(), in_zone
     )
     number = F.when(F.col("__t_x").rlike(EPOCH), _epoch_us(F.col("__t_x")))
-    d = _step(d, **{out: F.when(F.col("__t_f").isNotNull(), dated).otherwise(number)})
+    d = step(d, **{out: F.when(F.col("__t_f").isNotNull(), dated).otherwise(number)})
     return d.drop(*[c for c in d.columns if c.startswith("__t_")])
 
 

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tidemark.plans import attention, problems
+from tidemark.plans import attention, ingest, problems
 
-QUERIES = {**problems.QUERIES, **attention.QUERIES}
-SQL: dict[str, str] = {**problems.SQL, **attention.SQL}
+QUERIES = {**problems.QUERIES, **attention.QUERIES, **ingest.QUERIES}
+SQL: dict[str, str] = {**problems.SQL, **attention.SQL, **ingest.SQL}
 FLAGSHIP = "report_repositories"
