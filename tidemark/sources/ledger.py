@@ -54,14 +54,19 @@ class Ledger:
         n_batch = len(self.batches())
         batch = f"{n_batch:08d}-{SCHEMA_VERSION}-{uuid.uuid4().hex[:8]}"
         day = F.date_format(F.timestamp_seconds("instant"), "yyyy-MM-dd")
-        fresh.withColumn("utc_day", F.coalesce(day, F.lit("unknown"))).write.partitionBy("utc_day").parquet(f"{self.root}/batch={batch}")
-        added = self.spark.read.parquet(f"{self.root}/batch={batch}")
+        dated = fresh.withColumn("utc_day", F.coalesce(day, F.lit("unknown")))
+        dated.write.partitionBy("utc_day").parquet(f"{self.root}/batch={batch}")
+        added = self.spark.read.schema(dated.schema).parquet(f"{self.root}/batch={batch}")
+        n = added.count()
+        if not n:
+            self._fs().delete(self._path(f"batch={batch}"), True)
+            return 0
         if known is not None and not added.join(known.select("obs_id"), "obs_id", "left_semi").isEmpty():
             self._fs().delete(self._path(f"batch={batch}"), True)
             raise LedgerError("an observation id is known under another key")
         self._fs().mkdirs(self._path("_batches"))
         self._fs().create(self._path(f"_batches/{batch}"), False).close()
-        return added.count()
+        return n
 
     def between(self, start: int, end: int) -> DataFrame:
         """Observations of ``[start, end)``: days pruned with a day's margin, then tested on the instant.
