@@ -1,0 +1,134 @@
+"""Queries of whole-file facts, cursors, labels and single periods, and their SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.functions import scalars as S
+from tidemark.plans import attention as A
+from tidemark.plans import ingest as I
+from tidemark.plans import params
+from tidemark.plans import report as R
+from tidemark.sources import files, rollouts, transcripts
+from tidemark.sources.events import EVENTS_SQL, events_as_observations
+from tidemark.tables import table
+
+MONTH = params.month("2024-01")
+
+
+def tool_start_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """Family and start time of every tool use of a transcript file; the last line wins."""
+    return transcripts.tool_starts(table(spark, d, "transcripts"))
+
+
+def rollout_file_facts(spark: SparkSession, d: str) -> DataFrame:
+    """Session, repository and workspace of every rollout file."""
+    facts = rollouts.file_facts(rollouts.with_fields(table(spark, d, "rollouts")))
+    return facts.select(F.col("f_file").alias("file_ref"), "file_session", "file_repository", "file_workspace")
+
+
+def rollout_call_starts(spark: SparkSession, d: str) -> DataFrame:
+    """Call reference and family under both spellings of a call."""
+    return rollouts.call_starts(rollouts.with_fields(table(spark, d, "rollouts"))).select(
+        F.col("c_file").alias("file_ref"), F.col("c_key").alias("key"), "tool", F.col("start_family").alias("family")
+    )
+
+
+def latest_lines(spark: SparkSession, d: str) -> DataFrame:
+    """The newest line of every meta file by line id."""
+    lines = table(spark, d, "meta_lines").select(F.col("file_ref").alias("locator"), F.col("line_id").alias("snapshot_id"), "vendor", "line_no")
+    return files.latest(lines)
+
+
+def next_cursors(spark: SparkSession, d: str) -> DataFrame:
+    """Checkpoints after all meta lines up to the middle id and then all others were written."""
+    lines = table(spark, d, "meta_lines").select(F.col("file_ref").alias("locator"), F.col("line_id").alias("snapshot_id"), F.col("line_no").alias("cursor"))
+    early = F.col("snapshot_id") % 2 == 0
+    return files.advance(lines.where(early), lines.where(~early))
+
+
+def repository_labels(spark: SparkSession, d: str) -> DataFrame:
+    """The shortest path suffix of every repository that no other repository shares, as a distributed count of suffixes."""
+    names = table(spark, d, "block_parts").where("repository is not null").select("repository").distinct()
+    parts = F.split("repository", "/")
+    sizes = F.sequence(F.lit(1), F.size(parts))
+    suffixes = names.select("repository", F.explode(F.transform(sizes, lambda n: F.struct(n.alias("n"), F.array_join(F.slice(parts, -n, n), "/").alias("s")))).alias("x"))
+    alone = suffixes.groupBy("x.s").agg(F.count(F.lit(1)).alias("k")).where("k = 1")
+    best = suffixes.select("repository", "x.n", "x.s").join(alone, "s").groupBy("repository").agg(F.min(F.struct("n", "s")).alias("b"))
+    return names.join(best, "repository", "left").select("repository", F.coalesce("b.s", "repository").alias("label"))
+
+
+def repository_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Directory of every repository of block_parts."""
+    return table(spark, d, "block_parts").select("part_id", S.repository_path(F.col("repository")).alias("path"))
+
+
+def report_month(spark: SparkSession, d: str) -> DataFrame:
+    """Repository rows of one month, computed over its own observations."""
+    start, end = MONTH.utc_window(A.OFFSET)
+    return R.repository_rows(R.routed(R.within(events_as_observations(spark, d), start, end)))
+
+
+def report_averages(spark: SparkSession, d: str) -> DataFrame:
+    """Attention per calendar day of a month and per active day."""
+    start, end = MONTH.utc_window(A.OFFSET)
+    rows = R.routed(R.within(events_as_observations(spark, d), start, end))
+    whole = R.totals(rows, A.OFFSET).where("metric = 'attention_union_seconds'").select(F.col("value").alias("total"))
+    days = R.coverage(rows, A.OFFSET).select("active_days").scalar()
+    return whole.select(
+        "total", F.floor(F.col("total") / F.lit(MONTH.days)).cast("bigint").alias("per_day"),
+        F.when(days > 0, F.floor(F.col("total") / days).cast("bigint")).alias("per_active_day"),
+    )
+
+
+def observation_activity(spark: SparkSession, d: str) -> DataFrame:
+    """Observations and prompts per repository and integrity state, null repositories kept apart."""
+    prompt = F.col("event_type") == "dev.cclog.prompt.submitted.v1"
+    return table(spark, d, "observations").groupBy("repository_ref", "integrity_state").agg(
+        F.count(F.lit(1)).alias("observations"), F.count_if(prompt).alias("prompts"), F.count_distinct("subject").alias("subjects")
+    )
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        tool_start_lookup, rollout_file_facts, rollout_call_starts, latest_lines, next_cursors, repository_labels, repository_paths, report_month,
+        report_averages, observation_activity,
+    )
+}
+
+_START, _END = MONTH.utc_window(A.OFFSET)
+_MONTH_SQL = EVENTS_SQL.replace("FROM obs)", f"FROM obs WHERE instant >= {_START} AND instant < {_END})")
+_MAPPED = ", ".join(repr(k) for k in rollouts.MAPPED)
+
+SQL = {
+    "tool_start_lookup": I._TRANSCRIPTS[: I._TRANSCRIPTS.index("res AS (")].rstrip().rstrip(",")
+    + """ SELECT s.file_ref, s.id AS tool_use_id, s.family AS start_family, l.ts_raw AS started_at FROM starts s
+      JOIN (SELECT file_ref, id, arg_max({'t': ts_raw}, (row_id, pos)).t AS ts_raw FROM uses GROUP BY file_ref, id) l USING (file_ref, id)""",
+    "rollout_file_facts": I._ROLLOUTS[: I._ROLLOUTS.index("calls AS (")].rstrip().rstrip(",")
+    + " SELECT file_ref, fs.v AS file_session, place.r AS file_repository, place.w AS file_workspace FROM files",
+    "rollout_call_starts": I._ROLLOUTS[: I._ROLLOUTS.index("begun AS (")].rstrip().rstrip(",") + " SELECT file_ref, k AS key, s.t AS tool, s.f AS family FROM calls",
+    "latest_lines": """SELECT file_ref AS locator, max(line_id) AS snapshot_id, arg_max(vendor, line_id) AS vendor, arg_max(line_no, line_id) AS line_no
+        FROM meta_lines GROUP BY file_ref""",
+    "next_cursors": "SELECT file_ref AS locator, max(line_id) AS snapshot_id, arg_max(line_no, line_id) AS cursor FROM meta_lines GROUP BY file_ref",
+    "repository_labels": """WITH n AS (SELECT DISTINCT repository, string_split(repository, '/') AS p FROM block_parts WHERE repository IS NOT NULL),
+        s AS (SELECT repository, i, array_to_string(p[len(p) - i + 1:], '/') AS s FROM n, unnest(range(1, len(p) + 1)) AS t(i)),
+        a AS (SELECT s FROM s GROUP BY s HAVING count(*) = 1), b AS (SELECT repository, arg_min(s, i) AS label FROM s WHERE s IN (SELECT s FROM a) GROUP BY repository)
+        SELECT n.repository, coalesce(b.label, n.repository) AS label FROM n LEFT JOIN b USING (repository)""",
+    "repository_paths": """SELECT part_id, CASE WHEN regexp_matches(repository, '^[^/]+/[^/]+/[^/]+$') AND NOT regexp_matches(repository, '(^|/)\\.{1,2}(/|$)')
+        THEN '/home/dev/ghq/' || repository END AS path FROM block_parts""",
+    "report_month": A._REPOSITORY.replace(EVENTS_SQL, _MONTH_SQL) + " SELECT * FROM repositories",
+    "report_averages": A._ANCHORS.replace(EVENTS_SQL, _MONTH_SQL) + A._islands("w", "anchors", "", 360, 60, 300)
+    + f""", t AS (SELECT CAST(coalesce(sum(to_s - from_s), 0) AS BIGINT) AS total FROM w),
+      d AS (SELECT count(DISTINCT (instant + {A.OFFSET}) // 86400) AS n_day FROM live)
+      SELECT total, total // {MONTH.days} AS per_day, CASE WHEN n_day > 0 THEN total // n_day END AS per_active_day FROM t, d""",
+    "observation_activity": """SELECT repository_ref, integrity_state, count(*) AS observations,
+        count(*) FILTER (event_type = 'dev.cclog.prompt.submitted.v1') AS prompts, count(DISTINCT subject) AS subjects FROM observations GROUP BY ALL""",
+    "import_outcomes": f"""WITH dr AS ({I._ROLLOUTS}), r AS (SELECT *, CASE WHEN rec_type IN ('event_msg','response_item') THEN rec_type || ':' || coalesce(payload_type, '') ELSE coalesce(rec_type, '') END AS kind FROM rollouts),
+        f AS (SELECT file_ref, arg_min({{'v': coalesce({I._STR('session_id')}, {I._STR('id')})}}, (line_no, row_id)) FILTER (kind = 'session_meta') AS fs FROM r GROUP BY file_ref),
+        o AS (SELECT CASE WHEN r.row_id IN (SELECT row_id FROM dr) THEN 'drafts' WHEN kind NOT IN ({_MAPPED}) THEN 'unmapped_kind'
+            WHEN ts_raw IS NULL OR payload_json IS NULL OR coalesce({I._STR('session_id')}, f.fs.v) IS NULL THEN 'missing_field' ELSE 'skipped' END AS outcome, kind, ts_raw, payload_json FROM r LEFT JOIN f USING (file_ref))
+        SELECT outcome, CASE outcome WHEN 'unmapped_kind' THEN CASE WHEN regexp_matches(kind, '^[A-Za-z0-9_:-]{{1,64}}$') THEN kind END
+            WHEN 'missing_field' THEN CASE WHEN ts_raw IS NULL THEN 'timestamp' WHEN payload_json IS NULL THEN 'payload' ELSE 'session_id' END END AS detail, count(*) AS n FROM o GROUP BY ALL""",
+}

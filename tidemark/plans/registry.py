@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tidemark.plans import attention, ingest, problems
+from tidemark.plans import attention, ingest, lookups, problems
 
-QUERIES = {**problems.QUERIES, **attention.QUERIES, **ingest.QUERIES}
-SQL: dict[str, str] = {**problems.SQL, **attention.SQL, **ingest.SQL}
+QUERIES = {**problems.QUERIES, **attention.QUERIES, **ingest.QUERIES, **lookups.QUERIES}
+SQL: dict[str, str] = {**problems.SQL, **attention.SQL, **ingest.SQL, **lookups.SQL}
 FLAGSHIP = "report_repositories"
