@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidemark.schema import EVENT_FORM
+
 #: Tool names of each vendor and their family.
 CLAUDE_TOOLS = {"Bash": "shell", "Shell": "shell", "Edit": "edit", "Write": "edit", "MultiEdit": "edit", "Read": "read",
                 "Grep": "search", "Glob": "search", "WebFetch": "web", "WebSearch": "web"}
@@ -53,6 +55,11 @@ def session_ref(subject: Column) -> Column:
     return F.nullif(F.regexp_extract(subject, r"^session/([^/]*)", 1), F.lit(""))
 
 
+def short_event(event_type: Column) -> Column:
+    """The short name of a full event type, empty for any other text."""
+    return F.regexp_extract(event_type, EVENT_FORM, 1)
+
+
 def plausible_label(label: Column) -> Column:
     """The label if it is 1 to 64 of ``[A-Za-z0-9_:-]``, else null."""
     return F.when(label.rlike(r"^[A-Za-z0-9_:-]{1,64}$"), label)

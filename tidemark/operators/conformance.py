@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.schema import EVENT_TYPES, event_name
+from tidemark.functions.scalars import short_event
+from tidemark.schema import COMMIT, EVENT_TYPES
 
 #: Patterns that must never occur in an observation.
 LEAKS = {
@@ -41,10 +42,10 @@ def envelope_problems(rows: DataFrame) -> DataFrame:
     """``row_id, problem``: one row for every broken rule of an observation's envelope."""
     rules: dict[str, Column] = {f"{c} is missing": F.col(c).isNull() for c in REQUIRED}
     rules |= {f"{c} is unknown": ~F.col(c).isin(*v) for c, v in ALLOWED.items()}
-    rules["event_type is unknown"] = ~F.col("event_type").isin(*[event_name(x) for x in EVENT_TYPES])
+    rules["event_type is unknown"] = ~short_event(F.col("event_type")).isin(*EVENT_TYPES)
     rules["obs_id is no time-ordered uuid"] = ~F.col("obs_id").rlike(UUID7)
-    rules["source_uri names no device"] = ~F.col("source_uri").rlike(r"^cclog://device/[^/]+/adapter/[^/]+$")
-    commit = F.col("event_type") == event_name("commit.observed")
+    rules["source_uri names no device"] = ~F.col("source_uri").rlike(r"^[a-z]+://device/[^/]+/adapter/[^/]+$")
+    commit = short_event(F.col("event_type")) == COMMIT
     rules["a commit carries no workspace"] = commit & F.col("workspace_ref").isNotNull()
     found = F.array(*[F.when(broken, name) for name, broken in rules.items()])
     return rows.select("row_id", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("problem"))

@@ -10,7 +10,7 @@ from tidemark.functions import timecols as C
 from tidemark.operators.conformance import ALLOWED, LEAKS, REQUIRED, UUID7, envelope_problems, leak_scan
 from tidemark.operators.inventory import inventory
 from tidemark.plans.report import local_day, observed_ranges
-from tidemark.schema import EVENT_TYPES, GAP, event_name
+from tidemark.schema import EVENT_FORM, EVENT_TYPES, GAP
 from tidemark.sources.events import EVENTS_SQL, events_as_observations
 from tidemark.sources.rollouts import line_outcomes, rollout_drafts
 from tidemark.sources.transcripts import session_majority, transcript_drafts
@@ -49,7 +49,7 @@ def subject_scalars(spark: SparkSession, d: str) -> DataFrame:
     """Session and short event name of every observation."""
     return table(spark, d, "observations").select(
         "row_id", S.session_ref(F.col("subject")).alias("session"), S.plausible_label(F.col("source_kind")).alias("label"),
-        F.regexp_extract("event_type", r"^dev\.cclog\.(.+)\.v1$", 1).alias("event_name"),
+        S.short_event(F.col("event_type")).alias("event_name"),
     )
 
 
@@ -92,7 +92,7 @@ def import_accounting(spark: SparkSession, d: str) -> DataFrame:
 def source_ranges(spark: SparkSession, d: str) -> DataFrame:
     """Least and greatest time text of each source kind."""
     obs = table(spark, d, "observations").withColumn("occurred_at", F.col("obs_time"))
-    return observed_ranges(obs.where(F.col("event_type") != event_name(GAP)))
+    return observed_ranges(obs.where(S.short_event(F.col("event_type")) != GAP))
 
 
 def observation_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -218,10 +218,11 @@ FROM j WHERE is_call OR is_output OR (kind IN ('event_msg:user_message','event_m
 
 _RULES = {f"{c} is missing": f"{c} IS NULL" for c in REQUIRED}
 _RULES |= {f"{c} is unknown": f"{c} NOT IN ({', '.join(repr(x) for x in v)})" for c, v in ALLOWED.items()}
-_RULES["event_type is unknown"] = "event_type NOT IN (" + ", ".join(repr(event_name(x)) for x in EVENT_TYPES) + ")"
+_SHORT = f"regexp_extract(event_type, '{EVENT_FORM}', 1)"
+_RULES["event_type is unknown"] = f"{_SHORT} NOT IN (" + ", ".join(repr(x) for x in EVENT_TYPES) + ")"
 _RULES["obs_id is no time-ordered uuid"] = f"NOT regexp_matches(obs_id, '{UUID7}')"
-_RULES["source_uri names no device"] = "NOT regexp_matches(source_uri, '^cclog://device/[^/]+/adapter/[^/]+$')"
-_RULES["a commit carries no workspace"] = "event_type = 'dev.cclog.commit.observed.v1' AND workspace_ref IS NOT NULL"
+_RULES["source_uri names no device"] = "NOT regexp_matches(source_uri, '^[a-z]+://device/[^/]+/adapter/[^/]+$')"
+_RULES["a commit carries no workspace"] = f"{_SHORT} = 'commit.observed' AND workspace_ref IS NOT NULL"
 
 SQL = {
     "rfc3339_fields": f"""SELECT row_id, {_MS} AS millis, CAST(floor(({_MS}) / 1000.0) AS BIGINT) AS secs,
@@ -233,12 +234,12 @@ SQL = {
         {_SHA.format(p='ses', x='session_id')} AS session_ref, {_BUCKET} AS tokens FROM transcripts""",
     "subject_scalars": r"""SELECT row_id, nullif(regexp_extract(subject, '^session/([^/]*)', 1), '') AS session,
         CASE WHEN regexp_matches(source_kind, '^[A-Za-z0-9_:-]{1,64}$') THEN source_kind END AS label,
-        regexp_extract(event_type, '^dev\.cclog\.(.+)\.v1$', 1) AS event_name FROM observations""",
+        regexp_extract(event_type, '^dev\.[a-z]+\.(.+)\.v1$', 1) AS event_name FROM observations""",
     "session_votes": _VOTES,
     "transcript_observations": _TRANSCRIPTS,
     "rollout_events": _ROLLOUTS,
-    "source_ranges": """SELECT source_kind, min(obs_time) AS earliest, max(obs_time) AS latest FROM observations
-        WHERE event_type <> 'dev.cclog.source.gap.v1' GROUP BY source_kind""",
+    "source_ranges": f"""SELECT source_kind, min(obs_time) AS earliest, max(obs_time) AS latest FROM observations
+        WHERE {_SHORT} <> 'source.gap' GROUP BY source_kind""",
     "observation_counts": "SELECT event_type, source_kind, count(*) AS n FROM observations GROUP BY ALL",
     "file_cursors": "SELECT file_ref, count(*) AS n_lines, max(line_no) AS cursor FROM rollouts GROUP BY file_ref",
     "envelope_check": " UNION ALL ".join(f"SELECT row_id, '{k}' AS problem FROM observations WHERE {v}" for k, v in _RULES.items()),

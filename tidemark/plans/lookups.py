@@ -84,7 +84,7 @@ def report_averages(spark: SparkSession, d: str) -> DataFrame:
 
 def observation_activity(spark: SparkSession, d: str) -> DataFrame:
     """Observations and prompts per repository and integrity state, null repositories kept apart."""
-    prompt = F.col("event_type") == "dev.cclog.prompt.submitted.v1"
+    prompt = S.short_event(F.col("event_type")) == "prompt.submitted"
     return table(spark, d, "observations").groupBy("repository_ref", "integrity_state").agg(
         F.count(F.lit(1)).alias("observations"), F.count_if(prompt).alias("prompts"), F.count_distinct("subject").alias("subjects")
     )
@@ -123,8 +123,8 @@ SQL = {
     + f""", t AS (SELECT CAST(coalesce(sum(to_s - from_s), 0) AS BIGINT) AS total FROM w),
       d AS (SELECT count(DISTINCT (instant + {A.OFFSET}) // 86400) AS n_day FROM live)
       SELECT total, total // {MONTH.days} AS per_day, CASE WHEN n_day > 0 THEN total // n_day END AS per_active_day FROM t, d""",
-    "observation_activity": """SELECT repository_ref, integrity_state, count(*) AS observations,
-        count(*) FILTER (event_type = 'dev.cclog.prompt.submitted.v1') AS prompts, count(DISTINCT subject) AS subjects FROM observations GROUP BY ALL""",
+    "observation_activity": f"""SELECT repository_ref, integrity_state, count(*) AS observations,
+        count(*) FILTER ({I._SHORT} = 'prompt.submitted') AS prompts, count(DISTINCT subject) AS subjects FROM observations GROUP BY ALL""",
     "import_outcomes": f"""WITH dr AS ({I._ROLLOUTS}), r AS (SELECT *, CASE WHEN rec_type IN ('event_msg','response_item') THEN rec_type || ':' || coalesce(payload_type, '') ELSE coalesce(rec_type, '') END AS kind FROM rollouts),
         f AS (SELECT file_ref, arg_min({{'v': coalesce({I._STR('session_id')}, {I._STR('id')})}}, (line_no, row_id)) FILTER (kind = 'session_meta') AS fs FROM r GROUP BY file_ref),
         o AS (SELECT CASE WHEN r.row_id IN (SELECT row_id FROM dr) THEN 'drafts' WHEN kind NOT IN ({_MAPPED}) THEN 'unmapped_kind'

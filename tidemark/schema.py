@@ -25,7 +25,5 @@ EVENT_TYPES = (
     "approval.requested", "approval.resolved", "command.finished", "device.active", "source.duplicate",
 )
 
-
-def event_name(short: str) -> str:
-    """The full event type of a short name."""
-    return f"dev.cclog.{short}.v1"
+#: Fixed value: the form of a full event type; the group is its short name.
+EVENT_FORM = r"^dev\.[a-z]+\.(.+)\.v1$"

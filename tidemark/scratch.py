@@ -30,12 +30,22 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Writes and replaces named intermediate tables of one operator call."""
+    """Writes and replaces named intermediate tables of one operator call.
+
+    What a returned frame still reads stays until the application ends.
+    """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/tidemark-{uuid.uuid4().hex}"
         self.version: dict[str, int] = {}
+        self.marked = False
+
+    def _path(self, path: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(path)
+
+    def _fs(self, path: str):
+        return self._path(path).getFileSystem(self.spark._jsc.hadoopConfiguration())
 
     def cut(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` and return it as read from the file; the version before last is deleted."""
@@ -43,15 +53,16 @@ class Scratch:
         self.version[name] = n
         path = f"{self.root}/{name}-{n}"
         df.write.mode("overwrite").parquet(path)
+        if not self.marked:
+            self._fs(self.root).deleteOnExit(self._path(self.root))
+            self.marked = True
         if n > 1:
             self.drop(f"{name}-{n - 1}")
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, leaf: str) -> None:
         """Delete one written table, wherever the folder lives."""
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{leaf}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self._fs(self.root).delete(self._path(f"{self.root}/{leaf}"), True)
 
     def release(self, name: str) -> None:
         """Delete the current version of a table nothing reads any more."""
