@@ -156,11 +156,6 @@ def chain_positions(msgs: DataFrame, scratch: Scratch) -> DataFrame:
     return ranks.where(F.col("up") == ROOT).select("id", F.col("steps").alias("msg_no"))
 
 
-def name_conversations(rows: DataFrame, scratch: Scratch) -> DataFrame:
-    """``id, component`` of all rows linked by a reply, for conversations without an identifier."""
-    return connected_components(rows.where(F.col("up") >= 0).select(F.col("id").alias("u"), F.col("up").alias("v")), scratch)
-
-
 def rebuild_conversations(kept: DataFrame, quotes: DataFrame | None = None) -> DataFrame:
     """``session_id, component, msg_no, id, rec_uuid, role`` of the messages of all good conversations.
 
@@ -174,11 +169,14 @@ def rebuild_conversations(kept: DataFrame, quotes: DataFrame | None = None) -> D
     scratch = Scratch(kept.sparkSession)
     rows = scratch.cut(with_parent_id(message_rows(kept)), "rows")
     msgs = scratch.cut(pass_over(rows, scratch), "msgs")
+    scratch.release("rows")
+    scratch.release("jumps")
     identified, loose = msgs.where(F.col("session").isNotNull()), msgs.where(F.col("session").isNull())
     good = promising_sessions(identified)
     candidates = scratch.cut(
         identified.join(good, "session").unionByName(loose.withColumn("n", F.lit(None).cast("bigint"))), "candidates"
     )
+    scratch.release("msgs")
     links = candidates.where(F.col("up") >= 0).select(F.col("id").alias("u"), F.col("up").alias("v"))
     if quotes is not None:
         links = links.unionByName(quotes.select("u", "v"))
@@ -187,6 +185,8 @@ def rebuild_conversations(kept: DataFrame, quotes: DataFrame | None = None) -> D
         candidates.join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id")),
         "named",
     )
+    scratch.release("edges")
+    scratch.release("candidates")
     # Rows without a session are judged per component, once components are known.
     conversation = F.coalesce("session", F.concat(F.lit("component/"), F.col("component")))
     named = named.withColumn("conversation", conversation)

@@ -58,12 +58,11 @@ def grouped(texts: list[str | None]) -> Iterator[list[str]]:
         yield group
 
 
-def id_lists(texts: list[str | None], path: str) -> Iterator[list[int]]:
-    """Token ids of each text, without special tokens; empty for an empty and for a null text."""
+def id_lists(texts: list[str | None], path: str) -> Iterator[list[list[int]]]:
+    """Token ids of each text by group, without special tokens; empty for an empty and for a null text."""
     tokenizer = load(path)
     for group in grouped(texts):
-        for encoded in tokenizer.encode_batch_fast(group, add_special_tokens=False):
-            yield encoded.ids
+        yield [encoded.ids for encoded in tokenizer.encode_batch_fast(group, add_special_tokens=False)]
 
 
 def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -71,8 +70,11 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = pa.array(list(id_lists(batch.column(1).to_pylist(), path)), pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=[key, "ids"])
+            at = 0
+            for lists in id_lists(batch.column(1).to_pylist(), path):
+                ids = pa.array(lists, pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(lists)), ids], names=[key, "ids"])
+                at += len(lists)
 
     return docs.select(key, text).mapInArrow(run, f"`{key}` bigint, ids array<int>")
 
@@ -82,7 +84,7 @@ def token_counts(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = pa.array([len(x) for x in id_lists(batch.column(1).to_pylist(), path)], pa.int64())
+            n = pa.array([len(x) for lists in id_lists(batch.column(1).to_pylist(), path) for x in lists], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), n], names=[key, "n_tokens"])
 
     return docs.select(key, text).mapInArrow(run, f"`{key}` bigint, n_tokens bigint")
