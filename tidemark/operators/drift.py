@@ -149,11 +149,17 @@ def same_kind(a, b) -> float:
         return 0.0
     values, forms = _alike(a.values_, b.values_), _alike(a.forms, b.forms)
     rare = all(_distinct(x.values_) > 0.5 * x.n for x in (a, b))
-    if values >= COMMON_VALUES or (rare and forms >= COMMON_FORMS):
-        return 1 + values + forms
+    # Few records share few values; a name that only changes its style is evidence enough then.
+    restyled = _bare(a.field_path) == _bare(b.field_path)
+    if values >= COMMON_VALUES or (rare and forms >= COMMON_FORMS) or restyled:
+        return 1 + values + forms + restyled
     return 0.0
 
 
+def _bare(path: str) -> str:
+    return re.sub(r"[^a-z0-9.]", "", path.lower())
+
+
 def _changes(pdf: pd.DataFrame) -> pd.DataFrame:
     """Ordered differences of one vendor: versions by number, renames paired best first."""
     pdf = pdf.rename(columns={"values": "values_"})

@@ -51,10 +51,11 @@ _MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
 _SEP = "\x1f"
 
 
-def known_zones(spark: SparkSession) -> list[str]:
-    """The zone names the JVM can resolve; any other name denotes no zone."""
+def is_known_zone(spark: SparkSession, name: Column) -> Column:
+    """Whether the JVM can resolve a zone name; one folded literal, as a list of 600 would burden every plan rule."""
     jvm = spark._jvm.java
-    return sorted(jvm.lang.String.join(",", jvm.time.ZoneId.getAvailableZoneIds()).split(","))
+    names = jvm.lang.String.join(",", jvm.time.ZoneId.getAvailableZoneIds())
+    return F.array_contains(F.split(F.lit(names), ","), name)
 
 
 def days_from_civil(y: Column, m: Column, d: Column) -> Column:
@@ -98,10 +99,10 @@ def _epoch_us(text: Column) -> Column:
 def with_instant(df: DataFrame, text: str, zone: str, out: str = "epoch_us") -> DataFrame:
     """``df`` plus ``out``, the microseconds since 1970-01-01 UTC that ``text`` denotes, or null.
 
-    ``zone`` is the column of the device's IANA zone. Digits finer than a microsecond are cut off.
+    ``zone`` is the column of the device's zone, a known name or null (:func:`device_zones` sees to that).
+    Digits finer than a microsecond are cut off.
     Helper columns start with ``__t_`` and are removed; other names are untouched.
     """
-    zones = known_zones(df.sparkSession)
     d = df.withColumn("__t_x", F.trim(F.col(text)))
     d = step(d, __t_f=_fields(F.col("__t_x")))
     get = lambda k: F.col("__t_f")[FIELDS.index(k)]
@@ -137,10 +138,9 @@ def with_instant(df: DataFrame, text: str, zone: str, out: str = "epoch_us") ->
     region = F.split(home, "/")[0]
     named = F.coalesce(table[F.concat_ws("|", z, home)], table[F.concat_ws("|", z, region)], table[z])
     offset = F.when(F.upper(z).isin("Z", "UTC", "GMT", "UT"), 0).when(z.rlike(r"^[+-]"), signed).when(z.rlike("^[A-Z]{2,5}$"), named)
-    place = F.when(z == "", home).when(z.contains("/"), z)
-    d = step(d, __t_l=local_us, __t_o=offset, __t_n=place)
+    place = F.when(z == "", home).when(z.contains("/") & is_known_zone(df.sparkSession, z), z)
+    d = step(d, __t_l=local_us, __t_o=offset, __t_p=place)
     local = F.col("__t_l")
-    d = d.withColumn("__t_p", F.expr("CASE WHEN __t_n IN (" + ", ".join(f"'{x}'" for x in zones) + ") THEN __t_n END"))
     in_zone = F.unix_micros(F.to_utc_timestamp(F.timestamp_micros(local), F.col("__t_p")))
     dated = F.when(F.col("__t_o").isNotNull(), local - F.col("__t_o").cast("bigint") * 60_000_000).when(
         F.col("__t_p").isNotNull() & local.isNotNull(), in_zone
@@ -151,8 +151,8 @@ def with_instant(df: DataFrame, text: str, zone: str, out: str = "epoch_us") ->
 
 
 def device_zones(devices: DataFrame) -> DataFrame:
-    """One zone per device: the lowest name where a device is listed twice, blank ones left out."""
-    known = devices.where(F.col("device_ref").isNotNull() & F.col("tz_name").isNotNull())
+    """One zone per device: the lowest name where a device is listed twice; unknown and null names left out."""
+    known = devices.where(F.col("device_ref").isNotNull() & is_known_zone(devices.sparkSession, F.col("tz_name")))
     return known.groupBy(F.col("device_ref").alias("__device")).agg(F.min("tz_name").alias("__zone"))
 
 
