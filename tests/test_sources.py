@@ -1,6 +1,7 @@
 """Files, ledger, live sources and normalisers on hand-made records."""
 
 import json
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,8 +10,8 @@ from tidemark.functions.scalars import CODEX_TOOLS  # noqa: F401
 from tidemark.sources import files as S
 from tidemark.sources.ledger import Ledger, LedgerError, new_rows_only, register_identities, with_display
 from tidemark.sources.live import commit_drafts, hook_drafts, hook_gaps, hook_records, newest_commits, parse_log
-from tidemark.sources.rollouts import inherited_lines, line_outcomes, rollout_drafts, with_fields
-from tidemark.sources.transcripts import session_majority, transcript_drafts
+from tidemark.sources.rollouts import classified_drafts, inherited_lines, line_outcomes, rollout_drafts, with_fields
+from tidemark.sources.transcripts import session_majority, transcript_drafts, transcript_gaps, transcript_outcomes
 from tidemark.streaming.live import live_drafts, live_sessions, spool
 
 
@@ -192,3 +193,45 @@ def test_streaming(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(r.n for r in spark.table("live").collect()) == [1, 2]
+
+
+def test_transcript_gaps(spark):
+    t, c = "2026-07-26T00:00:00Z", "/home/dev/ghq/h/o/r"
+    rows = [
+        (1, "f", "s", "a", "user", None, None, t, "d", c, '"hi"', None), (2, "f", "s", "b", "user", True, None, t, "d", c, '"side"', None),
+        (3, "f", None, None, "user", None, None, None, "d", c, '"x"', None), (4, "f", "s", "e", "assistant", None, None, None, "d", c, "[]", None),
+        (5, "f", "s", None, "user", True, None, t, "d", c, '"x"', None), (6, "f", "s", "g", "summary", None, None, t, "d", c, None, None),
+        (7, "f", None, None, "odd kind", None, None, None, "d", c, None, None), (8, "f", "s", "h", None, None, None, t, "d", c, None, None),
+        (9, "f", "s", "i", "attachment", None, None, t, "d", c, None, None),
+    ]
+    df = transcripts(spark, rows)
+    assert {r.row_id: (r.outcome, r.detail) for r in transcript_outcomes(df).collect()} == {
+        1: ("drafts", None), 2: ("skipped", None), 3: ("missing_field", "sessionId"), 4: ("missing_field", "timestamp"), 5: ("missing_field", "uuid"),
+        6: ("unmapped_kind", "summary"), 7: ("unmapped_kind", None), 8: ("unmapped_kind", None), 9: ("skipped", None),
+    }
+    got = {r.row_id: r for r in transcript_gaps(df.withColumn("acquired_at", F.lit("2026-08-01T00:00:00Z"))).collect()}
+    assert set(got) == {3, 4, 5, 6, 7, 8} and {r.event_type for r in got.values()} == {"source.gap"}
+    assert (got[4].time, got[4].time_basis, got[6].time, got[6].time_basis) == ("2026-08-01T00:00:00Z", "acquired_at", t, "occurred_at")
+    assert (got[6].subject, got[6].dedupe_key, got[6].reason) == ("source/gap/line:6", "claude-code|d|source.gap|f|line:6", "unmapped_kind")
+    bare = {r.row_id: (r.time, r.time_basis) for r in transcript_gaps(df).collect()}
+    received = transcript_gaps(df.withColumn("received_at", F.timestamp_seconds(F.lit(1)))).where("row_id = 4").first()
+    assert (received.time, received.time_basis) == ("1970-01-01T00:00:01Z", "acquired_at")
+    assert bare[4] == (None, "acquired_at") and transcript_gaps(transcripts(spark, [])).count() == 0
+
+
+def test_rollout_gaps(spark):
+    t = "2026-07-26T00:00:00Z"
+    rows = [
+        ("f", 1, "session_meta", t, {"id": "me", "session_id": "s", "subagent_history_start_ordinal": 3}, 1), ("f", 2, "event_msg:token_count", t, {}, 2),
+        ("f", 3, "event_msg:token_count", t, {}, 3), ("f", 4, "event_msg:user_message", None, {}, 4), ("f", 5, "event_msg:user_message", t, "{torn", 5),
+        ("f", 6, "event_msg:task_complete", t, {"turn_id": "x"}, 6), ("f", 7, "event_msg:user_message", t, {"message": "hi"}, 7),
+    ]
+    got = {r.row_id: r for r in classified_drafts(rollouts(spark, rows)).collect()}
+    assert {k: (r.event_type, r.reason, r.detail, r.time_basis) for k, r in got.items()} == {
+        0: ("session.started", None, None, "copied_at"), 1: ("source.gap", "unmapped_kind", "event_msg:token_count", "copied_at"),
+        2: ("source.gap", "unmapped_kind", "event_msg:token_count", "occurred_at"), 3: ("source.gap", "missing_field", "timestamp", "acquired_at"),
+        4: ("source.gap", "parse_error", None, "acquired_at"), 6: ("prompt.submitted", None, None, None),
+    }
+    assert (got[1].subject, got[1].dedupe_key, got[4].time) == ("source/gap/line:2", "codex|dev|source.gap|f|line:2", None)
+    lines = Counter(r.row_id for r in classified_drafts(rollouts(spark, rows)).collect())
+    assert set(lines.values()) == {1}

@@ -12,7 +12,8 @@ from tidemark.operators.inventory import inventory
 from tidemark.plans.report import local_day, observed_ranges
 from tidemark.schema import EVENT_FORM, EVENT_TYPES, GAP
 from tidemark.sources.events import EVENTS_SQL, events_as_observations
-from tidemark.sources.rollouts import line_outcomes, rollout_drafts
+from tidemark.sources import transcripts as T
+from tidemark.sources.rollouts import classified_drafts, line_outcomes, rollout_drafts
 from tidemark.sources.transcripts import session_majority, transcript_drafts
 from tidemark.tables import table
 
@@ -63,14 +64,19 @@ def transcript_observations(spark: SparkSession, d: str) -> DataFrame:
     return transcript_drafts(table(spark, d, "transcripts"))
 
 
+def transcript_gaps(spark: SparkSession, d: str) -> DataFrame:
+    """The gap drafts of the transcript rows."""
+    return T.transcript_gaps(table(spark, d, "transcripts"))
+
+
 def rollout_observations(spark: SparkSession, d: str) -> DataFrame:
-    """All drafts of the rollout lines."""
-    return rollout_drafts(table(spark, d, "rollouts"))
+    """All drafts of the rollout lines, gap drafts among them."""
+    return classified_drafts(table(spark, d, "rollouts"))
 
 
 def rollout_events(spark: SparkSession, d: str) -> DataFrame:
-    """The drafts of the rollout lines without the content identities."""
-    return rollout_observations(spark, d).drop("dedupe_key")
+    """The drafts of the rollout lines without gaps and content identities."""
+    return rollout_drafts(table(spark, d, "rollouts")).drop("dedupe_key")
 
 
 def import_outcomes(spark: SparkSession, d: str) -> DataFrame:
@@ -78,11 +84,15 @@ def import_outcomes(spark: SparkSession, d: str) -> DataFrame:
     return line_outcomes(table(spark, d, "rollouts")).groupBy("outcome", "detail").agg(F.count(F.lit(1)).alias("n"))
 
 
+def transcript_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    """How many transcript rows became drafts, gaps of each reason, or nothing."""
+    return T.transcript_outcomes(table(spark, d, "transcripts")).groupBy("outcome", "detail").agg(F.count(F.lit(1)).alias("n"))
+
+
 def import_accounting(spark: SparkSession, d: str) -> DataFrame:
-    """Per event type: drafts, first deliveries and repeats by dedupe key within the import."""
-    drafts = rollout_observations(spark, d).select("event_type", "dedupe_key").unionByName(
-        transcript_observations(spark, d).select("event_type", "dedupe_key")
-    )
+    """Per event type, gaps included: drafts, first deliveries and repeats by dedupe key within the import."""
+    parts = [q(spark, d).select("event_type", "dedupe_key") for q in (rollout_observations, transcript_observations, transcript_gaps)]
+    drafts = parts[0].unionByName(parts[1]).unionByName(parts[2])
     per_key = drafts.groupBy("event_type", "dedupe_key").agg(F.count(F.lit(1)).alias("n"))
     return per_key.groupBy("event_type").agg(
         F.sum("n").alias("drafts"), F.count(F.lit(1)).alias("created"), (F.sum("n") - F.count(F.lit(1))).alias("already_present")
@@ -123,8 +133,8 @@ def record_inventory(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        rfc3339_fields, local_clock, identity_scalars, subject_scalars, session_votes, transcript_observations, rollout_observations,
-        rollout_events, import_outcomes, import_accounting, source_ranges, observation_counts, file_cursors, envelope_check, leaks,
+        rfc3339_fields, local_clock, identity_scalars, subject_scalars, session_votes, transcript_observations, transcript_gaps,
+        rollout_observations, rollout_events, import_outcomes, transcript_outcomes, import_accounting, source_ranges, observation_counts, file_cursors, envelope_check, leaks,
         record_inventory,
     )
 }

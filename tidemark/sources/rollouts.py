@@ -12,6 +12,7 @@ from tidemark.functions.steps import step
 from tidemark.functions.timecols import duration_ms, epoch_millis
 from tidemark.scratch import Scratch
 from tidemark.schema import PROMPT, RESPONSE, TOOL_FINISHED, TOOL_STARTED
+from tidemark.sources.gaps import gap_drafts
 
 CALLS = ("response_item:function_call", "response_item:custom_tool_call")
 OUTPUTS = ("response_item:function_call_output", "response_item:custom_tool_call_output")
@@ -230,3 +231,23 @@ def line_outcomes(lines: DataFrame) -> DataFrame:
     label = F.when(F.col("kind").rlike("^[A-Za-z0-9_:-]{1,64}$"), F.col("kind"))
     detail = F.when(outcome == "unmapped_kind", label).when(outcome == "missing_field", missing)
     return r.select("row_id", outcome.alias("outcome"), detail.alias("detail"))
+
+
+def rollout_gaps(lines: DataFrame) -> DataFrame:
+    """The gap drafts of the lines ``line_outcomes`` calls a parse error, an unmapped kind or short of a field."""
+    rows = _parsed(lines)
+    outcomes = line_outcomes(rows).withColumnRenamed("row_id", "o_row")
+    copied = inherited_lines(rows).withColumnRenamed("row_id", "h_row")
+    full = rows.join(outcomes, F.col("row_id") == F.col("o_row")).join(copied, F.col("row_id") == F.col("h_row"), "left")
+    return gap_drafts(full, "codex")
+
+
+def classified_drafts(lines: DataFrame, home: str = HOME) -> DataFrame:
+    """The drafts and gap drafts of all lines: each line gives one or the other, or is skipped.
+
+    A line whose payload cannot be read is a gap only. Columns that a kind of draft lacks are null.
+    """
+    rows = _parsed(lines)
+    torn = rows.where(F.col("payload_json").isNotNull() & F.col("payload_text").isNull()).select(F.col("row_id").alias("t_row"))
+    drafts = rollout_drafts(rows, home).join(torn, F.col("row_id") == F.col("t_row"), "left_anti")
+    return drafts.unionByName(rollout_gaps(rows), allowMissingColumns=True)

@@ -8,8 +8,12 @@ from pyspark.sql import functions as F
 from tidemark.functions.scalars import CLAUDE_TOOLS, HOME, count_bucket, dedupe_key, pseudonym, resolve_cwd, tool_family
 from tidemark.functions.timecols import duration_ms
 from tidemark.schema import PROMPT, RESPONSE, TOOL_FINISHED, TOOL_STARTED
+from tidemark.sources.gaps import gap_drafts, kind_detail
 
 _DRAFTS = "array<struct<event_type:string,tool_id:string,family:string,outcome:string,tokens:string>>"
+#: Record types with a case, and the fields a draft needs, by column, in the order they are reported.
+MAPPED = ("user", "assistant", "attachment")
+REQUIRED = {"session_id": "sessionId", "ts_raw": "timestamp", "rec_uuid": "uuid"}
 _ITEMS = "array<struct<type:string,id:string,name:string,tool_use_id:string,is_error:boolean>>"
 
 
@@ -49,19 +53,13 @@ def tool_starts(rows: DataFrame) -> DataFrame:
     )
 
 
-def transcript_drafts(rows: DataFrame, home: str = HOME) -> DataFrame:
-    """One row per draft of every transcript record, in ``row_id, draft_no``.
-
-    A user record holding a tool result is a finished tool, also on a sidechain; other sidechain and
-    meta records, and records without session, time or identity, give none. An assistant record is a
-    response and one started tool per tool use. Records of other types give none.
-    """
+def _with_drafts(rows: DataFrame, home: str = HOME) -> DataFrame:
+    """``rows`` plus their directory, first result and ``drafts``: null where a record gives none."""
     repository, workspace = resolve_cwd(F.col("cwd"), home)
     items = content_items(F.col("content_json"))
     results = F.filter(items, lambda x: x["type"] == "tool_result")
     uses = F.filter(items, lambda x: (x["type"] == "tool_use") & x["id"].isNotNull())
-    base = rows.where(F.col("session_id").isNotNull() & F.col("ts_raw").isNotNull() & F.col("rec_uuid").isNotNull())
-    base = base.withColumns({"results": results, "uses": uses, "own_repository": repository, "own_workspace": workspace})
+    base = rows.withColumns({"results": results, "uses": uses, "own_repository": repository, "own_workspace": workspace})
     base = base.withColumn("result_id", F.get("results", F.lit(0))["tool_use_id"])
     error = F.get(F.filter("results", lambda x: x["is_error"].isNotNull()), F.lit(0))["is_error"]
     has_result = F.size("results") > 0
@@ -80,7 +78,24 @@ def transcript_drafts(rows: DataFrame, home: str = HOME) -> DataFrame:
         F.when(is_user & has_result, F.array(finished)).when(is_user & plain, F.array(prompt))
         .when(is_reply, F.concat(F.array(response), F.coalesce(started, F.array().cast(_DRAFTS))))
     )
-    out = base.select("*", F.posexplode(drafts).alias("draft_no", "draft")).select("*", "draft.*")
+    return base.withColumn("drafts", F.when(_missing().isNull(), drafts))
+
+
+def _missing() -> Column:
+    """The first required field a record lacks, else null."""
+    return F.coalesce(*[F.when(F.col(c).isNull(), name) for c, name in REQUIRED.items()])
+
+
+def transcript_drafts(rows: DataFrame, home: str = HOME) -> DataFrame:
+    """One row per draft of every transcript record, in ``row_id, draft_no``.
+
+    A user record holding a tool result is a finished tool, also on a sidechain; other sidechain and
+    meta records, and records without session, time or identity, give none. An assistant record is a
+    response and one started tool per tool use. Records of other types give none. What becomes of those
+    records is said by ``transcript_outcomes`` and ``transcript_gaps``.
+    """
+    base = _with_drafts(rows, home)
+    out = base.select("*", F.posexplode("drafts").alias("draft_no", "draft")).select("*", "draft.*")
     starts = tool_starts(rows).select(F.col("file_ref").alias("s_file"), F.col("tool_use_id").alias("s_tool"), "start_family", "started_at")
     out = out.join(starts, (F.col("file_ref") == F.col("s_file")) & (F.col("result_id") == F.col("s_tool")), "left")
     votes = session_majority(rows, home).select(F.col("file_ref").alias("v_file"), F.col("session_id").alias("v_session"), "vote_repository", "vote_workspace")
@@ -102,3 +117,25 @@ def transcript_drafts(rows: DataFrame, home: str = HOME) -> DataFrame:
         F.col("tokens").alias("response_tokens"),
         dedupe_key(F.lit("claude-code"), F.col("device_ref"), session, F.col("event_type"), scope).alias("dedupe_key"),
     )
+
+
+def _outcome() -> tuple[Column, Column]:
+    """(outcome, detail) of a record with its drafts."""
+    kind, missing = F.coalesce("rec_type", F.lit("")), _missing()
+    outcome = (
+        F.when(F.col("drafts").isNotNull(), "drafts").when(~kind.isin(*MAPPED), "unmapped_kind")
+        .when(missing.isNotNull(), "missing_field").otherwise("skipped")
+    )
+    return outcome, F.when(outcome == "unmapped_kind", kind_detail(kind)).when(outcome == "missing_field", missing)
+
+
+def transcript_outcomes(rows: DataFrame) -> DataFrame:
+    """``row_id, outcome, detail`` of every record: drafts, or the first of unmapped_kind, missing_field and skipped."""
+    outcome, detail = _outcome()
+    return _with_drafts(rows).select("row_id", outcome.alias("outcome"), detail.alias("detail"))
+
+
+def transcript_gaps(rows: DataFrame) -> DataFrame:
+    """The gap drafts of the records that give no draft although they should; of skipped ones none."""
+    outcome, detail = _outcome()
+    return gap_drafts(_with_drafts(rows).withColumns({"outcome": outcome, "detail": detail}), "claude-code")
