@@ -235,3 +235,25 @@ def test_rollout_gaps(spark):
     assert (got[1].subject, got[1].dedupe_key, got[4].time) == ("source/gap/line:2", "codex|dev|source.gap|f|line:2", None)
     lines = Counter(r.row_id for r in classified_drafts(rollouts(spark, rows)).collect())
     assert set(lines.values()) == {1}
+
+
+def test_transcript_optional_fields(spark):
+    t, c = "2026-07-26T00:00:00Z", "/home/dev/ghq/h/o/r"
+    start, other = '{"type": "hook_success", "hookEvent": "SessionStart"}', '{"type": "hook_success", "hookEvent": "Stop"}'
+    block = '[{"type": "tool_result", "tool_use_id": "u"%s}]'
+    fields = [
+        ("attachment", None, None, None, None, start), ("attachment", None, None, None, None, other), ("attachment", None, None, None, None, "{torn"),
+        ("assistant", "[]", True, None, None, None), ("assistant", "[]", None, '"rate"', None, None), ("assistant", "[]", False, "null", None, None),
+        ("user", block % "", None, None, '{"exit_code": 0}', None), ("user", block % "", None, None, '{"exit_code": 2}', None),
+        ("user", block % ', "is_error": false', None, None, '{"exit_code": 2}', None), ("user", '"x"', None, None, '"done"', None), ("user", '"x"', None, None, "null", None),
+    ]
+    schema = "row_id bigint, file_ref string, session_id string, rec_uuid string, rec_type string, is_sidechain boolean, is_meta boolean, ts_raw string, device_ref string, cwd string, content_json string, output_tokens bigint, is_api_error boolean, error_json string, tool_result_json string, attachment_json string"
+    df = spark.createDataFrame([(i, "f", "s", f"u{i}", k, None, None, t, "d", c, x, None, *more) for i, (k, x, *more) in enumerate(fields)], schema)
+    got = {r.row_id: r for r in transcript_drafts(df).collect()}
+    assert {k: (r.event_type, r.outcome) for k, r in got.items()} == {
+        0: ("session.started", None), 3: ("response.completed", "failed"), 4: ("response.completed", "failed"), 5: ("response.completed", "succeeded"),
+        6: ("tool.finished", "succeeded"), 7: ("tool.finished", "failed"), 8: ("tool.finished", "succeeded"), 9: ("tool.finished", "unknown"), 10: ("prompt.submitted", None),
+    }
+    assert (got[0].session_kind, got[3].session_kind, got[9].tool_family) == ("interactive", None, "other")
+    assert got[0].dedupe_key.endswith("|session.started|u0") and got[9].dedupe_key.endswith("|tool.finished|u9")
+    assert {r.row_id: r.outcome for r in transcript_outcomes(df).collect()}[1] == "skipped"

@@ -13,6 +13,7 @@ LADDER = (600, 900, 1200, 1800, 3600)
 LINE = 100
 
 PROMPT, RESPONSE = "prompt.submitted", "response.completed"
+SESSION_STARTED = "session.started"
 TOOL_STARTED, TOOL_FINISHED = "tool.started", "tool.finished"
 COMMIT, GAP = "commit.observed", "source.gap"
 #: Time bases that say when a thing happened (absent counts too).
@@ -21,7 +22,7 @@ LIVE_BASES = ("occurred_at", "received_at")
 DENIED_ORIGINS = ("subagent", "scheduled")
 FAMILIES = ("shell", "edit", "read", "search", "web", "mcp", "other")
 EVENT_TYPES = (
-    "session.started", "session.ended", PROMPT, RESPONSE, TOOL_STARTED, TOOL_FINISHED, "turn.completed", COMMIT, GAP,
+    SESSION_STARTED, "session.ended", PROMPT, RESPONSE, TOOL_STARTED, TOOL_FINISHED, "turn.completed", COMMIT, GAP,
     "approval.requested", "approval.resolved", "command.finished", "device.active", "source.duplicate",
 )
 

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalars import CLAUDE_TOOLS, HOME, count_bucket, dedupe_key, pseudonym, resolve_cwd, tool_family
+from tidemark.functions.scalars import (
+    CLAUDE_TOOLS, HOME, count_bucket, dedupe_key, pseudonym, resolve_cwd, tool_family, variant_integer, variant_string,
+)
 from tidemark.functions.timecols import duration_ms
-from tidemark.schema import PROMPT, RESPONSE, TOOL_FINISHED, TOOL_STARTED
+from tidemark.schema import PROMPT, RESPONSE, SESSION_STARTED, TOOL_FINISHED, TOOL_STARTED
 from tidemark.sources.gaps import gap_drafts, kind_detail
 
 _DRAFTS = "array<struct<event_type:string,tool_id:string,family:string,outcome:string,tokens:string>>"
@@ -53,6 +55,16 @@ def tool_starts(rows: DataFrame) -> DataFrame:
     )
 
 
+def _optional(rows: DataFrame, name: str, kind: str = "string") -> Column:
+    """A column the table may lack, null then."""
+    return F.col(name).cast(kind) if name in rows.columns else F.lit(None).cast(kind)
+
+
+def _holds(json: Column) -> Column:
+    """Whether a field's JSON text is there and not null."""
+    return F.coalesce(F.trim(json) != "null", F.lit(False))
+
+
 def _with_drafts(rows: DataFrame, home: str = HOME) -> DataFrame:
     """``rows`` plus their directory, first result and ``drafts``: null where a record gives none."""
     repository, workspace = resolve_cwd(F.col("cwd"), home)
@@ -62,7 +74,12 @@ def _with_drafts(rows: DataFrame, home: str = HOME) -> DataFrame:
     base = rows.withColumns({"results": results, "uses": uses, "own_repository": repository, "own_workspace": workspace})
     base = base.withColumn("result_id", F.get("results", F.lit(0))["tool_use_id"])
     error = F.get(F.filter("results", lambda x: x["is_error"].isNotNull()), F.lit(0))["is_error"]
-    has_result = F.size("results") > 0
+    tool_result = _optional(rows, "tool_result_json")
+    has_result = F.coalesce(F.size("results") > 0, F.lit(False)) | _holds(tool_result)
+    exit_code = variant_integer(F.try_parse_json(tool_result), "$.exit_code")
+    api_error = F.coalesce(_optional(rows, "is_api_error", "boolean"), F.lit(False)) | _holds(_optional(rows, "error_json"))
+    attachment = F.try_parse_json(_optional(rows, "attachment_json"))
+    session_start = (variant_string(attachment, "$.type") == "hook_success") & (variant_string(attachment, "$.hookEvent") == "SessionStart")
     is_user, is_reply = F.col("rec_type") == "user", F.col("rec_type") == "assistant"
     plain = ~F.coalesce("is_sidechain", F.lit(False)) & ~F.coalesce("is_meta", F.lit(False))
     null = F.lit(None).cast("string")
@@ -70,13 +87,15 @@ def _with_drafts(rows: DataFrame, home: str = HOME) -> DataFrame:
     def draft(event: str, tool: Column, family: Column, outcome: Column, tokens: Column) -> Column:
         return F.struct(F.lit(event).alias("event_type"), tool.alias("tool_id"), family.alias("family"), outcome.alias("outcome"), tokens.alias("tokens"))
 
-    finished = draft(TOOL_FINISHED, F.col("result_id"), null, F.when(error, "failed").when(~error, "succeeded").otherwise("unknown"), null)
+    judged = F.when(error, "failed").when(~error, "succeeded").when(exit_code == 0, "succeeded").when(exit_code.isNotNull(), "failed").otherwise("unknown")
+    finished = draft(TOOL_FINISHED, F.col("result_id"), null, judged, null)
     prompt = draft(PROMPT, null, null, null, null)
-    response = draft(RESPONSE, null, null, F.lit("succeeded"), count_bucket(F.col("output_tokens")))
+    response = draft(RESPONSE, null, null, F.when(api_error, "failed").otherwise("succeeded"), count_bucket(F.col("output_tokens")))
     started = F.transform("uses", lambda x: draft(TOOL_STARTED, x["id"], tool_family(x["name"], CLAUDE_TOOLS), null, null))
     drafts = (
         F.when(is_user & has_result, F.array(finished)).when(is_user & plain, F.array(prompt))
         .when(is_reply, F.concat(F.array(response), F.coalesce(started, F.array().cast(_DRAFTS))))
+        .when((F.col("rec_type") == "attachment") & session_start, F.array(draft(SESSION_STARTED, null, null, null, null)))
     )
     return base.withColumn("drafts", F.when(_missing().isNull(), drafts))
 
@@ -91,7 +110,11 @@ def transcript_drafts(rows: DataFrame, home: str = HOME) -> DataFrame:
 
     A user record holding a tool result is a finished tool, also on a sidechain; other sidechain and
     meta records, and records without session, time or identity, give none. An assistant record is a
-    response and one started tool per tool use. Records of other types give none. What becomes of those
+    response and one started tool per tool use. Records of other types give none. Optional columns hold what
+    else a raw record may say: ``is_api_error`` and ``error_json`` (isApiErrorMessage and error: a failed response),
+    ``tool_result_json`` (toolUseResult: a finished tool even without a result block, judged by its exit_code where
+    no block says is_error) and ``attachment_json`` (attachment: one of a SessionStart hook is a started session; the
+    result then has ``session_kind``). What becomes of those
     records is said by ``transcript_outcomes`` and ``transcript_gaps``.
     """
     base = _with_drafts(rows, home)
@@ -105,6 +128,7 @@ def transcript_drafts(rows: DataFrame, home: str = HOME) -> DataFrame:
     session, tool = pseudonym("ses", F.col("session_id")), pseudonym("tol", F.col("tool_id"))
     scope = F.coalesce(tool, F.col("rec_uuid"))
     finished_row = F.col("event_type") == TOOL_FINISHED
+    session_kind = [F.when(F.col("event_type") == SESSION_STARTED, "interactive").alias("session_kind")] if "attachment_json" in rows.columns else []
     return out.select(
         "row_id", "draft_no", "event_type",
         F.concat(F.lit("session/"), session, F.coalesce(F.concat(F.lit("/tool/"), tool), F.lit(""))).alias("subject"),
@@ -115,6 +139,7 @@ def transcript_drafts(rows: DataFrame, home: str = HOME) -> DataFrame:
         "outcome",
         F.when(finished_row, duration_ms(F.col("started_at"), F.col("ts_raw"))).alias("duration_ms"),
         F.col("tokens").alias("response_tokens"),
+        *session_kind,
         dedupe_key(F.lit("claude-code"), F.col("device_ref"), session, F.col("event_type"), scope).alias("dedupe_key"),
     )
 
