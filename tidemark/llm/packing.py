@@ -1,8 +1,8 @@
 """Items of varying length packed into containers of fixed capacity.
 
-Documents are routed to tiers of context sizes and the tiers are packed from the longest
-window down: a tier's items first fill the gaps left in windows already open, tightest gap
-first, and only the rest opens new windows. What the driver plans with is the histogram of
+Lengths are placed from the longest down (best-fit decreasing): items first fill the gaps left
+in containers already open, tightest gap first, and only the rest opens new containers of the full
+capacity. Tiers of context sizes only label a piece; they have no windows of their own. What the driver plans with is the histogram of
 lengths, at most one number per length up to the capacity whatever the corpus size, so the
 plan sees every item and no group of items is gathered. Items find their place by their
 rank among items of equal length; ranks come from bucket offsets. Container numbers are
@@ -98,7 +98,7 @@ class Plan:
 
 
 def plan_tiers(histogram: dict[int, int], capacity: int = CAPACITY, tiers: tuple[int, ...] = TIERS) -> Plan:
-    """The plan of a histogram of lengths, tier by tier from the longest window down."""
+    """The plan of a histogram of lengths, from the longest length down; the same for any tiers that end at the capacity."""
     plan = Plan(capacity)
     bounds = [0, *tiers]
     for low, high in reversed(list(zip(bounds, bounds[1:], strict=False))):
