@@ -1,5 +1,6 @@
 """The general problems against brute force, on the smallest tables and on hand-made edge rows."""
 
+import json
 import random
 import re
 
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tests import brute as B
 from tidemark.operators.activity import activity_sessions
-from tidemark.operators.blocks import block_table
+from tidemark.operators.blocks import block_table, json_text, read_deep, read_json
 from tidemark.operators.copies import deduplicate, duplicate_rows, kept_rows, transcript_key
 from tidemark.operators.drift import field_profiles, promote, schema_changes, union_schema, unified_table
 from tidemark.operators.instants import CANONICAL, normalise_instants
@@ -194,3 +195,19 @@ def test_all_changes_of_the_data(spark, data):
     got = P.p4_found(spark, data.replace("sf0.001", "sf0.01"))
     kinds = {(r.field_path, r.new_path) for r in got.where("change_kind = 'renamed'").collect()}
     assert ("sessionId", "session_id") in kinds and ("originator", "client_name") in kinds
+
+
+def test_content_deeper_than_the_json_library(spark):
+    n, top = 20_000, '[{"type": "text", "text": "x"}, {"type": "tool_result", "tool_use_id": "u", "content": '
+    deep = top + '[{"type": "b", "content": ' * n + "[]" + "}]" * n + "}]"
+    with pytest.raises(RecursionError):
+        json.loads(deep)
+    assert [b.get("type") for b in read_json(deep)] == ["text", "tool_result"]
+    plain = '{"b": [1, {"d": "\u00e9", "c": []}], "a": {}}'
+    assert read_deep(plain) == json.loads(plain) and json_text(read_deep("[" * n + plain + "]" * n), ensure_ascii=False) == "[" * n + plain + "]" * n
+    for bad in ("[1,]", "[1 2]", '{"a"}', "{1: 2}", "[1}", "[] []", "", "[NaN]", "[" * n):
+        with pytest.raises(ValueError):
+            read_deep(bad)
+    rows = spark.createDataFrame([(1, "s", top + '[{"type": "b", "content": ' * 6_000 + "[]" + "}]" * 6_000 + "}]")], "row_id bigint, session_id string, content_json string")
+    kinds = {r.block_path: r.block_type for r in block_table(rows, "row_id", "session_id", "content_json").where("length(block_path) < 4").collect()}
+    assert kinds == {"0": "text", "1": "tool_result", "1.0": "b"}

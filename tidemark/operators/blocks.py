@@ -9,6 +9,7 @@ scalar children by grouping on the owning node, which pivots labels into columns
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
@@ -22,16 +23,99 @@ def _no_constant(name: str) -> None:
     raise ValueError(name)
 
 
+_SPACE = re.compile(r"[ \t\n\r]*")
+_SCALAR = json.JSONDecoder(parse_constant=_no_constant)
+
+
+def read_deep(text: str):
+    """The value of a JSON text of any depth, by an explicit stack; ``ValueError`` for any other text.
+
+    Only strings, numbers and literals are left to the library, which never nests for them.
+    """
+    skip = lambda i: _SPACE.match(text, i).end()
+    open_: list[tuple[list | dict, str | None]] = []
+
+    def key_at(i: int) -> tuple[str, int]:
+        if text[i : i + 1] != '"':
+            raise ValueError("a name is expected")
+        key, i = _SCALAR.raw_decode(text, i)
+        i = skip(i)
+        if text[i : i + 1] != ":":
+            raise ValueError("a colon is expected")
+        return key, skip(i + 1)
+
+    at = skip(0)
+    while True:
+        c = text[at : at + 1]
+        if c in ("[", "{"):
+            value = [] if c == "[" else {}
+            at = skip(at + 1)
+            if text[at : at + 1] != ("]" if c == "[" else "}"):
+                key, at = (None, at) if c == "[" else key_at(at)
+                open_.append((value, key))
+                continue
+            at += 1
+        else:
+            value, at = _SCALAR.raw_decode(text, at)
+        while open_:  # the value is complete: it goes into what holds it, which may end as well
+            holder, key = open_.pop()
+            if isinstance(holder, list):
+                holder.append(value)
+            else:
+                holder[key] = value
+            at = skip(at)
+            c = text[at : at + 1]
+            if c == ",":
+                at = skip(at + 1)
+                key, at = (None, at) if isinstance(holder, list) else key_at(at)
+                open_.append((holder, key))
+                break
+            if c != ("]" if isinstance(holder, list) else "}"):
+                raise ValueError("a comma or an end is expected")
+            value, at = holder, at + 1
+        else:
+            if skip(at) != len(text):
+                raise ValueError("more than one value")
+            return value
+
+
 def read_json(text: str | None):
-    """The value of a JSON text; ``None`` for null, unreadable or too deep texts."""
+    """The value of a JSON text; ``None`` for null and unreadable texts."""
     if text is None:
         return None
     try:
         return json.loads(text, parse_constant=_no_constant)
-    except (ValueError, RecursionError):
+    except RecursionError:
+        try:
+            return read_deep(text)
+        except ValueError:
+            return None
+    except ValueError:
         return None
 
 
+def json_text(value, **options) -> str:
+    """The JSON text of a value of any depth, as ``json.dumps`` writes it."""
+    try:
+        return json.dumps(value, **options)
+    except RecursionError:
+        pass
+    out: list[str] = []
+    todo: list[tuple[bool, object]] = [(False, value)]
+    while todo:
+        is_text, x = todo.pop()
+        if is_text or not (x and isinstance(x, (list, dict))):
+            out.append(x if is_text else json.dumps(x, **options))
+        elif isinstance(x, list):
+            parts = [p for v in x for p in ((True, ", "), (False, v))][1:]
+            todo += [(True, "]"), *reversed(parts), (True, "[")]
+        else:
+            items = sorted(x.items()) if options.get("sort_keys") else x.items()
+            parts = [p for k, v in items for p in ((True, ", "), (True, json.dumps(k, **options) + ": "), (False, v))][1:]
+            todo += [(True, "}"), *reversed(parts), (True, "{")]
+    return "".join(out)
+
+
 def blocks_of(value) -> list:
     """Content as a list of positions: block objects, and ``None`` where a position holds none."""
     if isinstance(value, str):
@@ -101,7 +185,7 @@ def adjacency(df: DataFrame, ids: Sequence[str], content: str, labels: Sequence[
                             continue
                         if k == "content" and wanted is None:
                             continue
-                        shown = v if isinstance(v, str) else json.dumps(v, ensure_ascii=False)
+                        shown = v if isinstance(v, str) else json_text(v, ensure_ascii=False)
                         put(row, path, path, utf8(k), None, "scalar", utf8(shown))
             take = pa.array(at, pa.int64())
             kinds = (pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.string())

@@ -10,7 +10,6 @@ compared field by field, and records are cast to the union schema.
 from __future__ import annotations
 
 import hashlib
-import json
 import re
 from collections.abc import Iterator
 
@@ -20,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.blocks import read_json, utf8
+from tidemark.operators.blocks import json_text, read_json, utf8
 
 #: Where each vendor keeps its record and its version.
 RECORD = {"codex": ("payload", "cli_version"), "claude-code": (None, "version")}
@@ -84,7 +83,7 @@ def _h64(text: str) -> int:
 
 
 def _form(value) -> str:
-    text = value if isinstance(value, str) else json.dumps(value)
+    text = value if isinstance(value, str) else json_text(value)
     return re.sub(r"[0-9A-Za-z]+", "", text)[:40] + f"#{len(text)}"
 
 
@@ -117,7 +116,7 @@ def field_profiles(lines: DataFrame) -> DataFrame:
                         continue
                     known = seen.setdefault((vendor, version, utf8(path), json_type(value)), [0, set(), set()])
                     known[0] += 1
-                    known[1].add(_h64(value if isinstance(value, str) else json.dumps(value, sort_keys=True)))
+                    known[1].add(_h64(value if isinstance(value, str) else json_text(value, sort_keys=True)))
                     known[2].add(_h64(_form(value)))
             keys = list(zip(*seen, strict=True)) or [()] * 4
             yield pa.RecordBatch.from_arrays(
@@ -230,7 +229,7 @@ def unified_table(lines: DataFrame, fields: list[tuple[str, str]]) -> DataFrame:
             return bool(value)
         if kind == "double":
             return float(value)
-        return utf8(value if isinstance(value, str) else json.dumps(value, ensure_ascii=False))
+        return utf8(value if isinstance(value, str) else json_text(value, ensure_ascii=False))
 
     def conform(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
