@@ -12,7 +12,7 @@ from tests import brute as B
 from tidemark.operators.activity import activity_sessions
 from tidemark.operators.blocks import block_table, json_text, read_deep, read_json
 from tidemark.operators.copies import deduplicate, duplicate_rows, kept_rows, transcript_key
-from tidemark.operators.drift import field_profiles, promote, schema_changes, union_schema, unified_table
+from tidemark.operators.drift import _form, field_profiles, promote, schema_changes, union_schema, unified_table
 from tidemark.operators.instants import CANONICAL, normalise_instants
 from tidemark.operators.periods import periods_and_gaps
 from tidemark.plans import problems as P
@@ -211,3 +211,16 @@ def test_content_deeper_than_the_json_library(spark):
     rows = spark.createDataFrame([(1, "s", top + '[{"type": "b", "content": ' * 6_000 + "[]" + "}]" * 6_000 + "}]")], "row_id bigint, session_id string, content_json string")
     kinds = {r.block_path: r.block_type for r in block_table(rows, "row_id", "session_id", "content_json").where("length(block_path) < 4").collect()}
     assert kinds == {"0": "text", "1": "tool_result", "1.0": "b"}
+
+
+def test_renames_between_sides_of_unlike_size(spark):
+    def line(version, **fields):
+        return ("claude-code", json.dumps({"version": version, **fields}))
+
+    word = lambda i: "".join(chr(97 + i * k % 26) for k in (3, 5, 7)) * (1 + i % 9)
+    lines = [line("1.0.0", place=word(i % 200), code=f"k-{i % 300:06d}") for i in range(3_000)]
+    lines += [line("2.0.0", site=word(i % 200), label=f"z-{i + 900:06d}") for i in range(30)]
+    df = spark.createDataFrame(lines, "vendor string, body string")
+    got = {(r.field_path, r.change_kind, r.new_path) for r in schema_changes(field_profiles(df)).collect()}
+    assert got == {("place", "renamed", "site"), ("code", "renamed", "label")}
+    assert _form("-" * 41 + "..") != _form("-" * 41 + "==")

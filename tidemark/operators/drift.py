@@ -28,7 +28,9 @@ TYPES = ("boolean", "number", "string", "array")
 SIGNATURE = 48
 #: Values are of one kind when this share of their distinct values is common ...
 COMMON_VALUES = 0.2
-#: ... or, for fields that rarely repeat a value, this share of their forms.
+#: ... or this share of the distinct values of the side that has fewer ...
+COMMON_CONTAINED = 0.5
+#: ... or, if either field rarely repeats a value, this share of their forms.
 COMMON_FORMS = 0.5
 
 _MULTIPLY = np.random.default_rng(20).integers(1, 2**61, SIGNATURE, dtype=np.uint64) | np.uint64(1)
@@ -84,7 +86,7 @@ def _h64(text: str) -> int:
 
 def _form(value) -> str:
     text = value if isinstance(value, str) else json_text(value)
-    return re.sub(r"[0-9A-Za-z]+", "", text)[:40] + f"#{len(text)}"
+    return re.sub(r"[0-9A-Za-z]+", "", text) + f"#{len(text)}"
 
 
 def _signature(hashes: set[int]) -> list[int]:
@@ -142,16 +144,24 @@ def _distinct(signature: list[int]) -> float:
     return len(signature) / max(share, 1e-12) - 1
 
 
+def _contained(a: list[int], b: list[int]) -> float:
+    """Estimated share of the smaller set's members that the other set has too."""
+    alike, sizes = _alike(a, b), [max(_distinct(x), 1.0) for x in (a, b)]
+    return min(1.0, alike / (1 + alike) * sum(sizes) / min(sizes))
+
+
 def same_kind(a, b) -> float:
     """0 unless two field profiles hold the same kind of values, else how alike they are."""
     if a.json_type != b.json_type:
         return 0.0
     values, forms = _alike(a.values_, b.values_), _alike(a.forms, b.forms)
-    rare = all(_distinct(x.values_) > 0.5 * x.n for x in (a, b))
+    # A set of few values, all of them in one of many, has a small common share: it is measured on its own size.
+    contained = _contained(a.values_, b.values_)
+    rare = any(_distinct(x.values_) > 0.5 * x.n for x in (a, b))
     # Few records share few values; a name that only changes its style is evidence enough then.
     restyled = _bare(a.field_path) == _bare(b.field_path)
-    if values >= COMMON_VALUES or (rare and forms >= COMMON_FORMS) or restyled:
-        return 1 + values + forms + restyled
+    if values >= COMMON_VALUES or contained >= COMMON_CONTAINED or (rare and forms >= COMMON_FORMS) or restyled:
+        return 1 + max(values, contained) + forms + restyled
     return 0.0
 
 
