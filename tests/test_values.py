@@ -133,3 +133,13 @@ def test_inventory(spark):
     df = spark.createDataFrame([("a", '{"uuid": "1", "t": "2"}'), ("a", '{"uuid": "2", "x": null, "t": "1"}'), ("b", '{"t": "9"}'), ("b", "torn"), (None, None)], "k string, body string")
     got = {r.kind: r for r in inventory(df, "k", "body", ("uuid", "t"), "t").collect()}
     assert (got["a"].n, got["a"].fields, got["a"].stable_id, got["a"].first_time) == (2, "t,uuid,x", "uuid", "1") and got["b"].stable_id == "t" and got[None].n == 2
+
+
+def test_leaks_of_every_string(spark):
+    from tidemark.operators.conformance import leak_scan_fields
+
+    schema = "row_id bigint, subject string, data struct<a:string,b:array<struct<c:string>>>, m map<string,string>, n int"
+    rows = [(1, "mail x@y.org from /home/me", (None, None), None, 1), (2, None, ("ok", [("/Users/me",), (None,)]), {"x@y.org": None}, 2), (3, "fine", None, {}, 3)]
+    got = {tuple(r) for r in leak_scan_fields(spark.createDataFrame(rows, schema), "row_id").collect()}
+    assert got == {(1, "subject", "email"), (1, "subject", "abs_home_path"), (2, "data", "abs_home_path"), (2, "m", "email")}
+    assert leak_scan_fields(spark.range(2).toDF("row_id"), "row_id").count() == 0

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType
 
 from tidemark.functions.scalars import short_event
 from tidemark.schema import COMMIT, EVENT_TYPES
@@ -38,6 +39,35 @@ def leak_scan(rows: DataFrame, key: str, text: str) -> DataFrame:
     return rows.select(key, F.explode(F.filter(hits, lambda x: x.isNotNull())).alias("leak"))
 
 
+def _texts(value: Column, kind: DataType) -> Column | None:
+    """All strings inside a value, names of maps included, as one array; None for a type that holds none."""
+    if isinstance(kind, StringType):
+        return F.array(value)
+    if isinstance(kind, ArrayType):
+        inner = None if _texts(F.lit(None), kind.elementType) is None else F.flatten(F.transform(value, lambda x: _texts(x, kind.elementType)))
+        parts = [inner]
+    elif isinstance(kind, MapType):
+        parts = [_texts(f(value), ArrayType(t)) for f, t in ((F.map_keys, kind.keyType), (F.map_values, kind.valueType))]
+    elif isinstance(kind, StructType):
+        parts = [_texts(value[f.name], f.dataType) for f in kind]
+    else:
+        parts = []
+    held = [F.coalesce(p, F.array().cast("array<string>")) for p in parts if p is not None]
+    return F.concat(*held) if held else None
+
+
+def leak_scan_fields(rows: DataFrame, key: str) -> DataFrame:
+    """``key, field, leak``: one row for every pattern held by any string of a column, nested strings included; also of ``key`` itself."""
+    texts = {f.name: _texts(F.col(f.name), f.dataType) for f in rows.schema}
+    fields = [F.struct(F.lit(n).alias("field"), t.alias("texts")) for n, t in texts.items() if t is not None]
+    if not fields:
+        fields = [F.struct(F.lit("").alias("field"), F.array().cast("array<string>").alias("texts"))]
+    each = rows.select(key, F.explode(F.array(*fields)).alias("f")).select(key, "f.field", "f.texts")
+    held = lambda p: F.exists("texts", lambda x: F.coalesce(x.rlike(p), F.lit(False)))
+    hits = F.array(*[F.when(held(p), n) for n, p in LEAKS.items()])
+    return each.select(key, "field", F.explode(F.filter(hits, lambda x: x.isNotNull())).alias("leak"))
+
+
 def envelope_problems(rows: DataFrame) -> DataFrame:
     """``row_id, problem``: one row for every broken rule of an observation's envelope."""
     rules: dict[str, Column] = {f"{c} is missing": F.col(c).isNull() for c in REQUIRED}

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
 from tidemark.functions import timecols as C
-from tidemark.operators.conformance import ALLOWED, LEAKS, REQUIRED, UUID7, envelope_problems, leak_scan
+from tidemark.operators.conformance import ALLOWED, LEAKS, REQUIRED, UUID7, envelope_problems, leak_scan, leak_scan_fields
 from tidemark.operators.inventory import inventory
 from tidemark.plans.report import local_day, observed_ranges
 from tidemark.schema import EVENT_FORM, EVENT_TYPES, GAP
@@ -125,6 +125,11 @@ def leaks(spark: SparkSession, d: str) -> DataFrame:
     return leak_scan(table(spark, d, "documents"), "doc_id", "text")
 
 
+def observation_leaks(spark: SparkSession, d: str) -> DataFrame:
+    """Every leak pattern found in every string column of every observation."""
+    return leak_scan_fields(table(spark, d, "observations"), "row_id")
+
+
 def record_inventory(spark: SparkSession, d: str) -> DataFrame:
     """Profile of the raw meta lines by vendor."""
     return inventory(table(spark, d, "meta_lines"), "vendor", "body", ("uuid", "timestamp", "type"), "timestamp")
@@ -135,7 +140,7 @@ QUERIES = {
     for f in (
         rfc3339_fields, local_clock, identity_scalars, subject_scalars, session_votes, transcript_observations, transcript_gaps,
         rollout_observations, rollout_events, import_outcomes, transcript_outcomes, import_accounting, source_ranges, observation_counts, file_cursors, envelope_check, leaks,
-        record_inventory,
+        observation_leaks, record_inventory,
     )
 }
 
