@@ -2,13 +2,19 @@
 
 Iterative operators write each round to ``spark.checkpoint.dir`` and read it
 back, so a lost executor costs a re-read of one table and never the whole
-lineage. The folder is the cluster's own; a private one is made only where the
-setting is absent (tests, a laptop).
+lineage. The folder is the cluster's own; a private one is made only on a local
+master without the setting (tests, a laptop).
+
+Writing runs jobs, so an operator that cuts its lineage does work while its frame is
+being built. Tables that a returned frame still reads stay until ``release_all`` or the
+end of the application; a long-lived session that runs many queries should call it
+after each result is written.
 """
 
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -16,11 +22,23 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+class NoSharedFolder(RuntimeError):
+    """Executors on other machines, and no folder that all of them see."""
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one where it is unset."""
+    """The folder of ``spark.checkpoint.dir``, else the one given to ``setCheckpointDir``.
+
+    Where neither is set, a temporary one on a ``local`` master, and :class:`NoSharedFolder` on any other.
+    """
     given = spark.conf.get("spark.checkpoint.dir", None)
+    if not given:
+        set_by_call = spark.sparkContext._jsc.sc().getCheckpointDir()
+        given = set_by_call.get() if set_by_call.isDefined() else None
     if given:
         return given.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise NoSharedFolder("set spark.checkpoint.dir to a folder that all executors share")
     own = getattr(spark, "_tidemark_dir", None)
     if own is None:
         own = tempfile.mkdtemp(prefix="tidemark-")
@@ -29,10 +47,21 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+_written: dict[str, list[Scratch]] = {}
+
+
+def release_all(spark: SparkSession) -> int:
+    """Delete the tables of all operator calls of this application; frames they returned cannot be read any more."""
+    calls = _written.pop(spark.sparkContext.applicationId, [])
+    for call in calls:
+        call._fs(call.root).delete(call._path(call.root), True)
+    return len(calls)
+
+
 class Scratch:
     """Writes and replaces named intermediate tables of one operator call.
 
-    What a returned frame still reads stays until the application ends.
+    What a returned frame still reads stays until :func:`release_all` or the application's end.
     """
 
     def __init__(self, spark: SparkSession):
@@ -56,6 +85,7 @@ class Scratch:
         if not self.marked:
             self._fs(self.root).deleteOnExit(self._path(self.root))
             self.marked = True
+            _written.setdefault(self.spark.sparkContext.applicationId, []).append(self)
         if n > 1:
             self.drop(f"{name}-{n - 1}")
         return self.spark.read.schema(df.schema).parquet(path)
