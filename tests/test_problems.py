@@ -12,7 +12,7 @@ from tests import brute as B
 from tidemark.operators.activity import activity_sessions
 from tidemark.operators.blocks import block_table, json_text, read_deep, read_json
 from tidemark.operators.copies import deduplicate, duplicate_rows, kept_rows, transcript_key
-from tidemark.operators.drift import _form, field_profiles, promote, schema_changes, union_schema, unified_table
+from tidemark.operators.drift import _form, column_names, field_profiles, promote, schema_changes, union_schema, unified_table
 from tidemark.operators.instants import CANONICAL, normalise_instants
 from tidemark.operators.periods import periods_and_gaps
 from tidemark.plans import problems as P
@@ -147,7 +147,7 @@ def test_activity_across_buckets(spark):
     random.seed(3)
     events = [(random.choice(["a", None, "b"]), random.randrange(0, 4000) * 10) for _ in range(1500)] + [("t", 0), ("t", 300), ("t", 601), ("t", None), ("t", -5)]
     df = spark.createDataFrame(events, "k string, at bigint")
-    got = {tuple(r) for r in activity_sessions(df, ["k"], "at", 300, 500).collect()}
+    got = {tuple(r) for r in activity_sessions(df, ["k"], "at", 300).collect()}
     assert got == B.stretches([((k,), t) for k, t in events if t is not None], 300)
     assert activity_sessions(df.limit(0), ["k"], "at").count() == 0
 
@@ -224,3 +224,73 @@ def test_renames_between_sides_of_unlike_size(spark):
     got = {(r.field_path, r.change_kind, r.new_path) for r in schema_changes(field_profiles(df)).collect()}
     assert got == {("place", "renamed", "site"), ("code", "renamed", "label")}
     assert _form("-" * 41 + "..") != _form("-" * 41 + "==")
+
+
+def test_union_table_loses_nothing(spark):
+    def line(**fields):
+        return ("claude-code", json.dumps(fields))
+
+    big = 2**53 + 1
+    lines = [
+        line(version="1.0.0", n=big, m=1, h=2**70, mix=big, vendor="v", userId="u1"), line(version="1.0.0", n=3, m=1.5, h=1, mix=0.5),
+        line(ghost="only here"), line(**{"version": "2.0.0", "a": {"b": 1}, "a__b": 2, "A__B": 3, "": 4}),
+    ]
+    df = spark.createDataFrame(lines, "vendor string, body string").withColumn("line_id", F.monotonically_increasing_id())
+    fields = union_schema(field_profiles(df))
+    assert dict(fields) == {"": "integer", "A__B": "integer", "a.b": "integer", "a__b": "integer", "ghost": "string", "h": "string", "m": "number",
+                            "mix": "string", "n": "integer", "userId": "string", "vendor": "string"}
+    names = dict(zip([p for p, _ in fields], column_names(fields), strict=True))
+    assert len({n.lower() for n in names.values()}) == len(names) and names["A__B"] == "A__B" and names["a.b"] == "a__b__2" and names["vendor"] == "vendor__2"
+    got = [r.asDict() for r in unified_table(df, fields).collect()]
+    pick = lambda path: [r[names[path]] for r in got if r[names[path]] is not None]
+    assert pick("n") == [big, 3] and pick("m") == [1.0, 1.5] and pick("h") == [str(2**70), "1"] and pick("mix") == [str(big), "0.5"]
+    assert pick("ghost") == ["only here"] and pick("a.b") == [1] and pick("a__b") == [2] and pick("A__B") == [3] and pick("") == [4] and pick("vendor") == ["v"]
+
+
+def test_a_restyled_name_with_other_values_is_no_rename(spark):
+    lines = [("claude-code", json.dumps({"version": "1.0.0", "userId": f"u-{i % 40}"})) for i in range(400)]
+    lines += [("claude-code", json.dumps({"version": "2.0.0", "user_id": "/" + "x" * (i % 40)})) for i in range(400)]
+    got = {(r.field_path, r.change_kind) for r in schema_changes(field_profiles(spark.createDataFrame(lines, "vendor string, body string"))).collect()}
+    assert got == {("userId", "removed"), ("user_id", "added")}
+
+
+def test_deduplicate_stored_and_new(spark):
+    cols = "k string, at int, x string, a__b string"
+    stored = spark.createDataFrame([("a", 5, "old", None), ("b", 1, "b1", ""), (None, 1, "n", None)], cols)
+    new = spark.createDataFrame([("a", 1, "late"), ("c", 2, "c2"), ("c", 2, "c2"), ("c", 1, None), (None, 1, "n")], "k string, at int, x string")
+    got = sorted(tuple(r)[:3] for r in deduplicate(stored, ["k"], ["at"], new).where("k is not null").collect())
+    assert got == [("a", 5, "old"), ("b", 1, "b1"), ("c", 1, None)]
+    assert deduplicate(stored, ["k"], ["at"], new).where("k is null").count() == 2
+    assert deduplicate(stored.limit(0), ["k"], ["at"], new.limit(0)).count() == 0
+
+
+def test_a_group_larger_than_one_task_ranks(spark, monkeypatch):
+    from tidemark.operators import copies
+
+    monkeypatch.setattr(copies, "GROUP_AT_ONCE", 50)
+    df = spark.range(3_000).select((F.col("id") * 7919 % 3_000).alias("row_id"), F.when(F.col("id") % 3 == 0, "hot").otherwise((F.col("id") % 700).cast("string")).alias("k"))
+    pairs = [(r.k, r.row_id) for r in df.collect()]
+    first = {k: min(i for q, i in pairs if q == k) for k, _ in pairs}
+    assert {(r.k, r.row_id) for r in kept_rows(df, [F.col("k")], F.col("row_id")).collect()} == set(first.items())
+    assert {r.row_id for r in duplicate_rows(df, [F.col("k")], F.col("row_id")).collect()} == {i for k, i in pairs if first[k] != i}
+    assert deduplicate(spark.range(500).selectExpr("'x' k", "1 at"), ["k"], ["at"]).count() == 1
+
+
+def test_a_shared_folder_is_asked_for(spark, monkeypatch, tmp_path):
+    from types import SimpleNamespace
+
+    from tidemark import scratch
+
+    unset = SimpleNamespace(isDefined=lambda: False)
+    ask = lambda master, made, conf=None: scratch.shared_dir(SimpleNamespace(
+        conf=SimpleNamespace(get=lambda *_: conf), sparkContext=SimpleNamespace(master=master, _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: made)))))
+    with pytest.raises(scratch.NoSharedFolder):
+        ask("spark://host:7077", unset)
+    with pytest.raises(scratch.NoSharedFolder):
+        ask("local-cluster[2,1,1024]", unset)
+    made = SimpleNamespace(isDefined=lambda: True, get=lambda: "file:/shared/x/")
+    assert ask("yarn", made) == "file:/shared/x" and ask("yarn", made, "hdfs:/set") == "hdfs:/set" and "tidemark-" in ask("local[4]", unset)
+    kept = scratch.Scratch(spark)
+    frame = kept.cut(spark.range(3), "t")
+    assert frame.count() == 3 and scratch.release_all(spark) >= 1
+    assert not kept._fs(kept.root).exists(kept._path(kept.root))

@@ -10,6 +10,7 @@ compared field by field, and records are cast to the union schema.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Iterator
 
@@ -25,6 +26,8 @@ from tidemark.operators.blocks import json_text, read_json, utf8
 RECORD = {"codex": ("payload", "cli_version"), "claude-code": (None, "version")}
 VERSION = re.compile(r"^\s*[vV]?(\d+)\.(\d+)\.(\d+)(?![\d.])")
 TYPES = ("boolean", "number", "string", "array")
+#: Bits of what the numbers of a field need: a fraction, more than 53 bits, more than 64 bits.
+FRACTION, WIDE, HUGE = 1, 2, 4
 SIGNATURE = 48
 #: Values are of one kind when this share of their distinct values is common ...
 COMMON_VALUES = 0.2
@@ -46,6 +49,22 @@ def json_type(value) -> str:
     return "string" if isinstance(value, str) else "array"
 
 
+def number_bits(value) -> int:
+    """What a number needs of its column's type; 0 for a whole number any type holds, and for anything else."""
+    if isinstance(value, bool) or not isinstance(value, (int, float)):
+        return 0
+    if isinstance(value, float):
+        return FRACTION if math.isfinite(value) else HUGE
+    return 0 if abs(value) <= 2**53 else WIDE if -(2**63) <= value < 2**63 else WIDE | HUGE
+
+
+def number_type(bits: int) -> str:
+    """The type that holds numbers of such needs exactly: integer, number, or string (their JSON text)."""
+    if bits & HUGE or (bits & FRACTION and bits & WIDE):
+        return "string"
+    return "number" if bits & FRACTION else "integer"
+
+
 def promote(a: str, b: str) -> str:
     """Least type that holds both: equal types stay; anything with an array is array; else string."""
     if a == b:
@@ -97,40 +116,41 @@ def _signature(hashes: set[int]) -> list[int]:
 
 
 def field_profiles(lines: DataFrame) -> DataFrame:
-    """``vendor, cli_version, field_path, json_type, n, values, forms`` of ``lines(vendor, body)``.
+    """``vendor, cli_version, field_path, json_type, n, bits, values, forms`` of ``lines(vendor, body)``.
 
     ``values`` and ``forms`` are minimum-hash signatures of the distinct values and of their
-    outer forms. Unreadable records, records without a version and unknown vendors are left out,
-    as is the version field itself.
+    outer forms, ``bits`` what the numbers need of a type. Records without a version have cli_version null.
+    Unreadable records and unknown vendors are left out, as is the version field itself.
     """
-    names = ["vendor", "cli_version", "field_path", "json_type", "n"]
-    kinds = [pa.string(), pa.string(), pa.string(), pa.string(), pa.int64()]
+    names = ["vendor", "cli_version", "field_path", "json_type", "n", "bits"]
+    kinds = [pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int32()]
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen: dict[tuple, list] = {}
             for vendor, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 version, record = split_record(vendor, body)
-                if version is None:
+                if record is None:
                     continue
                 for path, value in leaves(record):
                     if path == RECORD[vendor][1]:
                         continue
-                    known = seen.setdefault((vendor, version, utf8(path), json_type(value)), [0, set(), set()])
+                    known = seen.setdefault((vendor, version, utf8(path), json_type(value)), [0, set(), set(), 0])
                     known[0] += 1
+                    known[3] |= number_bits(value)
                     known[1].add(_h64(value if isinstance(value, str) else json_text(value, sort_keys=True)))
                     known[2].add(_h64(_form(value)))
             keys = list(zip(*seen, strict=True)) or [()] * 4
             yield pa.RecordBatch.from_arrays(
-                [pa.array(list(k), t) for k, t in zip([*keys, [v[0] for v in seen.values()]], kinds, strict=True)]
+                [pa.array(list(k), t) for k, t in zip([*keys, [v[0] for v in seen.values()], [v[3] for v in seen.values()]], kinds, strict=True)]
                 + [pa.array([_signature(v[i]) for v in seen.values()], pa.list_(pa.int64())) for i in (1, 2)],
                 names=[*names, "values", "forms"],
             )
 
-    schema = "vendor string, cli_version string, field_path string, json_type string, n bigint, values array<bigint>, forms array<bigint>"
+    schema = "vendor string, cli_version string, field_path string, json_type string, n bigint, bits int, values array<bigint>, forms array<bigint>"
     partial = lines.select("vendor", "body").mapInArrow(fold, schema)
     mins = [F.min(F.col(c)[i]).alias(f"{c}_{i}") for c in ("values", "forms") for i in range(SIGNATURE)]
-    merged = partial.groupBy("vendor", "cli_version", "field_path", "json_type").agg(F.sum("n").alias("n"), *mins)
+    merged = partial.groupBy("vendor", "cli_version", "field_path", "json_type").agg(F.sum("n").alias("n"), F.bit_or("bits").alias("bits"), *mins)
     packed = [F.array(*[F.col(f"{c}_{i}") for i in range(SIGNATURE)]).alias(c) for c in ("values", "forms")]
     return merged.select(*names, *packed)
 
@@ -158,10 +178,9 @@ def same_kind(a, b) -> float:
     # A set of few values, all of them in one of many, has a small common share: it is measured on its own size.
     contained = _contained(a.values_, b.values_)
     rare = any(_distinct(x.values_) > 0.5 * x.n for x in (a, b))
-    # Few records share few values; a name that only changes its style is evidence enough then.
-    restyled = _bare(a.field_path) == _bare(b.field_path)
-    if values >= COMMON_VALUES or contained >= COMMON_CONTAINED or (rare and forms >= COMMON_FORMS) or restyled:
-        return 1 + max(values, contained) + forms + restyled
+    if values >= COMMON_VALUES or contained >= COMMON_CONTAINED or (rare and forms >= COMMON_FORMS):
+        # A name that only changes its style is no evidence of its own; it decides between equal candidates.
+        return 1 + max(values, contained) + forms + (_bare(a.field_path) == _bare(b.field_path))
     return 0.0
 
 
@@ -202,41 +221,61 @@ def schema_changes(profiles: DataFrame) -> DataFrame:
     """``vendor, cli_version, field_path, change_kind, new_path`` between neighbouring versions.
 
     What one task receives is a vendor's field list, whose size is that of the schema and
-    not of the data. A field with several types in one version has their promotion.
+    not of the data. A field with several types in one version has their promotion. Records without a
+    version do not count.
     """
     schema = "vendor string, cli_version string, field_path string, change_kind string, new_path string"
-    return profiles.groupBy("vendor").applyInPandas(_changes, schema)
+    return profiles.where(F.col("cli_version").isNotNull()).groupBy("vendor").applyInPandas(_changes, schema)
 
 
 def union_schema(profiles: DataFrame) -> list[tuple[str, str]]:
-    """(field, promoted type) of every field of any version, ordered by name.
+    """(field, promoted type) of every field of any readable record, with or without a version, ordered by name.
 
-    Collected to the driver: one row per field name and type of the schema.
+    Numbers are ``integer`` where all are whole and fit 64 bits, ``number`` (a double) where that loses
+    nothing, else ``string``. Collected to the driver: one row per field name and type of the schema.
     """
     folded: dict[str, str] = {}
-    for row in profiles.select("field_path", "json_type").distinct().collect():
+    per_field = profiles.groupBy("field_path", "json_type").agg(F.bit_or("bits").alias("bits"))
+    for row in per_field.orderBy("field_path", "json_type").collect():
+        kind = number_type(row.bits) if row.json_type == "number" else row.json_type
         known = folded.get(row.field_path)
-        folded[row.field_path] = row.json_type if known is None else promote(known, row.json_type)
+        folded[row.field_path] = kind if known is None else promote(known, kind)
     return sorted(folded.items())
 
 
+def column_names(fields: list[tuple[str, str]], taken: tuple[str, ...] = ("line_id", "vendor", "cli_version")) -> list[str]:
+    """A column name for every field: dots become double underscores.
+
+    Names that would meet (``a.b`` and ``a__b``, names that differ in case only, the table's own columns) get a number
+    behind them, the first field by name keeping the plain one.
+    """
+    used, out = {t.lower() for t in taken}, []
+    for path, _ in fields:
+        plain = name = path.replace(".", "__") or "_"
+        n = 2
+        while name.lower() in used:
+            name, n = f"{plain}__{n}", n + 1
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
 def unified_table(lines: DataFrame, fields: list[tuple[str, str]]) -> DataFrame:
     """All readable records cast to the union schema: ``line_id, vendor, cli_version`` and one column per field.
 
-    Dots in names become double underscores. Numbers are doubles, arrays and values of promoted
-    fields are text (JSON unless already text); a missing or null field is null. Unreadable lines
+    Columns are named by :func:`column_names`. Whole numbers are bigint, others double; arrays and values of
+    promoted fields are text (JSON unless already text); a missing or null field is null. Unreadable lines
     are left out; records without a version stay, with a null cli_version.
     """
-    spark_type = {"boolean": ("boolean", pa.bool_()), "number": ("double", pa.float64())}
+    spark_type = {"boolean": ("boolean", pa.bool_()), "integer": ("bigint", pa.int64()), "number": ("double", pa.float64())}
     typed = [(p, *spark_type.get(t, ("string", pa.string()))) for p, t in fields]
-    schema = "line_id bigint, vendor string, cli_version string" + "".join(f", `{p.replace('.', '__')}` {t}" for p, t, _ in typed)
-    names = ["line_id", "vendor", "cli_version", *[p.replace(".", "__") for p, _, _ in typed]]
+    names = ["line_id", "vendor", "cli_version", *column_names(fields)]
+    quoted = [n.replace("`", "``") for n in names[3:]]
+    schema = "line_id bigint, vendor string, cli_version string" + "".join(f", `{n}` {t}" for n, (_, t, _) in zip(quoted, typed, strict=True))
 
     def cast(value, kind: str):
-        if value is None:
-            return None
-        if kind == "boolean":
-            return bool(value)
+        if value is None or kind in ("boolean", "bigint"):
+            return value
         if kind == "double":
             return float(value)
         return utf8(value if isinstance(value, str) else json_text(value, ensure_ascii=False))
@@ -249,7 +288,8 @@ def unified_table(lines: DataFrame, fields: list[tuple[str, str]]) -> DataFrame:
                 version, record = split_record(vendor, body)
                 if record is None:
                     continue
-                flat = dict(leaves(record))
+                version_field = RECORD[vendor][1]
+                flat = {utf8(p): v for p, v in leaves(record) if p != version_field}
                 ids.append(i)
                 cols[0].append(vendor)
                 cols[1].append(version)
@@ -262,3 +302,6 @@ def unified_table(lines: DataFrame, fields: list[tuple[str, str]]) -> DataFrame:
     return lines.select("line_id", "vendor", "body").mapInArrow(conform, schema)
 
 
+def field_counts(profiles: DataFrame) -> DataFrame:
+    """``vendor, cli_version, field_path, json_type, n``: how many records of a version hold a field with each type."""
+    return profiles.select("vendor", "cli_version", "field_path", "json_type", "n")

@@ -11,7 +11,7 @@ from tidemark.functions.identifiers import canonical_uuid
 from tidemark.operators.activity import activity_sessions
 from tidemark.operators.blocks import block_table
 from tidemark.operators.copies import duplicate_rows, kept_rows, transcript_key
-from tidemark.operators.drift import field_profiles, schema_changes, union_schema, unified_table
+from tidemark.operators.drift import field_counts, field_profiles, schema_changes, union_schema, unified_table
 from tidemark.operators.instants import CANONICAL, normalise_instants
 from tidemark.operators.periods import periods_and_gaps
 from tidemark.tables import table
@@ -53,6 +53,11 @@ def p4_table(spark: SparkSession, d: str) -> DataFrame:
     return unified_table(lines, union_schema(field_profiles(lines)))
 
 
+def p4_fields(spark: SparkSession, d: str) -> DataFrame:
+    """Every field of every version with its types and the number of records that hold it."""
+    return field_counts(field_profiles(table(spark, d, "meta_lines")))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Stretches of activity per source kind and session."""
     rows = table(spark, d, "observations").select(
@@ -78,7 +83,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return named(t, "transcripts").unionByName(named(o, "observations"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p3_found, p4_found, p4_table, p5_found, p6_found, p7_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p3_found, p4_found, p4_table, p4_fields, p5_found, p6_found, p7_found)}
 
 _UUID = "regexp_replace(lower({0}), '^(urn:uuid:)?[{{]?([0-9a-f]{{8}})-?([0-9a-f]{{4}})-?([0-9a-f]{{4}})-?([0-9a-f]{{4}})-?([0-9a-f]{{12}})[}}]?$', '\\2-\\3-\\4-\\5-\\6')"
 
