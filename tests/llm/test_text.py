@@ -183,6 +183,25 @@ def test_packing(spark):
         pack(df, 100)
 
 
+def test_tiers_change_the_plan(spark):
+    random.seed(8)
+    counts = [(i, random.choice([random.randrange(1, 40), random.randrange(1, 257), random.randrange(1, 2049)])) for i in range(3000)]
+    df = spark.createDataFrame(counts, "doc_id bigint, n_tokens bigint")
+    tiered, plain = pack(df).collect(), pack(df, tiers=(2048,)).collect()
+    total = sum(n for _, n in counts)
+    for packed in (tiered, plain):
+        assert check_packing(packed, counts, 2048) <= 1.01 * -(-total // 2048) + 1
+    place = lambda packed: {r.doc_id: r.container_id for r in packed}
+    assert place(tiered) != place(plain)
+    held, inside = {}, {}
+    for r in tiered:
+        held[r.window_id, r.window] = held.get((r.window_id, r.window), 0) + r.token_to - r.token_from
+        inside.setdefault(r.window_id, set()).add(r.container_id)
+    assert all(n <= window for (_, window), n in held.items()) and all(len(c) == 1 for c in inside.values())
+    assert {w for _, w in held} == {256, 512, 1024, 2048} and {r.window for r in plain} == {2048}
+    assert any(r.window > r.tier for r in tiered) and all(r.window >= r.tier for r in tiered)
+
+
 def test_one_length_holds_a_third():
     plan = plan_tiers({1: 10**9, 2048: 5, 1025: 10**9, 1023: 10**9})
     assert plan.containers == 10**9 + 5 + -(-(10**9) // 2048)

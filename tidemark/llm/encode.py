@@ -84,8 +84,10 @@ def token_counts(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = pa.array([len(x) for lists in id_lists(batch.column(1).to_pylist(), path) for x in lists], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), n], names=[key, "n_tokens"])
+            tokenizer, counts = load(path), []
+            for group in grouped(batch.column(1).to_pylist()):
+                counts += map(len, tokenizer.encode_batch_fast(group, add_special_tokens=False))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64())], names=[key, "n_tokens"])
 
     return docs.select(key, text).mapInArrow(run, f"`{key}` bigint, n_tokens bigint")
 
