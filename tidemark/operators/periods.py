@@ -5,6 +5,9 @@ the start of rank ``i + 1`` lies after the end of rank ``i``; the boundaries of
 neighbouring gaps, paired by their own rank, are the periods. Equal starts (ends)
 are one row with a count before anything is ranked, and ranks come from bucket
 offsets, so an entity that holds a third of all spans stays spread over tasks.
+
+Every step that is read more than once is written once to the shared folder, so
+jobs run while the frame is being built.
 """
 
 from __future__ import annotations
@@ -13,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.ranks import running_total
+from tidemark.scratch import Scratch
 
 DAY = 86_400
 
@@ -31,46 +35,33 @@ def periods_and_gaps(
     with one period has no gap. ``width`` is the bucket of the rank offsets only and
     never changes the result.
     """
-    valid = spans.select(
-        F.col(entity).alias("e"), F.col(start).cast("bigint").alias("s"), F.col(end).cast("bigint").alias("t")
-    ).where(F.col("e").isNotNull() & (F.col("t") > F.col("s")))
-    starts = valid.groupBy("e", F.col("s").alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    ends = valid.groupBy("e", F.col("t").alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    ranked_starts = running_total(starts, ["e"], "v", "n", _day("v", width), "upto").select(
-        F.col("e"), F.col("v").alias("next_start"), (F.col("upto") - F.col("n")).alias("rank")
+    scratch = Scratch(spans.sparkSession)
+    bound = lambda kind, c: F.struct(F.lit(kind).alias("kind"), F.col(c).cast("bigint").alias("v"))
+    valid = spans.where(F.col(entity).isNotNull() & (F.col(end).cast("bigint") > F.col(start).cast("bigint")))
+    bounds = valid.select(F.col(entity).alias("e"), F.inline(F.array(bound("start", start), bound("end", end))))
+    counted = scratch.cut(bounds.groupBy("e", "kind", "v").agg(F.count(F.lit(1)).alias("n")), "bounds")
+    ranked = scratch.cut(running_total(counted, ["e", "kind"], "v", "n", _day("v", width), "upto", "of"), "ranked")
+    starts = ranked.where("kind = 'start'").select(
+        F.col("e").alias("se"), (F.col("upto") - F.col("n")).alias("sr"), F.col("v").alias("next_start")
     )
-    ranked_ends = running_total(ends, ["e"], "v", "n", _day("v", width), "upto").select(
-        F.col("e"), F.col("v").alias("last_end"), F.col("upto").alias("rank")
+    ends = ranked.where("kind = 'end'").select(F.col("e").alias("ee"), F.col("upto").alias("er"), F.col("v").alias("last_end"), "of")
+    # Rank 0 has a start only, the last rank an end only: the outer boundaries of an entity.
+    met = ends.join(starts, (F.col("ee") == F.col("se")) & (F.col("er") == F.col("sr")), "full")
+    outer = (F.col("sr") == 0) & F.col("er").isNull() | (F.col("er") == F.col("of")) & F.col("sr").isNull()
+    boundaries = scratch.cut(
+        met.where(outer | (F.col("next_start") > F.col("last_end"))).select(
+            F.coalesce("ee", "se").alias("e"), "last_end", "next_start", F.coalesce("last_end", "next_start").alias("at"), F.lit(1).alias("one")
+        ),
+        "boundaries",
     )
-    gaps = ranked_ends.join(ranked_starts, ["e", "rank"]).where(F.col("next_start") > F.col("last_end"))
-    numbered = running_total(
-        gaps.select("e", "last_end", "next_start", F.lit(1).alias("one")),
-        ["e"], "last_end", "one", _day("last_end", width), "g",
-    )
-    per_entity = valid.groupBy("e").agg(F.min("s").alias("lo"), F.max("t").alias("hi"))
-    gap_count = numbered.groupBy("e").agg(F.max("g").alias("g"))
-    outer = per_entity.join(gap_count, "e", "left").withColumn("g", F.coalesce("g", F.lit(0)))
-    none = F.lit(None).cast("bigint")
-    edges = outer.select(
-        "e",
-        F.explode(
-            F.array(
-                F.struct(F.lit(1).cast("bigint").alias("k"), F.col("lo").alias("a"), none.alias("b")),
-                F.struct((F.col("g") + 1).alias("k"), none.alias("a"), F.col("hi").alias("b")),
-            )
-        ).alias("x"),
-    ).select("e", "x.*")
-    inner = numbered.select(
-        "e",
-        F.explode(
-            F.array(
-                F.struct((F.col("g") + 1).alias("k"), F.col("next_start").alias("a"), none.alias("b")),
-                F.struct(F.col("g").alias("k"), none.alias("a"), F.col("last_end").alias("b")),
-            )
-        ).alias("x"),
-    ).select("e", "x.*")
-    periods = edges.unionByName(inner).groupBy("e", "k").agg(F.max("a").alias("a"), F.max("b").alias("b"))
-    out = lambda df, kind, a, b: df.select(
-        F.col("e").alias(entity), F.lit(kind).alias("stretch_kind"), F.col(a).alias("from_s"), F.col(b).alias("to_s")
+    numbered = running_total(boundaries, ["e"], "at", "one", _day("at", width), "no")
+    none, no = F.lit(None).cast("bigint"), F.col("no")
+    part = lambda kind, k, a, b: F.struct(F.lit(kind).alias("stretch_kind"), k.alias("k"), a.alias("a"), b.alias("b"))
+    parts = F.array(
+        F.when(F.col("next_start").isNotNull(), part("period", no, F.col("next_start"), none)),
+        F.when(F.col("last_end").isNotNull(), part("period", no - 1, none, F.col("last_end"))),
+        F.when(F.col("next_start") > F.col("last_end"), part("gap", no, F.col("last_end"), F.col("next_start"))),
     )
-    return out(periods, "period", "a", "b").unionByName(out(numbered, "gap", "last_end", "next_start"))
+    each = numbered.select("e", F.inline(F.filter(parts, lambda x: x.isNotNull())))
+    stretches = each.groupBy("e", "stretch_kind", "k").agg(F.max("a").alias("from_s"), F.max("b").alias("to_s"))
+    return stretches.select(F.col("e").alias(entity), "stretch_kind", "from_s", "to_s")

@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 
 
 def running_total(
-    df: DataFrame, by: Sequence[str], value: str, weight: str, bucket: Column, out: str
+    df: DataFrame, by: Sequence[str], value: str, weight: str, bucket: Column, out: str, whole: str | None = None
 ) -> DataFrame:
-    """Adds ``out``: the sum of ``weight`` over rows of the group up to and including this value.
+    """Adds ``out``: the sum of ``weight`` over rows of the group up to and including this value; and ``whole``, the group's sum.
 
     ``value`` must be distinct within its group and ``bucket`` must not decrease with it.
     Null group keys form a group. Empty input gives an empty frame.
@@ -29,6 +29,7 @@ def running_total(
     offsets = totals.select(
         *[F.col(k).alias(f"__o_{i}") for i, k in enumerate(keys)],
         F.coalesce(F.sum("__total").over(before), F.lit(0)).alias("__offset"),
+        *([F.sum("__total").over(Window.partitionBy(*by)).alias(whole)] if whole else []),
     )
     same = F.lit(True)
     for i, k in enumerate(keys):
