@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.scratch import Scratch
+
 NODE_SCHEMA = "owner string, parent string, label string, ordinal int, kind string, scalar string"
 
 
@@ -221,11 +223,12 @@ def block_table(rows: DataFrame, row_id: str, session: str, content: str) -> Dat
 
     block_type is '' where a block has none. A tool_result is linked to the tool_use with its
     id in the same session; of several the first by row and place counts. Without such a block,
-    without a session or an id, and for every other block, the link is -1 and ''.
+    without a session or an id, and for every other block, the link is -1 and ''. The entity table is written
+    to the shared folder first, so content is read once.
     """
     labels = ("type", "id", "tool_use_id")
     nodes = adjacency(rows.select(row_id, session, content), [row_id, session], content, labels)
-    table = entity_table(nodes, [row_id, session], labels)
+    table = Scratch(rows.sparkSession).cut(entity_table(nodes, [row_id, session], labels), "blocks")
     uses = (
         table.where((F.col("type") == "tool_use") & F.col("id").isNotNull() & F.col(session).isNotNull())
         .groupBy(F.col(session).alias("__s"), F.col("id").alias("__id"))
