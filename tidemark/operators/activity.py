@@ -1,50 +1,75 @@
 """Activity split into sessions by inactivity gaps.
 
-The lag inside an entity flags a gap above the threshold and the running sum of
-flags numbers the sessions. It runs twice: first inside hour buckets of an entity,
-so no task holds a whole hot entity, then over the stretches that touch a bucket's
-edge. A stretch that is neither first nor last in its bucket is final already, so
-the second pass sees at most two rows per entity and bucket.
+Events are first combined, before any shuffle, into cells of the threshold's width: no gap can
+lie between two events of one cell, so a cell is one row with its first and last event and their
+number, however many events a hot entity has. The lag inside an entity then flags a gap above
+the threshold and the running sum of flags numbers the sessions. It runs twice: inside buckets of
+many cells, so no task holds a whole entity, then over the stretches that touch a bucket's edge. A
+stretch that is neither first nor last in its bucket is final already, so the second pass sees at
+most two rows per entity and bucket.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HOUR_US = 3_600_000_000
+from tidemark.scratch import Scratch
 
+#: Cells per bucket: what one task sorts of one entity.
+CELLS_AT_ONCE = 4_096
 
-def _stretches(df: DataFrame, keys: Sequence[str], gap_us: int) -> DataFrame:
-    order = Window.partitionBy(*keys).orderBy("a", "b")
-    gap = F.col("a") - F.lag("b").over(order)
-    numbered = df.withColumn("__flag", F.when(gap > gap_us, 1).otherwise(0)).withColumn(
-        "__no", F.sum("__flag").over(order.rowsBetween(Window.unboundedPreceding, 0))
+
+def cell_of(at: Column, gap: int) -> Column:
+    """The cell of an instant: whole numbers of one cell are at most ``gap`` apart."""
+    return F.floor(at / F.lit(gap + 1)).cast("bigint")
+
+
+def cells(events: DataFrame, keys: Sequence[str], at: str, gap: int, count: str | None = None) -> DataFrame:
+    """``keys, cell, a, b, n``: first and last instant and number of events (or sum of ``count``) of every cell."""
+    at_col = F.col(at).cast("bigint")
+    n = F.count(F.lit(1)) if count is None else F.sum(count)
+    return (
+        events.where(at_col.isNotNull())
+        .groupBy(*keys, cell_of(at_col, gap).alias("cell"))
+        .agg(F.min(at_col).alias("a"), F.max(at_col).alias("b"), n.alias("n"))
     )
-    return numbered.groupBy(*keys, "__no").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.sum("n").alias("n"))
+
+
+def numbered(df: DataFrame, keys: Sequence[str], gap: int) -> DataFrame:
+    """``df(keys, a, b)`` plus ``__no``, the number of its session within the keys."""
+    order = Window.partitionBy(*keys).orderBy("a", "b")
+    away = F.col("a") - F.lag("b").over(order)
+    flagged = df.withColumn("__flag", F.when(away > gap, 1).otherwise(0))
+    return flagged.withColumn("__no", F.sum("__flag").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("__flag")
+
+
+def stretches(df: DataFrame, keys: Sequence[str], gap: int) -> DataFrame:
+    """``keys, a, b, n`` of the sessions of ``df(keys, a, b, n)``."""
+    per = numbered(df, keys, gap).groupBy(*keys, "__no")
+    return per.agg(F.min("a").alias("a"), F.max("b").alias("b"), F.sum("n").alias("n")).drop("__no")
 
 
 def activity_sessions(
-    events: DataFrame, keys: Sequence[str], at_us: str, gap_us: int = 300_000_000, bucket_us: int = HOUR_US
+    events: DataFrame, keys: Sequence[str], at_us: str, gap_us: int = 300_000_000, count: str | None = None
 ) -> DataFrame:
     """``keys, start_us, end_us, event_count``: stretches with no inner gap above ``gap_us``.
 
     A gap of exactly ``gap_us`` does not split. Events without a time do not count; null
-    keys form their own group; equal times and repeated rows all count as events.
+    keys form their own group; equal times and repeated rows all count as events. ``count`` names a
+    column that says how many events a row stands for. The stretches of the buckets are written to the
+    shared folder before the second pass.
     """
-    clean = events.select(*keys, F.col(at_us).cast("bigint").alias("a")).where(F.col("a").isNotNull())
-    single = clean.select(
-        *keys, F.floor(F.col("a") / F.lit(bucket_us)).cast("bigint").alias("__bucket"), "a", F.col("a").alias("b"),
-        F.lit(1).cast("bigint").alias("n"),
-    )
-    local = _stretches(single, [*keys, "__bucket"], gap_us)
+    bucket = F.floor(F.col("cell") / F.lit(CELLS_AT_ONCE)).cast("bigint").alias("__bucket")
+    single = cells(events, keys, at_us, gap_us, count).select(*keys, bucket, "a", "b", "n")
     inside = Window.partitionBy(*keys, "__bucket")
-    marked = local.withColumns({"__lo": F.min("a").over(inside), "__hi": F.max("b").over(inside)})
-    edge = (F.col("a") == F.col("__lo")) | (F.col("b") == F.col("__hi"))
-    final = marked.where(~edge).select(*keys, "a", "b", "n")
-    joined = _stretches(marked.where(edge).select(*keys, "a", "b", "n"), list(keys), gap_us).select(*keys, "a", "b", "n")
+    edge = (F.col("a") == F.min("a").over(inside)) | (F.col("b") == F.max("b").over(inside))
+    local = stretches(single, [*keys, "__bucket"], gap_us).withColumn("__edge", edge)
+    local = Scratch(events.sparkSession).cut(local, "stretches")
+    final = local.where(~F.col("__edge")).select(*keys, "a", "b", "n")
+    joined = stretches(local.where("__edge").select(*keys, "a", "b", "n"), list(keys), gap_us)
     return final.unionByName(joined).select(
         *keys, F.col("a").alias("start_us"), F.col("b").alias("end_us"), F.col("n").alias("event_count")
     )

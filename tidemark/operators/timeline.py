@@ -1,8 +1,10 @@
 """Interval operators of the attention and agent clocks.
 
 All take ``by``, the keys of independent timelines; an empty list is one global timeline.
-None orders a whole timeline in one task: they cut it into buckets of time and stitch
-what crosses a bucket's edge.
+None orders a whole timeline in one task: instants are combined before the shuffle into cells in
+which no gap can lie (or into whole seconds), cells are cut into buckets of time, and what
+crosses a bucket's edge is stitched. What a task sorts depends on the span of time and not on
+the number of observations.
 """
 
 from __future__ import annotations
@@ -12,10 +14,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.activity import activity_sessions
+from tidemark.operators.activity import CELLS_AT_ONCE, activity_sessions, cell_of, cells, numbered
+from tidemark.scratch import Scratch
 from tidemark.schema import AFTER, BEFORE, CLUSTER_GAP, DAY
 
 
+#: Seconds of a group that one task orders row by row.
+NARROW = 300
+
+
 def _bucket(t: str, width: int) -> Column:
     return F.floor(F.col(t) / F.lit(width)).cast("bigint")
 
@@ -27,12 +34,13 @@ def _same(keys: Sequence[str], prefix: str) -> Column:
     return out
 
 
-def clusters(instants: DataFrame, by: Sequence[str], t: str = "instant", gap: int = CLUSTER_GAP) -> DataFrame:
+def clusters(instants: DataFrame, by: Sequence[str], t: str = "instant", gap: int = CLUSTER_GAP, count: str | None = None) -> DataFrame:
     """``by, start, end, n``: runs of instants in which no neighbour is more than ``gap`` seconds away.
 
-    Null instants do not count; a gap of exactly ``gap`` joins; equal instants count each.
+    Null instants do not count; a gap of exactly ``gap`` joins; equal instants count each. ``count`` names a
+    column that says how many instants a row stands for.
     """
-    runs = activity_sessions(instants, list(by), t, gap, DAY)
+    runs = activity_sessions(instants, list(by), t, gap, count)
     return runs.select(*by, F.col("start_us").alias("start"), F.col("end_us").alias("end"), F.col("event_count").alias("n"))
 
 
@@ -51,28 +59,38 @@ def seconds(spans: DataFrame, by: Sequence[str], out: str) -> DataFrame:
     return spans.groupBy(*by).agg(F.sum(F.col("end") - F.col("start")).alias(out))
 
 
-def labelled_clusters(instants: DataFrame, by: Sequence[str], t: str = "instant", gap: int = CLUSTER_GAP, out: str = "block") -> DataFrame:
-    """``instants`` plus ``out``, the first instant of the cluster each belongs to (null for a null instant)."""
+def cluster_cells(instants: DataFrame, by: Sequence[str], t: str = "instant", gap: int = CLUSTER_GAP) -> DataFrame:
+    """``by, cell, first, n``: every cell that holds instants, and the first instant of its cluster."""
     keys = [*by, "__bucket"]
-    order = Window.partitionBy(*keys).orderBy(t)
-    cut = instants.where(F.col(t).isNotNull()).withColumn("__bucket", _bucket(t, DAY))
-    flagged = cut.withColumn("__flag", F.when(F.col(t) - F.lag(t).over(order) > gap, 1).otherwise(0))
-    local = flagged.withColumn("__no", F.sum("__flag").over(order)).drop("__flag")
-    parts = local.groupBy(*keys, "__no").agg(F.min(t).alias("__a"), F.max(t).alias("__b"))
+    single = cells(instants, by, t, gap).withColumn("__bucket", F.floor(F.col("cell") / F.lit(CELLS_AT_ONCE)).cast("bigint"))
     inside = Window.partitionBy(*keys)
-    edged = parts.withColumn("__edge", (F.col("__a") == F.min("__a").over(inside)) | (F.col("__b") == F.max("__b").over(inside)))
+    local = numbered(single, keys, gap)
+    run = Window.partitionBy(*keys, "__no")
+    lo, hi = F.min("a").over(run), F.max("b").over(run)
+    local = local.withColumns({"__a": lo, "__b": hi})
+    local = local.withColumn("__edge", (F.col("__a") == F.min("__a").over(inside)) | (F.col("__b") == F.max("__b").over(inside)))
+    local = Scratch(instants.sparkSession).cut(local.select(*by, "__bucket", "cell", "n", "__a", "__b", "__edge"), "cells")
     line = Window.partitionBy(*by).orderBy("__a")
     stitched = (
-        edged.where("__edge")
+        local.where("__edge").select(*by, "__a", "__b").distinct()
         .withColumn("__new", F.when(F.col("__a") - F.lag("__b").over(line) <= gap, F.lit(None)).otherwise(F.col("__a")))
-        .withColumn("__first", F.last("__new", ignorenulls=True).over(line))
-    )
-    starts = stitched.select(*keys, "__no", "__first").unionByName(edged.where("not __edge").select(*keys, "__no", F.col("__a").alias("__first")))
-    named = starts.select(*[F.col(c).alias(f"__k_{c}") for c in [*keys, "__no"]], F.col("__first").alias(out))
-    joined = local.join(named, _same([*keys, "__no"], "__k_"))
-    helpers = ["__bucket", "__no", *[f"__k_{c}" for c in [*keys, "__no"]]]
-    missing = instants.where(F.col(t).isNull()).withColumn(out, F.lit(None).cast("bigint"))
-    return joined.drop(*helpers).unionByName(missing)
+        .select(*[F.col(c).alias(f"__k_{c}") for c in by], F.col("__a").alias("__k"), F.last("__new", ignorenulls=True).over(line).alias("first"))
+    )
+    edged = local.where("__edge").join(stitched, (F.col("__a") == F.col("__k")) & _same(by, "__k_"))
+    inner = local.where("not __edge").withColumn("first", F.col("__a"))
+    out = [*by, "cell", "first", "n"]
+    return edged.select(*out).unionByName(inner.select(*out))
+
+
+def labelled_clusters(instants: DataFrame, by: Sequence[str], t: str = "instant", gap: int = CLUSTER_GAP, out: str = "block") -> DataFrame:
+    """``instants`` plus ``out``, the first instant of the cluster each belongs to (null for a null instant).
+
+    Rows find their cluster by their cell, in a many-to-one join.
+    """
+    found = cluster_cells(instants, by, t, gap)
+    named = found.select(*[F.col(c).alias(f"__k_{c}") for c in by], F.col("cell").alias("__k_cell"), F.col("first").alias(out))
+    labelled = instants.withColumn("__cell", cell_of(F.col(t), gap)).join(named, (F.col("__cell") == F.col("__k_cell")) & _same(by, "__k_"), "left")
+    return labelled.drop("__cell", "__k_cell", *[f"__k_{c}" for c in by])
 
 
 def nearest_anchor_shares(
@@ -110,11 +128,11 @@ def nearest_anchor_shares(
 def previous_row(df: DataFrame, by: Sequence[str], order: Sequence[str], t: str, values: Sequence[str], prefix: str) -> DataFrame:
     """``df`` plus ``prefix + value``: the values of the row before in ``order`` within ``by`` (null for the first).
 
-    ``order`` must start with ``t`` and be total. The last row of each day is carried to the next day that
-    has rows, so a hot group is spread over its days.
+    ``order`` must start with ``t`` and be total. The last row of each stretch of NARROW seconds is carried to the
+    next stretch that has rows, so a hot group is spread over its stretches.
     """
     keys = [*by, "__bucket"]
-    cut = df.withColumn("__bucket", _bucket(t, DAY)).withColumn("__v", F.struct(*[F.col(v).alias(f"v_{v}") for v in values]))
+    cut = df.withColumn("__bucket", _bucket(t, NARROW)).withColumn("__v", F.struct(*[F.col(v).alias(f"v_{v}") for v in values]))
     last = cut.groupBy(*keys).agg(F.max_by("__v", F.struct(*order)).alias("__last"))
     carried = last.select(
         *[F.col(k).alias(f"__k_{k}") for k in keys], F.lag("__last").over(Window.partitionBy(*by).orderBy("__bucket")).alias("__carry")

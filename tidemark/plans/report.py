@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import timeline as T
+from tidemark.scratch import Scratch
 from tidemark.schema import AFTER, BEFORE, COMMIT, DAY, DENIED_ORIGINS, GAP, LEAST_MEASURED, LIVE_BASES, PROMPT, RESPONSE, TOOL_STARTED
 
 
@@ -64,16 +65,27 @@ def coverage(rows: DataFrame, offset: int = 0) -> DataFrame:
     )
 
 
+def routed_seconds(rows: DataFrame) -> DataFrame:
+    """``route, repository, instant, n`` of anchors, agents and commits, written once.
+
+    What the clocks and counts of a report need, combined before the shuffle: at most one row per second,
+    repository and route, however many observations fall into it. All metrics then read this table.
+    """
+    live = only(rows, "anchor", "agent", "commit").groupBy("route", "repository", "instant").agg(F.count(F.lit(1)).alias("n"))
+    return Scratch(rows.sparkSession).cut(live, "seconds")
+
+
 def repository_rows(rows: DataFrame) -> DataFrame:
     """Per repository (null: unattributed): attention share, attention and agent time alone, prompts, commits."""
-    anchors, agents, commits = (only(rows, r) for r in ("anchor", "agent", "commit"))
+    live = routed_seconds(rows)
+    anchors, agents, commits = (only(live, r) for r in ("anchor", "agent", "commit"))
     by = ["repository"]
     parts = [
         (T.nearest_anchor_shares(anchors, []).withColumnRenamed("seconds", "attention_seconds"), "attention_seconds"),
         (T.seconds(T.window_union(anchors, by), by, "attention_alone_seconds"), "attention_alone_seconds"),
         (T.seconds(T.clusters(agents, by), by, "agent_seconds"), "agent_seconds"),
-        (anchors.groupBy(*by).agg(F.count(F.lit(1)).alias("prompts")), "prompts"),
-        (commits.groupBy(*by).agg(F.count(F.lit(1)).alias("commits")), "commits"),
+        (anchors.groupBy(*by).agg(F.sum("n").alias("prompts")), "prompts"),
+        (commits.groupBy(*by).agg(F.sum("n").alias("commits")), "commits"),
     ]
     names = [n for _, n in parts]
     zero = lambda df, name: df.select("repository", *[(F.col(n) if n == name else F.lit(0).cast("bigint")).alias(n) for n in names])
@@ -86,8 +98,9 @@ def in_report_order(repositories: DataFrame) -> DataFrame:
 
 
 def totals(rows: DataFrame, offset: int = 0) -> DataFrame:
-    """One row: unions, naive sums and daily sums of the attention and agent clocks."""
-    anchors, agents = only(rows, "anchor"), only(rows, "agent")
+    """``metric, value``: unions, naive sums and daily sums of the attention and agent clocks."""
+    live = routed_seconds(rows)
+    anchors, agents = only(live, "anchor"), only(live, "agent")
     day = ["local_day"]
     dated = lambda df: df.withColumn("local_day", local_day(offset))
     total = lambda spans, name: spans.agg(F.coalesce(F.sum(F.col("end") - F.col("start")), F.lit(0).cast("bigint")).alias(name))
@@ -107,7 +120,7 @@ def totals(rows: DataFrame, offset: int = 0) -> DataFrame:
 
 def daily(rows: DataFrame, offset: int = 0) -> DataFrame:
     """Per local day: attention and agent seconds of that day's own observations, windows not cut at midnight."""
-    dated = rows.withColumn("local_day", local_day(offset))
+    dated = routed_seconds(rows).withColumn("local_day", local_day(offset))
     day = ["local_day"]
     attention = T.seconds(T.window_union(only(dated, "anchor"), day), day, "attention_seconds")
     agent = T.seconds(T.clusters(only(dated, "agent"), day), day, "agent_seconds")
