@@ -78,6 +78,27 @@ def test_long_conversation(spark):
     assert found(chat(spark, rows)) == {("s", i + 1, f"m{i}") for i in range(3000)}
 
 
+def test_short_and_long_ways_agree(spark, monkeypatch):
+    from tidemark.llm import conversations
+
+    rows = [(i, f"s{i % 7}", f"m{i}", f"m{i - 7}" if i >= 7 else None, "user" if i // 7 % 2 == 0 else "assistant", None, None, '"x"') for i in range(7 * 20)]
+    rows += [(500, "s1", "odd", "odd2", "user", None, None, '"x"'), (501, "s1", "odd2", "odd", "assistant", None, None, '"x"')]
+    df = chat(spark, rows)
+    short = found(df)
+    monkeypatch.setattr(conversations, "SMALL", 3)
+    assert found(df) == short == {(f"s{k}", n + 1, f"m{k + 7 * n}") for k in range(7) if k != 1 for n in range(20)}
+
+
+def test_quotes_join_rows_without_a_session(spark):
+    said = ("user", None, None, '"x"'), ("assistant", None, None, '"x"')
+    rows = [(1, None, "a", None, *said[0]), (2, None, "b", "a", *said[1]), (3, None, "c", None, *said[0]), (4, None, "d", "c", *said[1]), (5, "s", "e", None, *said[0]), (6, "s", "f", "e", *said[1])]
+    apart = {(r.conversation, r.msg_no, r.id) for r in rebuild_conversations(chat(spark, rows)).collect()}
+    assert apart == {("component/1", 1, 1), ("component/1", 2, 2), ("component/3", 1, 3), ("component/3", 2, 4), ("session/s", 1, 5), ("session/s", 2, 6)}
+    quotes = spark.createDataFrame([(4, 1), (6, 2)], "u bigint, v bigint")
+    joined = {r.conversation for r in rebuild_conversations(chat(spark, rows), quotes).collect()}
+    assert joined == {"session/s"}  # two first messages in one conversation
+
+
 def test_components(spark):
     random.seed(8)
     edges = [(random.randrange(400), random.randrange(400)) for _ in range(260)] + [(1000, i) for i in range(1001, 1400)] + [(i, i + 1) for i in range(2000, 2100)] + [(5, 5), (None, 3)]
@@ -198,7 +219,8 @@ def test_tiers_change_the_plan(spark):
         held[r.window_id, r.window] = held.get((r.window_id, r.window), 0) + r.token_to - r.token_from
         inside.setdefault(r.window_id, set()).add(r.container_id)
     assert all(n <= window for (_, window), n in held.items()) and all(len(c) == 1 for c in inside.values())
-    assert {w for _, w in held} == {256, 512, 1024, 2048} and {r.window for r in plain} == {2048}
+    assert {w for _, w in held} >= {256, 1024, 2048} and {r.window for r in plain} == {2048}
+    assert [w.count for w in plan_tiers({400: 8, 100: 20}).windows] == [6, 8, 0, 0] and plan_tiers({400: 8, 100: 20}).containers == 3
     assert any(r.window > r.tier for r in tiered) and all(r.window >= r.tier for r in tiered)
 
 
@@ -255,3 +277,39 @@ def test_pairs_of_the_data(spark, data):
 def test_queries_run(spark, data):
     assert Q.p8_round_trip(spark, data).count() == 0
     assert Q.p9_steps(spark, data).count() >= 1
+
+
+def test_sequences_and_wider_letters():
+    t = Transducer()
+    assert max(map(len, t.mapping)) > 1 and all(t.apply(x) == x for x in t.mapping.values())
+    same = [("o\u0338re", "øre"), ("\u0131\u0307", "i"), ("\u0456\u0307", "i"), ("l\u200b\u0338", "ł"), ("ｄ\u0335", "đ"), ("α", "a"), ("ρ", "р"), ("ι", "i"), ("γ", "у"), ("т", "τ"),
+            ("π", "п"), ("ⲟ", "o"), ("ꓐ", "B"), ("о\u0338", "ø"), ("o\u0338\u0301", "ǿ")]
+    for a, b in same:
+        assert t.apply(a) == t.apply(b), (a, b)
+    for a, b in [("ø", "o"), ("ł", "l"), ("đ", "d"), ("ı", "i"), ("ä", "a"), ("ё", "e"), ("β", "ß"), ("ж", "x")]:
+        assert t.apply(a) != t.apply(b), (a, b)
+    with pytest.raises(ValueError):
+        from tidemark.llm import lookalike
+
+        before = lookalike.SEQUENCES
+        try:
+            lookalike.SEQUENCES = {"\uff21": "B"}
+            build_mapping()
+        finally:
+            lookalike.SEQUENCES = before
+
+
+def test_readable_text_keeps_scripts():
+    from tidemark.llm.lookalike import Reader
+
+    r = Reader()
+    kept = ["Сессия сохранена на диске", "λόγος και α", "ключ ref", "日本語", "naïve", ""]
+    assert [r.apply(x) for x in kept] == kept
+    assert r.apply("Тһе рrоmрt") == "The prompt" and r.apply("cохрaнeно ключ") == "сохранено ключ" and r.apply("ｆｕｌｌ\u00a0w\u00adidth") == "full width"
+    t = Transducer()
+    assert all(t.apply(r.apply(x)) == t.apply(x) for x in [*kept, "Тһе рrоmрt", "cохрaнeно ключ"])
+
+
+def test_forms_of_documents(spark):
+    got = {r.doc_id: (r.consistent, r.readable) for r in consistent_text(docs(spark, [None, "", "ключ", "Тһе"])).collect()}
+    assert got[0] == (None, None) and got[1] == ("", "") and got[2][1] == "ключ" and got[2][0] == Transducer().apply("ключ") and got[3] == ("The", "The")

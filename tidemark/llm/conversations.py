@@ -1,19 +1,23 @@
 """Ordered conversations rebuilt from separate message rows.
 
 Rows are linked by the parent they reply to. Links over rows that are no messages are
-resolved by pointer jumping; sessions are then judged by map-side combined counts (first
-messages, absent parents, branches, unanswered prompts). The links of the remaining rows
-form components, found by alternating large-star and small-star joins, which also name
-conversations that carry no session identifier; a session must be one component that
-holds its first message, which leaves no cycle. Messages are numbered by pointer
-jumping along the chain, in as many rounds as the logarithm of the longest chain.
-Nothing is gathered per session, so a session that holds a third of all rows is no
-special case.
+resolved by pointer jumping. Rows that lack a session identifier are put into conversations
+as the connected components of their reply and quote links, found by alternating
+large-star and small-star joins. Conversations are then judged by map-side combined counts
+(first messages, absent parents, branches, unanswered prompts), and the promising ones are
+numbered along their chain; one whose messages do not all get a number has a cycle. Conversations
+of a bounded number of messages are numbered in one group each, longer ones by pointer
+jumping, in as many rounds as the logarithm of the longest chain, so a session that holds a
+third of all rows is never gathered.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
@@ -24,6 +28,8 @@ from tidemark.operators.blocks import read_json, walk
 from tidemark.scratch import Scratch
 
 ROOT, ABSENT = -1, -2
+#: Messages of a conversation that may be gathered into one row; longer conversations are numbered by joins.
+SMALL = 1_000
 
 
 def content_says_something(text: str | None) -> bool:
@@ -118,15 +124,15 @@ def _shorter(jumps: DataFrame) -> bool:
     return not jumps.where(~F.col("done")).join(done, "up", "left_semi").isEmpty()
 
 
-def promising_sessions(msgs: DataFrame) -> DataFrame:
-    """Sessions with one first message, no absent parent, no branch and an answer to every prompt."""
+def promising(msgs: DataFrame) -> DataFrame:
+    """``conversation, n`` of those with one first message, no absent parent, no branch and an answer to every prompt."""
     child = msgs.where(F.col("up") >= 0).groupBy("up").agg(
         F.count(F.lit(1)).alias("children"), F.max((F.col("role") == "assistant") & F.col("answer")).alias("answered")
     )
     seen = msgs.join(child.withColumnRenamed("up", "c"), F.col("id") == F.col("c"), "left")
     children = F.coalesce("children", F.lit(0))
     return (
-        seen.groupBy("session")
+        seen.groupBy("conversation")
         .agg(
             F.count(F.lit(1)).alias("n"),
             F.count_if(F.col("up") == ROOT).alias("roots"),
@@ -135,72 +141,121 @@ def promising_sessions(msgs: DataFrame) -> DataFrame:
             F.count_if((F.col("role") == "user") & ~((children == 1) & F.coalesce("answered", F.lit(False)))).alias("unanswered"),
         )
         .where("roots = 1 and absent = 0 and most <= 1 and unanswered = 0")
-        .select("session", "n")
+        .select("conversation", "n")
     )
 
 
 def chain_positions(msgs: DataFrame, scratch: Scratch) -> DataFrame:
-    """``id, msg_no`` from 1 along ``up``; rows that never reach a ROOT (cycles) get none."""
-    first = msgs.select("id", "up", F.lit(1).cast("bigint").alias("steps"))
-    ranks = scratch.cut(first, "ranks")
-    before = None
+    """``id, msg_no`` from 1 along ``up``; rows that never reach a ROOT (cycles) get none.
+
+    Each round writes what is still open and what became final; final rows are not written again.
+    """
+    still = scratch.cut(msgs.select("id", "up", F.lit(1).cast("bigint").alias("steps")), "ranks")
+    final = still.where(F.col("up") < 0)
+    before, no = None, 0
     while True:
-        open_rows = ranks.where(F.col("up") >= 0).count()
-        if not open_rows or open_rows == before:
-            break
-        before = open_rows
-        far = ranks.select(F.col("id").alias("up"), F.col("up").alias("up2"), F.col("steps").alias("steps2"))
-        ahead = ranks.where(F.col("up") >= 0).join(far, "up")
-        moved = ahead.select("id", F.col("up2").alias("up"), (F.col("steps") + F.col("steps2")).alias("steps"))
-        ranks = scratch.cut(ranks.where(F.col("up") < 0).unionByName(moved), "ranks")
-    return ranks.where(F.col("up") == ROOT).select("id", F.col("steps").alias("msg_no"))
+        still_open = still.where(F.col("up") >= 0)
+        n = still_open.count()
+        if not n or n == before:
+            return final.where(F.col("up") == ROOT).select("id", F.col("steps").alias("msg_no"))
+        before, no = n, no + 1
+        far = final.unionByName(still_open).select(F.col("id").alias("up"), F.col("up").alias("up2"), F.col("steps").alias("steps2"))
+        moved = still_open.join(far, "up").select("id", F.col("up2").alias("up"), (F.col("steps") + F.col("steps2")).alias("steps"))
+        still = scratch.cut(moved, f"ranks{no}")
+        final = final.unionByName(still.where(F.col("up") < 0))
+
+
+def walk_chain(ups: list[int], ids: list[int]) -> list[int] | None:
+    """Positions in the order from the first message, or None where the links are no single chain."""
+    at, reply = {x: i for i, x in enumerate(ids)}, {}
+    for i, up in enumerate(ups):
+        if up in reply:
+            return None
+        reply[up] = i
+    order, here = [], ROOT
+    while (i := reply.get(here)) is not None and len(order) < len(ids):
+        order.append(i)
+        here = ids[i]
+    return order if len(order) == len(at) else None
+
+
+def number_small(msgs: DataFrame) -> DataFrame:
+    """``conversation, id, uuid, role, msg_no`` of conversations that are single chains, each gathered into one row.
+
+    For conversations of at most SMALL messages only: the group is bounded.
+    """
+    fields = ("id", "up", "uuid", "role")
+    kinds = (pa.int64(), pa.int64(), pa.string(), pa.string())
+    grouped = msgs.groupBy("conversation").agg(*[F.collect_list(F.struct(*fields)).alias("m")])
+    packed = grouped.select("conversation", *[F.col(f"m.{f}").alias(f) for f in fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat = [batch.column(i + 1).flatten() for i in range(len(fields))]
+            ends = np.cumsum([0, *batch.column(1).value_lengths().to_pylist()])
+            ids, ups = flat[0].to_pylist(), flat[1].to_pylist()
+            take, owner, number = [], [], []
+            for row, (a, b) in enumerate(zip(ends, ends[1:], strict=False)):
+                order = walk_chain(ups[a:b], ids[a:b])
+                if order is not None:
+                    take += [a + i for i in order]
+                    owner += [row] * (b - a)
+                    number += range(1, b - a + 1)
+            at = pa.array(take, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(owner, pa.int64())), flat[0].take(at), flat[2].cast(kinds[2]).take(at), flat[3].cast(kinds[3]).take(at), pa.array(number, pa.int64())],
+                names=["conversation", "id", "uuid", "role", "msg_no"],
+            )
+
+    return packed.mapInArrow(run, "conversation string, id bigint, uuid string, role string, msg_no bigint")
+
+
+def number_large(msgs: DataFrame, scratch: Scratch) -> DataFrame:
+    """The same of conversations of any size, by pointer jumping; ``msgs`` carries ``n``, the number of messages."""
+    placed = msgs.join(chain_positions(msgs, scratch), "id")
+    whole = placed.groupBy("conversation").agg(F.count(F.lit(1)).alias("placed"))
+    return placed.join(whole, "conversation").where("placed = n").select("conversation", "id", "uuid", "role", "msg_no")
+
+
+def name_by_components(loose: DataFrame, quotes: DataFrame | None, scratch: Scratch) -> DataFrame:
+    """``loose`` plus ``conversation``: ``component/`` and the lowest id of all messages linked to one another."""
+    links = loose.where(F.col("up") >= 0).select(F.col("id").alias("u"), F.col("up").alias("v"))
+    if quotes is not None:
+        members = loose.select("id")
+        ends = quotes.select("u", "v").join(members.withColumnRenamed("id", "u"), "u").join(members.withColumnRenamed("id", "v"), "v")
+        links = links.unionByName(ends.select("u", "v"))
+    parts = connected_components(links, scratch).withColumnRenamed("node", "id")
+    named = loose.join(parts, "id", "left")
+    return named.withColumn("conversation", F.concat(F.lit("component/"), F.coalesce("component", "id"))).drop("component")
 
 
 def rebuild_conversations(kept: DataFrame, quotes: DataFrame | None = None) -> DataFrame:
-    """``session_id, component, msg_no, id, rec_uuid, role`` of the messages of all good conversations.
+    """``session_id, component, conversation, msg_no, id, rec_uuid, role`` of the messages of all good conversations.
 
-    ``kept`` holds deduplicated transcript rows with a unique row_id; ``quotes(u, v)`` may add links
-    between row ids. Rows of no session have session_id null and are conversations by their
-    component. A conversation is good when its messages form one chain from exactly one first
-    message and an assistant message that holds content directly follows every user message;
+    ``kept`` holds deduplicated transcript rows with a unique row_id. A conversation is the messages of a
+    session, or, of rows without one, those linked by replies and by ``quotes(u, v)`` between row ids
+    (links to rows of a session do not count); its session_id is null then, and component its lowest row. It is good when its messages form one
+    chain from exactly one first message and an assistant message that holds content directly follows every user message;
     others are dropped whole. A null rec_uuid can be no parent but can end a chain. Empty tables
-    give no row; unknown roles and sidechain rows are passed over.
+    give no row; unknown roles and sidechain rows are passed over. Jobs run while the frame is being built.
     """
     scratch = Scratch(kept.sparkSession)
     rows = scratch.cut(with_parent_id(message_rows(kept)), "rows")
     msgs = scratch.cut(pass_over(rows, scratch), "msgs")
     scratch.release("rows")
     scratch.release("jumps")
-    identified, loose = msgs.where(F.col("session").isNotNull()), msgs.where(F.col("session").isNull())
-    good = promising_sessions(identified)
-    candidates = scratch.cut(
-        identified.join(good, "session").unionByName(loose.withColumn("n", F.lit(None).cast("bigint"))), "candidates"
-    )
+    loose = msgs.where(F.col("session").isNull())
+    components = name_by_components(loose, quotes, scratch)
+    every = msgs.where(F.col("session").isNotNull()).withColumn("conversation", F.concat(F.lit("session/"), F.col("session"))).unionByName(components)
+    candidates = scratch.cut(every.join(promising(every), "conversation").select("conversation", "n", "id", "up", "uuid", "role"), "candidates")
     scratch.release("msgs")
-    links = candidates.where(F.col("up") >= 0).select(F.col("id").alias("u"), F.col("up").alias("v"))
-    if quotes is not None:
-        links = links.unionByName(quotes.select("u", "v"))
-    parts = connected_components(links, scratch)
-    named = scratch.cut(
-        candidates.join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id")),
-        "named",
-    )
     scratch.release("edges")
-    scratch.release("candidates")
-    # Rows without a session are judged per component, once components are known.
-    conversation = F.coalesce("session", F.concat(F.lit("component/"), F.col("component")))
-    named = named.withColumn("conversation", conversation)
-    loose_good = promising_sessions(named.where(F.col("session").isNull()).drop("session").withColumnRenamed("conversation", "session"))
-    whole = (
-        named.where(F.col("session").isNotNull())
-        .groupBy("conversation")
-        .agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-        .where("lo = hi")
-        .select("conversation")
-        .unionByName(loose_good.select(F.col("session").alias("conversation")))
-    )
-    chained = named.join(whole, "conversation", "left_semi")
-    numbered = chained.join(chain_positions(chained.select("id", "up"), scratch), "id")
+    numbered = number_small(candidates.where(F.col("n") <= SMALL))
+    large = candidates.where(F.col("n") > SMALL)
+    if not large.isEmpty():
+        numbered = numbered.unionByName(number_large(large, scratch))
+    after = lambda prefix: F.when(F.col("conversation").startswith(prefix), F.substring("conversation", len(prefix) + 1, 1 << 30))
     return numbered.select(
-        F.col("session").alias("session_id"), "component", "msg_no", "id", F.col("uuid").alias("rec_uuid"), "role"
-    )
+        after("session/").alias("session_id"), after("component/").cast("bigint").alias("component"), "conversation", "msg_no", "id",
+        F.col("uuid").alias("rec_uuid"), "role",
+    )

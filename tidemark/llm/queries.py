@@ -26,6 +26,13 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return conversations(spark, d).where(F.col("session_id").isNotNull()).select("session_id", "msg_no", "rec_uuid")
 
 
+def p1_conversations(spark: SparkSession, d: str) -> DataFrame:
+    """All good conversations, also those of rows without a session: name, first and last message and size."""
+    found = conversations(spark, d)
+    ends = [F.min_by("id", "msg_no").alias("first_row"), F.max_by("id", "msg_no").alias("last_row")]
+    return found.groupBy("conversation").agg(F.count(F.lit(1)).alias("n_messages"), F.count_if(F.col("role") == "user").alias("n_prompts"), *ends)
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     """Token ids of every document."""
     return encode(table(spark, d, "documents"), tokenizer_path())
@@ -64,12 +71,12 @@ def p10_classes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_text(spark: SparkSession, d: str) -> DataFrame:
-    """The one consistent form of every text."""
-    return consistent_text(table(spark, d, "documents")).select("doc_id", "consistent")
+    """The one form of every text for comparisons, and a form to read."""
+    return consistent_text(table(spark, d, "documents")).select("doc_id", "consistent", "readable")
 
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p8_ids, p8_offsets, p8_round_trip, p9_containers, p9_steps, p10_found, p10_classes, p10_text)
+    for f in (p1_found, p1_conversations, p8_ids, p8_offsets, p8_round_trip, p9_containers, p9_steps, p10_found, p10_classes, p10_text)
 }
 SQL: dict[str, str] = {}
