@@ -14,6 +14,7 @@ from tidemark.operators.copies import duplicate_rows, kept_rows, transcript_key
 from tidemark.operators.drift import field_counts, field_profiles, schema_changes, union_schema, unified_table
 from tidemark.operators.instants import CANONICAL, normalise_instants
 from tidemark.operators.periods import periods_and_gaps
+from tidemark.plans import problem_sql
 from tidemark.tables import table
 
 DEVICE_OF_URI = r"^[a-z]+://device/([^/]+)"
@@ -85,9 +86,12 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p2_found, p3_found, p4_found, p4_table, p4_fields, p5_found, p6_found, p7_found)}
 
-_UUID = "regexp_replace(lower({0}), '^(urn:uuid:)?[{{]?([0-9a-f]{{8}})-?([0-9a-f]{{4}})-?([0-9a-f]{{4}})-?([0-9a-f]{{4}})-?([0-9a-f]{{12}})[}}]?$', '\\2-\\3-\\4-\\5-\\6')"
-
 SQL = {
+    "p2_found": problem_sql.P2,
+    "p3_found": problem_sql.P3,
+    "p4_found": problem_sql.P4_FOUND,
+    "p4_fields": problem_sql.P4_FIELDS,
+    "p5_found": problem_sql.P5,
     "p6_found": """
         WITH v AS (SELECT repository, span_start AS s, span_end AS e FROM block_parts
                    WHERE repository IS NOT NULL AND span_end > span_start),
@@ -100,7 +104,7 @@ SQL = {
         SELECT repository, 'gap', b, nxt FROM (SELECT *, lead(a) OVER (PARTITION BY repository ORDER BY a) AS nxt FROM p)
         WHERE nxt IS NOT NULL""",
     "p7_found": f"""
-        WITH t AS (SELECT row_id, {_UUID.format('session_id')} AS s, {_UUID.format('rec_uuid')} AS u FROM transcripts),
+        WITH t AS (SELECT row_id, {problem_sql.uuid_text('session_id')} AS s, {problem_sql.uuid_text('rec_uuid')} AS u FROM transcripts),
         t2 AS (SELECT *, row_number() OVER (PARTITION BY s, u ORDER BY row_id) AS n FROM t WHERE s IS NOT NULL AND u IS NOT NULL),
         o AS (SELECT row_id, row_number() OVER (PARTITION BY dedupe_key ORDER BY row_id) AS n FROM observations WHERE dedupe_key IS NOT NULL)
         SELECT 'transcripts' AS src_table, row_id FROM t2 WHERE n > 1
