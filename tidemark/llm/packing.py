@@ -294,3 +294,21 @@ def step_balance(packed: DataFrame) -> DataFrame:
     size = F.col("token_to") - F.col("token_from")
     per = packed.groupBy("step_no", "container_id").agg(F.count(F.lit(1)).alias("p"), F.sum(size).alias("t"))
     return per.groupBy("step_no").agg(F.count(F.lit(1)).alias("containers"), F.sum("p").alias("pieces"), F.sum("t").alias("tokens"))
+
+
+def packing_faults(packed: DataFrame, counts: DataFrame, capacity: int = CAPACITY, key: str = "doc_id", tokens: str = "n_tokens") -> DataFrame:
+    """One row: ``documents`` placed, and the number of containers and windows too full, documents not placed whole, windows in two containers."""
+    size = F.col("token_to") - F.col("token_from")
+    zero = F.lit(0).cast("bigint")
+    window = packed.groupBy("window_id", "window").agg(F.sum(size).alias("held"), F.min("container_id").alias("lo"), F.max("container_id").alias("hi"))
+    container = window.groupBy("lo").agg(F.sum("held").alias("held"))
+    placed = packed.groupBy(key).agg(F.sum(size).alias("got"), F.max("token_to").alias("last"), F.count_distinct("piece_no").alias("p"), F.max("piece_no").alias("top"))
+    whole = (F.col("got") == F.col(tokens)) & (F.col("last") == F.col(tokens)) & (F.col("p") == F.col("top") + 1)
+    docs = counts.where(F.col(tokens) > 0).select(key, tokens).join(placed, key, "full")
+    parts = [
+        docs.select(F.when(F.col("got").isNotNull(), 1).otherwise(0).alias("documents"), zero.alias("a"), zero.alias("b"), F.when(whole, 0).otherwise(1).alias("c"), zero.alias("d")),
+        container.select(zero, F.when(F.col("held") > capacity, 1).otherwise(0), zero, zero, zero),
+        window.select(zero, zero, F.when(F.col("held") > F.col("window"), 1).otherwise(0), zero, F.when(F.col("lo") != F.col("hi"), 1).otherwise(0)),
+    ]
+    names = ("documents", "over_capacity", "over_window", "incomplete", "in_two_containers")
+    return parts[0].union(parts[1]).union(parts[2]).toDF(*names).agg(*[F.sum(n).alias(n) for n in names])

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+__all__ = ["QUERIES", "SQL"]
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.conversations import rebuild_conversations
 from tidemark.llm.encode import decode, encode, token_counts, token_offsets, tokenizer_path
 from tidemark.llm.lookalike import consistent_text, look_alike_pairs, text_classes
-from tidemark.llm.packing import pack, step_balance
+from tidemark.llm.packing import pack, packing_faults, step_balance
+from tidemark.llm.sql import SQL
 from tidemark.operators.copies import kept_rows, transcript_key
 from tidemark.tables import table
 
@@ -43,11 +46,20 @@ def p8_offsets(spark: SparkSession, d: str) -> DataFrame:
     return token_offsets(table(spark, d, "documents"), tokenizer_path())
 
 
+def p8_spans(spark: SparkSession, d: str) -> DataFrame:
+    """Per document with tokens: the code points its tokens cover, and how many tokens leave a gap before them (none)."""
+    tokens = token_offsets(table(spark, d, "documents"), tokenizer_path())
+    # Tokens of one document come in one batch and in order, so a gap shows against the token before in it.
+    before = F.lag("char_to", 1, 0).over(Window.partitionBy("doc_id").orderBy("pos"))
+    gaps = tokens.withColumn("gap", F.col("char_from") > before)
+    return gaps.groupBy("doc_id").agg(
+        F.min("char_from").alias("first_char"), F.max("char_to").alias("last_char"), F.count_if("gap").cast("int").alias("breaks")
+    )
+
+
 def p8_round_trip(spark: SparkSession, d: str) -> DataFrame:
-    """Documents whose decoded ids are not their text: none."""
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    back = decode(encode(docs, tokenizer_path()), tokenizer_path()).withColumnRenamed("text", "back")
-    return docs.join(back, "doc_id").where(F.coalesce("text", F.lit("")) != F.col("back")).select("doc_id", "text", "back")
+    """The text of every document as it comes back from its ids; empty for a null text."""
+    return decode(encode(table(spark, d, "documents"), tokenizer_path()), tokenizer_path())
 
 
 def p9_containers(spark: SparkSession, d: str) -> DataFrame:
@@ -60,6 +72,11 @@ def p9_steps(spark: SparkSession, d: str) -> DataFrame:
     return step_balance(p9_containers(spark, d))
 
 
+def p9_audit(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of the packing: documents placed, and how many containers, windows and pieces break a rule (none)."""
+    return packing_faults(p9_containers(spark, d), token_counts(table(spark, d, "documents"), tokenizer_path()))
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of documents that look the same but differ in characters."""
     return look_alike_pairs(table(spark, d, "documents"))
@@ -77,6 +94,7 @@ def p10_text(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_conversations, p8_ids, p8_offsets, p8_round_trip, p9_containers, p9_steps, p10_found, p10_classes, p10_text)
-}
-SQL: dict[str, str] = {}
+    for f in (
+        p1_found, p1_conversations, p8_ids, p8_offsets, p8_spans, p8_round_trip, p9_containers, p9_steps, p9_audit, p10_found, p10_classes, p10_text,
+    )
+}
