@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.identifiers import key_hash
+from tidemark.functions.steps import step
 
 H1, H2, COUNT, BUCKET, RANK, ORDER = (f"__copies_{x}" for x in ("h1", "h2", "n", "bucket", "rank", "order"))
 #: Members of a group that are ranked together; larger groups are cut into buckets of about this size.
@@ -25,13 +26,17 @@ GROUP_AT_ONCE = 20_000
 
 def _hashed(df: DataFrame, keys: Sequence[Column], order: Column) -> DataFrame:
     """``df`` with the hashed key; a row without a whole key has a hash of its own, so it is nobody's copy."""
-    whole = keys[0].isNotNull()
-    for k in keys[1:]:
-        whole = whole & k.isNotNull()
-    h1, h2 = key_hash(*keys)
+    # A step of its own, as each key is mentioned three times below and may be costly to write in its one form.
+    named = [f"__copies_key{i}" for i in range(len(keys))]
+    keyed = step(df, **dict(zip(named, keys, strict=True)))
+    whole = F.lit(True)
+    for k in named:
+        whole = whole & F.col(k).isNotNull()
+    h1, h2 = key_hash(*map(F.col, named))
     apart = F.lit("no key"), order
     # Both hashes are never null: a join then adds no filter, and both joins below share one shuffle of the rows.
-    return df.withColumns({H1: F.when(whole, h1).otherwise(F.xxhash64(*apart)), H2: F.when(whole, h2).otherwise(F.xxhash64(F.lit("apart"), *apart))})
+    hashes = {H1: F.when(whole, h1).otherwise(F.xxhash64(*apart)), H2: F.when(whole, h2).otherwise(F.xxhash64(F.lit("apart"), *apart))}
+    return keyed.withColumns(hashes).drop(*named)
 
 
 def _repeated(hashed: DataFrame) -> DataFrame:
