@@ -240,7 +240,9 @@ def rebuild_conversations(kept: DataFrame, quotes: DataFrame | None = None) -> D
     give no row; unknown roles and sidechain rows are passed over. Jobs run while the frame is being built.
     """
     scratch = Scratch(kept.sparkSession)
-    rows = scratch.cut(with_parent_id(message_rows(kept)), "rows")
+    # Every row is asked for by its replies as well as asking for its parent: it is deduplicated and read once.
+    rows = scratch.cut(with_parent_id(scratch.cut(message_rows(kept), "plain")), "rows")
+    scratch.release("plain")
     msgs = scratch.cut(pass_over(rows, scratch), "msgs")
     scratch.release("rows")
     scratch.release("jumps")
