@@ -24,14 +24,14 @@ P1 = f"""WITH RECURSIVE {_MESSAGES},
   SELECT chain.s AS session_id, CAST(no AS BIGINT) AS msg_no, u AS rec_uuid FROM chain JOIN good ON good.s = chain.s
   WHERE (SELECT count(*) FROM chain x WHERE x.s = chain.s) = good.n"""
 
-#: Letters that look like Latin ones, as two equally long texts.
+#: Letters that look like Latin ones, as two equally long texts: plain ones, then some written with their accent.
 _LIKE = (
-    "АВЕЅІЈКМНОРСТХҮԌԚԜаеѕіјорсухһԁԛԝүѵӏӀѴΑΒΕΖΗΙΚΜΝΟΡΤΥΧαγινορυϲϹϳͿօՕսոհցզՏԼՍɡɑ",
-    "ABESIJKMHOPCTXYGQWaesijopcyxhdqwyvlIVABEZHIKMNOPTYXayivopucCjJoOunhgqSLUga",
+    "АВЕЅІЈКМНОРСТХҮԌԚԜаеѕіјорсухһԁԛԝүѵӏӀѴΑΒΕΖΗΙΚΜΝΟΡΤΥΧαγινορυϲϹϳͿօՕսոհցզՏԼՍɡɑёЁїЇόάίύΆΈΌΊ",
+    "ABESIJKMHOPCTXYGQWaesijopcyxhdqwyvlIVABEZHIKMNOPTYXayivopucCjJoOunhgqSLUgaëËïÏóáíúÁÉÓÍ",
 )
-_FORM = rf"""nfc_normalize(translate(replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(nfc_normalize(regexp_replace(translate(text,
+_FORM = rf"""nfc_normalize(translate(replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(translate(text,
     array_to_string(list_transform(range(65281, 65375), lambda c: chr(c::INT)), '') || chr(12288), array_to_string(list_transform(range(33, 127), lambda c: chr(c::INT)), '') || ' '),
-    '[\x{{00ad}}\x{{034f}}\x{{061c}}\x{{115f}}\x{{1160}}\x{{17b4}}\x{{17b5}}\x{{180b}}-\x{{180f}}\x{{200b}}-\x{{200c}}\x{{200e}}-\x{{200f}}\x{{202a}}-\x{{202e}}\x{{2060}}-\x{{206f}}\x{{fe00}}-\x{{fe0e}}\x{{feff}}]', '', 'g')),
+    '[\x{{00ad}}\x{{034f}}\x{{061c}}\x{{115f}}\x{{1160}}\x{{17b4}}\x{{17b5}}\x{{180b}}-\x{{180f}}\x{{200b}}-\x{{200c}}\x{{200e}}-\x{{200f}}\x{{202a}}-\x{{202e}}\x{{2060}}-\x{{206f}}\x{{fe00}}-\x{{fe0e}}\x{{feff}}]', '', 'g'),
     '[\x{{00a0}}\x{{2000}}-\x{{200a}}\x{{202f}}\x{{205f}}]', ' ', 'g'), '[\x{{2010}}\x{{2011}}]', '-', 'g'), '\x{{200d}}', '', 'g'),
     'ﬀ', 'ff'), 'ﬁ', 'fi'), 'ﬂ', 'fl'), 'ﬃ', 'ffi'), 'ﬄ', 'ffl'), 'ﬅ', 'st'), 'ﬆ', 'st'),
     '{_LIKE[0]}µτπ', '{_LIKE[1]}μтп'))"""
