@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType
 
 from tidemark.functions.scalars import short_event
-from tidemark.schema import COMMIT, EVENT_TYPES
+from tidemark.functions.steps import step
+from tidemark.schema import COMMIT
 
 #: Patterns that must never occur in an observation.
 LEAKS = {
@@ -23,14 +26,58 @@ LEAKS = {
 }
 #: Allowed values of closed envelope fields.
 ALLOWED = {
-    "source_kind": ("claude-code", "codex", "otlp", "git", "os-presence", "media", "calendar", "browser"),
-    "integrity_state": ("ok", "possible_duplicate", "clock_skew", "gap"),
+    "source_kind": ("claude-code", "codex", "git", "otlp", "os-presence", "media"),
+    "integrity_state": ("ok", "possible_duplicate", "gap", "clock_skew", "quarantined"),
     "profile": ("personal", "client"),
     "time_basis": ("occurred_at", "acquired_at", "copied_at", "received_at"),
     "tool_family": ("shell", "edit", "read", "search", "web", "mcp", "other"),
 }
 UUID7 = r"^[0-9a-f]{8}-[0-9a-f]{4}-7[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$"
+#: Patterns of envelope fields, the namespaces left open.
+FORMS = {
+    "obs_id": UUID7,
+    "source_uri": r"^[a-z]+://device/[A-Za-z0-9_-]+/adapter/[a-z0-9-]+$",
+    "event_type": r"^dev\.[a-z]+\.[a-z]+\.[a-z_]+\.v[0-9]+$",
+    "subject": r"^[A-Za-z0-9_./:-]{1,512}$",
+    "workspace_ref": r"^wsp_[A-Za-z0-9]+$",
+    "repository_ref": r"^rep_[A-Za-z0-9]+$",
+}
+DATE_TIME = r"^\d{4}-(0[1-9]|1[0-2])-(0[1-9]|[12]\d|3[01])[Tt ]([01]\d|2[0-3]):[0-5]\d:([0-5]\d|60)(\.\d+)?([Zz]|[+-]\d{2}(:?\d{2})?)$"
 REQUIRED = ("obs_id", "source_uri", "event_type", "subject", "obs_time", "observed_at", "source_kind", "dedupe_key", "integrity_state", "profile")
+#: Fields of a canonical envelope after its CloudEvents ones, without the prefix of their names; True: required.
+EXTENSIONS = {
+    "schemaversion": True, "sourcekind": True, "sourceversion": True, "adapterversion": True, "sourcerecordref": False, "observedat": True,
+    "monotonicns": False, "bootid": False, "privacyclass": True, "purposehint": False, "dedupekey": True, "integritystate": True, "profile": True,
+    "workspaceref": False, "repositoryref": False, "correlationcluster": False,
+}
+CLOUD_EVENTS = {"specversion": True, "id": True, "source": True, "type": True, "subject": True, "time": True, "datacontenttype": True, "traceparent": False, "data": True}
+BUCKETS = "0|1-9|10-99|100-999|1000-9999|10000\\+"
+OUTCOMES = "succeeded|failed|cancelled|timed_out|unknown"
+#: What the data of an event must hold (True) or may hold, by short event name, as patterns of the JSON text of a value.
+_TEXT = lambda p: f'^"({p})"$'
+_CONTENT, _MILLIS, _WORKSPACE = r'^(null|"cnt_[A-Za-z0-9]+")$', r"^(null|\d+)$", r'^(null|"wsp_[A-Za-z0-9]+")$'
+_FAMILY = _TEXT("|".join(ALLOWED["tool_family"]))
+_TOOL = {"tool_family": (_FAMILY, True), "content_ref": (_CONTENT, True), "workspace_ref": (_WORKSPACE, False), "agent_ref": (_TEXT("agt_[A-Za-z0-9]+"), False),
+         "agent_type": (_TEXT("[A-Za-z0-9_:-]{1,64}"), False)}
+DATA = {
+    "session.started": {"session_kind": (_TEXT("interactive|headless|unknown"), True)},
+    "session.ended": {"reason": (_TEXT("completed|aborted|timeout|crash|unknown"), True), "turn_count": (_TEXT(BUCKETS), False)},
+    "prompt.submitted": {"content_ref": (_CONTENT, True), "prompt_tokens": (_TEXT(BUCKETS), False)},
+    "response.completed": {"outcome": (_TEXT(OUTCOMES), True), "content_ref": (_CONTENT, True), "response_tokens": (_TEXT(BUCKETS), False)},
+    "turn.completed": {"outcome": (_TEXT(OUTCOMES), True), "content_ref": (_CONTENT, True), "duration_ms": (_MILLIS, False), "time_to_first_token_ms": (_MILLIS, False)},
+    "approval.requested": {"approval_kind": (_TEXT("command|file_write|network|tool|other"), True), "decision": (_TEXT("approved|denied|deferred|pending"), False)},
+    "approval.resolved": {"approval_kind": (_TEXT("command|file_write|network|tool|other"), True), "decision": (_TEXT("approved|denied|deferred|pending"), False)},
+    "tool.started": _TOOL,
+    "tool.finished": {**_TOOL, "outcome": (_TEXT(OUTCOMES), True), "duration_ms": (_MILLIS, True)},
+    "command.finished": {"command_family": (_TEXT("[a-z0-9_-]+"), True), "outcome": (_TEXT(OUTCOMES), True), "content_ref": (_CONTENT, True),
+                         "exit_code_class": (_TEXT("zero|nonzero|signal|unknown"), False), "duration_ms": (_MILLIS, False)},
+    "commit.observed": {"repository_ref": (_TEXT("rep_[A-Za-z0-9]+"), True), "changed_paths_count": (r"^\d+$", True), "insertions_bucket": (_TEXT(BUCKETS), False),
+                        "deletions_bucket": (_TEXT(BUCKETS), False), "message_ref": (_CONTENT, False)},
+    "device.active": {"state": (_TEXT("active|idle|locked"), True)},
+    "source.gap": {"reason": (_TEXT("[a-z0-9_]+"), True), "detail": (r'^(null|".{0,64}")$', False)},
+    "source.duplicate": {"reason": (_TEXT("[a-z0-9_]+"), True), "detail": (r'^(null|".{0,64}")$', False)},
+}
+_NO_BASIS = ("approval.requested", "approval.resolved", "command.finished", "commit.observed", "device.active")
 
 
 def leak_scan(rows: DataFrame, key: str, text: str) -> DataFrame:
@@ -69,18 +116,61 @@ def leak_scan_fields(rows: DataFrame, key: str) -> DataFrame:
 
 
 def envelope_problems(rows: DataFrame) -> DataFrame:
-    """``row_id, problem``: one row for every broken rule of an observation's envelope."""
+    """``row_id, problem``: one row for every broken rule of an observation's envelope, as far as its columns hold it."""
     rules: dict[str, Column] = {f"{c} is missing": F.col(c).isNull() for c in REQUIRED}
     rules |= {f"{c} is unknown": ~F.col(c).isin(*v) for c, v in ALLOWED.items()}
-    rules["event_type is unknown"] = ~short_event(F.col("event_type")).isin(*EVENT_TYPES)
-    rules["obs_id is no time-ordered uuid"] = ~F.col("obs_id").rlike(UUID7)
-    rules["source_uri names no device"] = ~F.col("source_uri").rlike(r"^[a-z]+://device/[^/]+/adapter/[^/]+$")
-    commit = short_event(F.col("event_type")) == COMMIT
-    rules["a commit carries no workspace"] = commit & F.col("workspace_ref").isNotNull()
+    rules |= {f"{c} has another form": ~F.col(c).rlike(p) for c, p in FORMS.items()}
+    rules["obs_time is no date-time"] = ~F.col("obs_time").rlike(DATE_TIME)
+    rules["dedupe_key is empty"] = F.col("dedupe_key") == ""
+    rules["a commit carries no workspace"] = (short_event(F.col("event_type")) == COMMIT) & F.col("workspace_ref").isNotNull()
     found = F.array(*[F.when(broken, name) for name, broken in rules.items()])
     return rows.select("row_id", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("problem"))
 
 
+def schema_problems(rows: DataFrame, key: str, body: str, prefix: str) -> DataFrame:
+    """``key, problem`` of canonical observations as JSON texts, their own fields named ``prefix`` and a short name.
+
+    Missing and unknown fields, constants, closed values, patterns, and what each kind of event must hold in its data.
+    A text that is no JSON object has the one problem ``unreadable``.
+    """
+    v = lambda path: F.try_variant_get(F.col("__v"), path, "variant")
+    shown = lambda path: F.to_json(v(path))
+    names = {**CLOUD_EVENTS, **{f"{prefix}{n}": must for n, must in EXTENSIONS.items()}}
+    own = lambda n: f"{prefix}{n}"
+    null_or = lambda p: f'^(null|"{p}")$'
+    enum = lambda n: _TEXT("|".join(re.escape(x) for x in ALLOWED[n]))
+    inner = lambda p: p.removeprefix("^").removesuffix("$")
+    forms = {
+        "specversion": _TEXT(r"1\.0"), "id": _TEXT(inner(UUID7)), "source": _TEXT(inner(FORMS["source_uri"])), "type": _TEXT(inner(FORMS["event_type"])),
+        "subject": _TEXT(inner(FORMS["subject"])), "time": _TEXT(inner(DATE_TIME)), "datacontenttype": _TEXT("application/json"),
+        "traceparent": _TEXT("[0-9a-f]{2}-[0-9a-f]{32}-[0-9a-f]{16}-[0-9a-f]{2}"), own("schemaversion"): "^0$", own("sourcekind"): enum("source_kind"),
+        own("sourceversion"): '^".+"$', own("adapterversion"): '^".+"$', own("sourcerecordref"): '^(null|".*")$', own("observedat"): _TEXT(inner(DATE_TIME)),
+        own("monotonicns"): _MILLIS, own("bootid"): '^(null|".*")$', own("privacyclass"): _TEXT("t0_aggregate|t1_structured|t2_content|t3_media"),
+        own("purposehint"): '^(null|".*")$', own("dedupekey"): '^".+"$', own("integritystate"): enum("integrity_state"), own("profile"): enum("profile"),
+        own("workspaceref"): null_or("wsp_[A-Za-z0-9]+"), own("repositoryref"): null_or("rep_[A-Za-z0-9]+"), own("correlationcluster"): null_or("cor_[A-Za-z0-9]+"), "data": r"^\{",
+    }
+    parsed = step(rows.select(key, body), __v=F.try_parse_json(body))
+    parsed = step(parsed, __keys=F.coalesce(F.json_object_keys(body), F.array().cast("array<string>")), __event=short_event(F.try_variant_get("__v", "$.type", "string")))
+    known = F.array(*[F.lit(n) for n in names])
+    problem = lambda broken, text: F.when(broken, F.lit(text))
+    held = lambda n: F.array_contains("__keys", n)
+    found = [problem(~held(n), f"{n} is missing") for n, must in names.items() if must]
+    found += [problem(held(n) & ~F.coalesce(shown(f"$.{n}").rlike(p), F.lit(False)), f"{n} has another form") for n, p in forms.items()]
+    per_event = []
+    for event, fields in DATA.items():
+        basis = {} if event in _NO_BASIS else {"time_basis": (_TEXT("|".join(ALLOWED["time_basis"])), False)}
+        rules = []
+        for n, (p, must) in {**fields, **basis}.items():
+            text = shown(f"$.data.{n}")
+            rules += [problem(text.isNull(), f"data.{n} is missing")] if must else []
+            rules.append(problem(text.isNotNull() & ~text.rlike(p), f"data.{n} has another form"))
+        per_event.append(F.when(F.col("__event") == event, F.array(*rules)))
+    extra = F.transform(F.array_except("__keys", known), lambda k: F.concat(k, F.lit(" is unknown")))
+    every = F.concat(F.array(*found), extra, F.coalesce(*per_event, F.array().cast("array<string>")))
+    whole = F.when(F.coalesce(F.col("__v").isNull() | ~F.trim(body).startswith("{"), F.lit(True)), F.array(F.lit("unreadable"))).otherwise(every)
+    return parsed.select(key, F.explode(F.filter(whole, lambda x: x.isNotNull())).alias("problem"))
+
+
 def tier_problems(rows: DataFrame) -> DataFrame:
     """``key, field``: content references that are set although the tier ``privacy_class`` holds no content."""
     closed = F.col("privacy_class").isin("t0_aggregate", "t1_structured")
@@ -114,3 +204,24 @@ def commit_problems(rows: DataFrame) -> DataFrame:
         F.when(~F.coalesce(F.col("subject").rlike(r"^artifact/commit/cmt_[A-Za-z0-9]+$"), F.lit(False)), "bad subject"),
     ]
     return rows.select("key", F.explode(F.concat(extra, F.filter(F.array(*wrong, *other), lambda x: x.isNotNull()))).alias("problem"))
+
+
+#: What a file of record shapes must hold, and the two things it must not.
+SHAPE_FIELDS = ("vendor", "variant", "description", "records")
+SHAPE_LEAKS = {"email-like value": r"[\w.+-]+@[\w-]+\.[\w.]+", "real-looking home path": r"/(?:Users|home)/(?!x\b|alice\b|dev\b)[\w.-]+"}
+
+
+def shape_problems(files: DataFrame, name: str = "name", text: str = "text") -> DataFrame:
+    """``name, problem`` of files that describe the structure of records without their content.
+
+    Unreadable JSON is the only problem of its file; else missing fields, records that are no filled list, and texts
+    that look like an address or a real home.
+    """
+    v = F.try_parse_json(F.col(text))
+    rows = step(files.select(name, text), __v=v)
+    at = lambda path: F.try_variant_get("__v", path, "variant")
+    lacking = [F.when(F.coalesce(~F.array_contains(F.json_object_keys(text), f), F.lit(True)), F.lit(f"missing: {f}")) for f in SHAPE_FIELDS]
+    filled = F.when(at("$.records[0]").isNull(), F.lit("records must be a filled list"))
+    leaked = [F.when(F.col(text).rlike(p), F.lit(n)) for n, p in SHAPE_LEAKS.items()]
+    found = F.when(F.col("__v").isNull(), F.array(F.lit("invalid json"))).otherwise(F.array(*lacking, filled, *leaked))
+    return rows.select(name, F.explode(F.filter(found, lambda x: x.isNotNull())).alias("problem"))

@@ -30,22 +30,22 @@ def _acquired(rows: DataFrame) -> Column:
     return _given(rows, "acquired_at")
 
 
-def gap_drafts(rows: DataFrame, vendor: str) -> DataFrame:
+def gap_drafts(rows: DataFrame, vendor: str, reasons: tuple[str, ...] = REASONS, live: str = "occurred_at") -> DataFrame:
     """``row_id, event_type, subject, time, time_basis, reason, detail, dedupe_key`` of rows whose ``outcome`` is a gap.
 
     The subject names the line, and the key the snapshot and the line alone, so the same line gives the same gap
     on every run. Optional columns: ``line_no`` (else the row's number stands for the line), ``object_id`` (the
     snapshot's digest, else ``file_ref``), ``acquired_at`` (text, else the timestamp ``received_at``) and ``inherited``. The time is the
     record's own; one without a time, or one that cannot be read, is dated to its acquisition, which is null where
-    the table has neither column. A time on an inherited line is the copy's.
+    the table has neither column. A time on an inherited line is the copy's. ``live`` is the basis of a record's own time.
     """
     line = F.concat(F.lit("line:"), _given(rows, "line_no", "row_id"))
     own = F.when(F.col("outcome") != "parse_error", F.col("ts_raw"))
     inherited = F.coalesce(F.col("inherited"), F.lit(False)) if "inherited" in rows.columns else F.lit(False)
-    return rows.where(F.col("outcome").isin(*REASONS)).select(
+    return rows.where(F.col("outcome").isin(*reasons)).select(
         "row_id", F.lit(GAP).alias("event_type"), F.concat(F.lit("source/gap/"), line).alias("subject"),
         F.coalesce(own, _acquired(rows)).alias("time"),
-        F.when(own.isNull(), "acquired_at").when(inherited, "copied_at").otherwise("occurred_at").alias("time_basis"),
+        F.when(own.isNull(), "acquired_at").when(inherited, "copied_at").otherwise(live).alias("time_basis"),
         F.col("outcome").alias("reason"), "detail",
         dedupe_key(F.lit(vendor), F.col("device_ref"), F.lit(GAP), _given(rows, "object_id", "file_ref"), line).alias("dedupe_key"),
     )
