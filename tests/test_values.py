@@ -59,7 +59,7 @@ def test_rules(spark, tmp_path):
 
 
 def test_text():
-    assert (X.hm(89), X.hm(90), X.hms(3725), X.share(1, 3), X.share(1, 0)) == ("0h01m", "0h02m", "1h02m05s", "33.3%", "n/a")
+    assert (X.hm(89), X.hm(90), X.hm(3_630), X.hm(0), X.hms(3725), X.hms(65), X.hms(9), X.share(1, 3), X.share(1, 0)) == ("1m", "2m", "1h01m", "0m", "1h02m05s", "1m05s", "9s", "33.3%", "n/a")
     assert X.clock_range(0, 59, 0) == "00:00" and X.clock_range(0, 3600, 32400) == "09:00-10:00"
     assert X.choose_bucket(3600, 10) == 600 and X.choose_bucket(86_400, 40) == 1800 and X.choose_bucket(10**7, 0) == 3600
     assert X.short_labels(["h/a/x", "h/b/x", "h/b/y", None, "y"]) == {None: "(none)", "h/a/x": "a/x", "h/b/x": "b/x", "h/b/y": "b/y", "y": "y"}

@@ -7,9 +7,30 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import timeline as T
 from tidemark.plans import report as R
+from tidemark.plans.rules import parse_rules, workstream
 from tidemark.sources.events import EVENTS_SQL, events_as_observations
 
 OFFSET = 9 * 3600
+RULES = parse_rules("""
+[[override]]
+workspace = "repo/3"
+workstream = "special"
+[[rule]]
+match = "repo/0"
+workstream = "low"
+[[rule]]
+match = "repo/1"
+workstream = "low"
+[[rule]]
+match = "repo/2"
+workstream = "low"
+[[rule]]
+match = "repo/3*"
+workstream = "never, as an override comes first"
+[[rule]]
+match = "repo/5*"
+workstream = "five"
+""")
 
 
 def _rows(spark: SparkSession, d: str) -> DataFrame:
@@ -57,10 +78,7 @@ def response_quartiles(spark: SparkSession, d: str) -> DataFrame:
 
 
 def workstream_rollup(spark: SparkSession, d: str) -> DataFrame:
-    rule = F.when(F.col("repository") == "repo/3", "special").when(F.col("repository").rlike("^repo/[0-2]$"), "low").when(
-        F.col("repository").startswith("repo/5"), "five"
-    )
-    return R.workstreams(R.repository_rows(_rows(spark, d)), rule)
+    return R.workstreams(R.repository_rows(_rows(spark, d)), workstream(F.col("repository"), *RULES))
 
 
 def log_block_parts(spark: SparkSession, d: str) -> DataFrame:
@@ -83,12 +101,47 @@ def log_strip(spark: SparkSession, d: str) -> DataFrame:
     return R.strip(_rows(spark, d), -OFFSET, 3600)
 
 
+def log_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Every block with its attention, vendors and number of repositories."""
+    return R.block_rows(_rows(spark, d))
+
+
+def log_day_strips(spark: SparkSession, d: str) -> DataFrame:
+    """The whole strip of every local day, the row of all repositories too."""
+    return R.day_strips(_rows(spark, d), OFFSET, 1800)
+
+
+def ordered_repositories(spark: SparkSession, d: str) -> DataFrame:
+    """Repositories in report order."""
+    return R.repository_places(R.repository_rows(_rows(spark, d))).select("place", "repository")
+
+
+def ordered_reactions(spark: SparkSession, d: str) -> DataFrame:
+    """Reaction rows in report order."""
+    return R.reaction_places(response_quartiles(spark, d)).select("place", "repository", "n")
+
+
+def ordered_parts(spark: SparkSession, d: str) -> DataFrame:
+    """Parts of every block in order."""
+    return R.part_places(R.block_parts(_rows(spark, d))).select("block", "place", "repository", "observations")
+
+
+def ordered_tools(spark: SparkSession, d: str) -> DataFrame:
+    """Tools of every block in order."""
+    return R.tool_places(R.block_tools(_rows(spark, d))).select("block", "place", "tool_family", "n")
+
+
+def ordered_commits(spark: SparkSession, d: str) -> DataFrame:
+    """Commits of every block in order of number and label."""
+    return R.commit_places(R.block_commits(_rows(spark, d)), F.coalesce("repository", F.lit("(none)"))).select("block", "place", "repository", "commits")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         route_counts, coverage_counters, attention_spans, agent_clusters, attention_shares, report_repositories, report_totals,
         report_daily, response_pairs, response_quartiles, workstream_rollup, log_block_parts, log_block_attention, log_block_tools,
-        log_block_commits, log_strip,
+        log_block_commits, log_strip, log_blocks, log_day_strips, ordered_repositories, ordered_reactions, ordered_parts, ordered_tools, ordered_commits,
     )
 }
 
@@ -183,4 +236,28 @@ SQL = {
     "log_strip": _ANCHORS + f""", c AS (SELECT repository, (instant + {OFFSET}) // 3600 AS cell, count(*) AS n FROM live GROUP BY 1, 2),
         p AS (SELECT max(n) AS peak FROM c)
         SELECT repository, cell, n, CAST(greatest(1, least(8, (16 * n + peak) // (2 * peak))) AS INTEGER) AS level FROM c, p""",
+    "log_blocks": _BLOCKS + ", ab AS (SELECT block, instant FROM b3 WHERE route = 'anchor')" + _islands("aw", "ab", "block", 360, 60, 300)
+    + """, att AS (SELECT block, CAST(sum(to_s - from_s) AS BIGINT) AS s FROM aw GROUP BY block)
+        SELECT b3.block, max(instant) AS last, count(*) AS observations, count(*) FILTER (route = 'anchor') AS prompts, coalesce(any_value(att.s), 0) AS attention_seconds,
+        count(DISTINCT repository) AS named_repositories, array_to_string(list_sort(list_distinct(list(source_kind))), '+') AS vendors FROM b3 LEFT JOIN att USING (block) GROUP BY b3.block""",
+    "log_day_strips": _ANCHORS + f""", c AS (SELECT (instant + {OFFSET}) // 86400 AS local_day, repository, ((instant + {OFFSET}) % 86400) // 1800 AS cell, count(*) AS n,
+          count(*) FILTER (route = 'anchor') AS prompts FROM live GROUP BY ALL),
+        s AS (SELECT local_day, min(cell) - min(cell) % 2 AS lo, least(max(cell) + 1 - max(cell) % 2, 47) AS hi, max(n) AS peak FROM c GROUP BY local_day),
+        g AS (SELECT local_day, repository, peak, unnest(range(lo, hi + 1)) AS cell FROM s JOIN (SELECT DISTINCT local_day, repository FROM c) USING (local_day)),
+        f AS (SELECT g.*, coalesce(n, 0) AS n, coalesce(prompts, 0) AS prompts FROM g LEFT JOIN c ON c.local_day = g.local_day AND c.cell = g.cell AND c.repository IS NOT DISTINCT FROM g.repository),
+        u AS (SELECT local_day, 'repository' AS row_kind, repository, cell, n, prompts, peak FROM f
+          UNION ALL SELECT local_day, 'all', NULL, cell, CAST(sum(n) AS BIGINT), CAST(sum(prompts) AS BIGINT), any_value(peak) FROM f GROUP BY local_day, cell)
+        SELECT local_day, row_kind, repository, cell, n, prompts, CASE WHEN n = 0 THEN 0 ELSE CAST(greatest(1, least(8, (16 * n + peak) // (2 * peak))) AS INTEGER) END AS level FROM u""",
+    "ordered_repositories": _REPOSITORY + """ SELECT CAST(row_number() OVER (ORDER BY attention_seconds DESC, agent_seconds DESC, repository) AS INTEGER) AS place, repository
+        FROM repositories WHERE repository IS NOT NULL""",
+    "ordered_reactions": _PAIRS + """, r AS (SELECT repository, count(response_gap) AS n FROM pairs GROUP BY repository)
+        SELECT CAST(row_number() OVER (ORDER BY repository IS NULL, n DESC, repository) AS INTEGER) AS place, repository, n FROM r""",
+    "ordered_parts": _BLOCKS + """, p AS (SELECT block, repository, count(*) AS observations FROM b3 GROUP BY block, repository)
+        SELECT block, CAST(row_number() OVER (PARTITION BY block ORDER BY observations DESC, repository IS NULL, repository) AS INTEGER) AS place, repository, observations FROM p""",
+    "ordered_tools": _BLOCKS + """, p AS (SELECT block, tool_family, count(*) AS n FROM b3 WHERE event_type = 'tool.started' GROUP BY block, tool_family)
+        SELECT block, CAST(row_number() OVER (PARTITION BY block ORDER BY n DESC, tool_family NULLS FIRST) AS INTEGER) AS place, tool_family, n FROM p""",
+    "ordered_commits": _BLOCKS + """, spans AS (SELECT block, max(instant) AS last FROM b3 GROUP BY block),
+        p AS (SELECT s.block, c.repository, count(*) AS commits FROM (SELECT * FROM routed WHERE route = 'commit') c
+        LEFT JOIN spans s ON c.instant >= s.block AND c.instant <= s.last GROUP BY s.block, c.repository)
+        SELECT block, CAST(row_number() OVER (PARTITION BY block ORDER BY commits DESC, coalesce(repository, '(none)')) AS INTEGER) AS place, repository, commits FROM p""",
 }

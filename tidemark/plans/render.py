@@ -12,13 +12,14 @@ MARKS = " ▁▂▃▄▅▆▇█"
 
 def hm(seconds: int) -> str:
     """Hours and minutes, to the nearest minute."""
-    minutes = (seconds + 30) // 60
-    return f"{minutes // 60}h{minutes % 60:02d}m"
+    h, m = divmod((seconds + 30) // 60, 60)
+    return f"{h}h{m:02d}m" if h else f"{m}m"
 
 
 def hms(seconds: int) -> str:
-    """Hours, minutes and seconds."""
-    return f"{seconds // 3600}h{seconds // 60 % 60:02d}m{seconds % 60:02d}s"
+    """Hours, minutes and seconds, without leading zeros."""
+    h, m, s = seconds // 3600, seconds // 60 % 60, seconds % 60
+    return f"{h}h{m:02d}m{s:02d}s" if h else f"{m}m{s:02d}s" if m else f"{s}s"
 
 
 def share(part: int, whole: int) -> str:
@@ -32,6 +33,13 @@ def clock_range(start: int, end: int, offset: int) -> str:
     return at(start) if at(start) == at(end) else f"{at(start)}-{at(end)}"
 
 
+def active_cells(first_s: int, last_s: int, width: int) -> tuple[int, int]:
+    """First and last cell, in cells since midnight, that hold ``[first_s, last_s]``, widened to whole hours within the day."""
+    per_hour, per_day = 3_600 // width, 86_400 // width
+    first, last = first_s // width, last_s // width
+    return first - first % per_hour, min(last - last % per_hour + per_hour, per_day) - 1
+
+
 def choose_bucket(active_seconds: int, fixed: int) -> int:
     """The narrowest bucket whose cells fit a line beside ``fixed`` columns, else the widest."""
     for width in LADDER:
@@ -40,6 +48,15 @@ def choose_bucket(active_seconds: int, fixed: int) -> int:
     return LADDER[-1]
 
 
+def strip_width(first_s: int, last_s: int, fixed: int) -> int:
+    """The narrowest bucket whose active cells fit a line beside ``fixed`` columns, else the widest: hours are never cut off."""
+    for width in LADDER:
+        first, last = active_cells(first_s, last_s, width)
+        if fixed + 2 + last - first + 1 <= LINE:
+            return width
+    return LADDER[-1]
+
+
 def short_labels(repositories: Sequence[str | None]) -> dict[str | None, str]:
     """Shortest path suffix no other repository shares; a whole path where none is, ``(none)`` for null."""
     named = sorted({r for r in repositories if r is not None})

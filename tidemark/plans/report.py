@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -97,6 +98,41 @@ def in_report_order(repositories: DataFrame) -> DataFrame:
     return repositories.where(F.col("repository").isNotNull()).orderBy(F.desc("attention_seconds"), F.desc("agent_seconds"), "repository")
 
 
+def placed(rows: DataFrame, order: Sequence[Column], by: Sequence[str] = ()) -> DataFrame:
+    """``rows`` plus ``place``, from 1, in an order within ``by``. For the few rows a reader is shown."""
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+
+
+def _last(col: str) -> Column:
+    """False before true: rows without a value come last among equals."""
+    return F.col(col).isNull().asc()
+
+
+def repository_places(repositories: DataFrame) -> DataFrame:
+    """Named repositories with their place: attention and agent time falling, then name."""
+    return placed(repositories.where(F.col("repository").isNotNull()), [F.desc("attention_seconds"), F.desc("agent_seconds"), F.asc("repository")])
+
+
+def reaction_places(reactions: DataFrame) -> DataFrame:
+    """Reaction rows: no repository last of all, then most measured first, then name."""
+    return placed(reactions, [_last("repository"), F.desc("n"), F.asc("repository")])
+
+
+def part_places(parts: DataFrame) -> DataFrame:
+    """Parts of each block: most observations first, no repository last among equals, then name."""
+    return placed(parts, [F.desc("observations"), _last("repository"), F.asc("repository")], ["block"])
+
+
+def tool_places(tools: DataFrame) -> DataFrame:
+    """Tools of each block: most started first, then family, none before all."""
+    return placed(tools, [F.desc("n"), F.asc_nulls_first("tool_family")], ["block"])
+
+
+def commit_places(commits: DataFrame, label: Column) -> DataFrame:
+    """Commits of each block: most first, then by label."""
+    return placed(commits, [F.desc("commits"), label.asc()], ["block"])
+
+
 def totals(rows: DataFrame, offset: int = 0) -> DataFrame:
     """``metric, value``: unions, naive sums and daily sums of the attention and agent clocks."""
     live = routed_seconds(rows)
@@ -193,8 +229,27 @@ def block_tools(rows: DataFrame) -> DataFrame:
 
 def block_commits(rows: DataFrame) -> DataFrame:
     """``block, repository, commits``; block null for commits outside every block."""
-    placed = T.containing_span(only(rows, "commit"), block_spans(rows), "instant", "start", "end", "block")
-    return placed.groupBy("block", "repository").agg(F.count(F.lit(1)).alias("commits"))
+    placed_in = T.containing_span(only(rows, "commit"), block_spans(rows), "instant", "start", "end", "block")
+    return placed_in.groupBy("block", "repository").agg(F.count(F.lit(1)).alias("commits"))
+
+
+def block_rows(rows: DataFrame) -> DataFrame:
+    """``block, last, observations, prompts, attention_seconds, named_repositories, vendors`` of every block.
+
+    The attention is the union of the block's own windows, never cut at its edges; vendors are sorted and joined by a plus.
+    """
+    labelled = blocks(rows)
+    attention = T.seconds(T.window_union(only(labelled, "anchor"), ["block"]), ["block"], "attention_seconds")
+    # One row per block, repository and vendor before anything is gathered.
+    per = labelled.groupBy("block", "repository", "source_kind").agg(
+        F.max("instant").alias("last"), F.count(F.lit(1)).alias("observations"), F.count_if(F.col("route") == "anchor").alias("prompts")
+    )
+    whole = per.groupBy("block").agg(
+        F.max("last").alias("last"), F.sum("observations").alias("observations"), F.sum("prompts").alias("prompts"),
+        F.count_distinct("repository").alias("named_repositories"), F.array_join(F.array_sort(F.collect_set("source_kind")), "+").alias("vendors"),
+    )
+    named = attention.select(F.col("block").alias("__b"), "attention_seconds")
+    return whole.join(named, F.col("block") == F.col("__b"), "left").drop("__b").withColumn("attention_seconds", F.coalesce("attention_seconds", F.lit(0)))
 
 
 def strip(rows: DataFrame, midnight: int, width: int) -> DataFrame:
@@ -205,6 +260,34 @@ def strip(rows: DataFrame, midnight: int, width: int) -> DataFrame:
     return counted.select("repository", "cell", "n", density(F.col("n"), peak).alias("level"))
 
 
+def day_strips(rows: DataFrame, offset: int, width: int) -> DataFrame:
+    """``local_day, row_kind, repository, cell, n, prompts, level``: every cell of every local day's strip, empty ones too.
+
+    A day has a row per repository (null: none) and one ``all`` row of every repository at once. Cells count from local midnight and
+    run over the day's active hours. Levels are measured by the busiest cell of any one repository, so the ``all`` row saturates.
+    """
+    live = only(rows, "anchor", "agent")
+    second = F.pmod(F.col("instant") + offset, F.lit(DAY))
+    counted = live.groupBy(local_day(offset).alias("local_day"), "repository", F.floor(second / F.lit(width)).cast("bigint").alias("cell")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("route") == "anchor").alias("prompts")
+    )
+    counted = Scratch(rows.sparkSession).cut(counted, "strip")
+    per_hour, per_day = 3_600 // width, DAY // width
+    days = counted.groupBy("local_day").agg(F.min("cell").alias("lo"), F.max("cell").alias("hi"), F.max("n").alias("peak"))
+    lo, hi = F.col("lo") - F.col("lo") % per_hour, F.least(F.col("hi") - F.col("hi") % per_hour + per_hour, F.lit(per_day)) - 1
+    days = days.select(F.col("local_day").alias("d"), "peak", lo.alias("lo"), hi.alias("hi"))
+    shown = counted.select("local_day", "repository").distinct().join(days, F.col("local_day") == F.col("d"))
+    grid = shown.select(F.col("local_day").alias("gd"), F.col("repository").alias("gr"), "peak", F.explode(F.sequence("lo", "hi")).alias("gc"))
+    met = (F.col("gd") == F.col("local_day")) & F.col("gr").eqNullSafe(F.col("repository")) & (F.col("gc") == F.col("cell"))
+    cells = grid.join(counted, met, "left").select(
+        F.col("gd").alias("local_day"), F.col("gr").alias("repository"), F.col("gc").alias("cell"), "peak",
+        F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("prompts", F.lit(0)).alias("prompts"),
+    )
+    union = cells.groupBy("local_day", "cell", "peak").agg(F.sum("n").alias("n"), F.sum("prompts").alias("prompts")).withColumn("repository", F.lit(None).cast("string"))
+    both = cells.withColumn("row_kind", F.lit("repository")).unionByName(union.withColumn("row_kind", F.lit("all")))
+    return both.select("local_day", "row_kind", "repository", "cell", "n", "prompts", density(F.col("n"), F.col("peak")).alias("level"))
+
+
 def density(n: Column, peak: Column) -> Column:
     """0 for nothing, else 1 to 8 in proportion to the peak."""
     level = F.floor((16 * n + peak) / (2 * peak)).cast("int")

@@ -12,7 +12,7 @@ KINDS = {"click": PROMPT, "view": RESPONSE, "purchase": TOOL_STARTED, "signup":
 
 
 def events_as_observations(spark: SparkSession, d: str) -> DataFrame:
-    """instant, session, repository, event_type, ingest_seq, tool_family, time_basis, origin of every event.
+    """instant, session, repository, event_type, ingest_seq, tool_family, time_basis, origin, source_kind of every event.
 
     The instant is taken from the zone-free timestamp, independent of the session's zone.
     """
@@ -29,6 +29,7 @@ def events_as_observations(spark: SparkSession, d: str) -> DataFrame:
         family.alias("tool_family"),
         F.when(k % 10 == 0, "copied_at").when(k % 10 == 1, "received_at").alias("time_basis"),
         F.when(k % 9 == 0, "subagent").alias("origin"),
+        F.when(F.col("user_id") % 3 == 0, "codex").otherwise("claude-code").alias("source_kind"),
     )
 
 
@@ -40,7 +41,7 @@ EVENTS_SQL = """WITH obs AS (
                          WHEN 'signup' THEN 'commit.observed' WHEN 'error' THEN 'source.gap' END AS event_type,
          event_id AS ingest_seq, (['shell','edit','read','search','web','mcp','other'])[k % 7 + 1] AS tool_family,
          CASE WHEN k % 10 = 0 THEN 'copied_at' WHEN k % 10 = 1 THEN 'received_at' END AS time_basis,
-         CASE WHEN k % 9 = 0 THEN 'subagent' END AS origin
+         CASE WHEN k % 9 = 0 THEN 'subagent' END AS origin, CASE WHEN user_id % 3 = 0 THEN 'codex' ELSE 'claude-code' END AS source_kind
   FROM (SELECT *, CAST(props->>'$.k' AS INTEGER) AS k FROM events)),
 routed AS (
   SELECT *, CASE WHEN event_type = 'source.gap' THEN 'gap'

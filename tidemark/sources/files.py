@@ -81,6 +81,27 @@ def cursors(current: DataFrame, previous: DataFrame) -> DataFrame:
     return both.select("locator", F.when(same, F.col("cursor")).otherwise(0).alias("start_line"))
 
 
+def lines_after(snapshots: DataFrame, starts: DataFrame) -> DataFrame:
+    """The lines of :func:`read_lines` behind each locator's ``start_line`` of :func:`cursors`; locators without one are not read."""
+    from_line = starts.select(F.col("locator").alias("__l"), "start_line")
+    lines = read_lines(snapshots.join(from_line, F.col("locator") == F.col("__l"), "left_semi"))
+    return lines.join(from_line, F.col("locator") == F.col("__l")).where(F.col("line_no") > F.col("start_line")).drop("__l", "start_line")
+
+
+def archive_report(found: DataFrame, outcomes: DataFrame, failed: int = 0) -> DataFrame:
+    """One row: ``scanned, archived, unchanged, failed, bytes`` of a run, which writes nothing itself.
+
+    ``outcomes`` are the counts of :func:`archive`, ``failed`` the files that could not be read, bytes those of what is new by content.
+    """
+    count = lambda name: F.coalesce(F.sum(F.when(F.col("outcome") == name, F.col("n"))), F.lit(0)).alias(name)
+    totals = outcomes.agg(count("created"), count("present"))
+    size = found.select("object_id", F.octet_length("content").alias("b")).dropDuplicates(["object_id"]).agg(F.coalesce(F.sum("b"), F.lit(0)).alias("bytes"))
+    return totals.withColumn("bytes", size.scalar()).select(
+        (F.col("created") + F.col("present") + failed).alias("scanned"), F.col("created").alias("archived"), F.col("present").alias("unchanged"),
+        F.lit(failed).alias("failed"), "bytes",
+    )
+
+
 def advance(checkpoints: DataFrame, written: DataFrame) -> DataFrame:
     """Checkpoints after a write: the highest snapshot of a locator, the later write where equal."""
     both = checkpoints.withColumn("w", F.lit(0)).unionByName(written.withColumn("w", F.lit(1)))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.copies import deduplicate
+from tidemark.sources.snapshots import id_collisions, read_objects
 
 SCHEMA_VERSION = 2
 
@@ -17,7 +18,11 @@ class LedgerError(RuntimeError):
 
 
 class Ledger:
-    """Batches below ``root/batch=…``; a batch counts once its marker ``_batches/<id>`` exists, so a write is all or nothing."""
+    """Batches below ``root/batch=…``; a batch counts once its marker ``_batches/<id>`` exists, so a write is all or nothing.
+
+    A batch may hold snapshots and checkpoints beside its observations; one marker commits the three. One writer works at a
+    time: it holds ``_writer``, which is created atomically, and a second one is refused instead of losing to it.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -39,33 +44,65 @@ class Ledger:
 
     def read(self) -> DataFrame | None:
         """All committed observations, or None of an empty ledger."""
-        paths = [f"{self.root}/batch={b}" for b in self.batches()]
+        paths = [p for b in self.batches() if self._fs().exists(self._path((p := f"batch={b}")))]
+        paths = [f"{self.root}/{p}" for p in paths]
         return self.spark.read.option("mergeSchema", "true").option("basePath", self.root).parquet(*paths).drop("batch") if paths else None
 
-    def append(self, observations: DataFrame) -> int:
+    def beside(self, what: str) -> DataFrame | None:
+        """All committed rows of ``snapshots`` or ``checkpoints`` with their batch, or None."""
+        paths = [f"{self.root}/_{what}/batch={b}" for b in self.batches() if self._fs().exists(self._path(f"_{what}/batch={b}"))]
+        return self.spark.read.option("basePath", f"{self.root}/_{what}").parquet(*paths) if paths else None
+
+    def unlock(self) -> None:
+        """Clear away the claim of a writer that died."""
+        self._fs().delete(self._path("_writer"), False)
+
+    def append(self, observations: DataFrame, snapshots: DataFrame | None = None, checkpoints: DataFrame | None = None) -> int:
         """Adds the observations whose dedupe key is new, first by ``ingest_seq``; returns how many.
 
-        A known key is ignored; an id that is known under another key is an error, and nothing is written.
+        A known key is ignored. An id that stands for two keys, within the batch or against the ledger, is an error, and nothing
+        is written. ``snapshots`` and ``checkpoints`` are committed with the batch, also where no observation is new.
         """
-        fresh = deduplicate(observations, ["dedupe_key"], ["ingest_seq"])
+        self._fs().mkdirs(self._path("."))
+        try:
+            self._fs().create(self._path("_writer"), False).close()
+        except Exception as e:  # py4j wraps the file system's own error
+            raise LedgerError("another writer is at work, or one died: see unlock") from e
+        try:
+            return self._append(observations, {"snapshots": snapshots, "checkpoints": checkpoints})
+        finally:
+            self.unlock()
+
+    def _append(self, observations: DataFrame, besides: dict[str, DataFrame | None]) -> int:
         known = self.read()
+        batch = f"{len(self.batches()):08d}-{SCHEMA_VERSION}-{uuid.uuid4().hex[:8]}"
+        written = [f"batch={batch}"]
+
+        def undo() -> None:
+            for leaf in written:
+                self._fs().delete(self._path(leaf), True)
+
+        fresh = deduplicate(observations, ["dedupe_key"], ["ingest_seq"])
         if known is not None:
             fresh = fresh.join(known.select("dedupe_key"), "dedupe_key", "left_anti").select(*observations.columns)
-        n_batch = len(self.batches())
-        batch = f"{n_batch:08d}-{SCHEMA_VERSION}-{uuid.uuid4().hex[:8]}"
         day = F.date_format(F.timestamp_seconds("instant"), "yyyy-MM-dd")
         dated = fresh.withColumn("utc_day", F.coalesce(day, F.lit("unknown")))
         dated.write.partitionBy("utc_day").parquet(f"{self.root}/batch={batch}")
         added = self.spark.read.schema(dated.schema).parquet(f"{self.root}/batch={batch}")
         n = added.count()
-        if not n:
-            self._fs().delete(self._path(f"batch={batch}"), True)
-            return 0
-        if known is not None and not added.join(known.select("obs_id"), "obs_id", "left_semi").isEmpty():
-            self._fs().delete(self._path(f"batch={batch}"), True)
+        if n and not id_collisions(added, known).isEmpty():
+            undo()
             raise LedgerError("an observation id is known under another key")
-        self._fs().mkdirs(self._path("_batches"))
-        self._fs().create(self._path(f"_batches/{batch}"), False).close()
+        if not n:
+            undo()
+            written.clear()
+        for what, rows in besides.items():
+            if rows is not None:
+                rows.write.parquet(f"{self.root}/_{what}/batch={batch}")
+                written.append(f"_{what}/batch={batch}")
+        if written:
+            self._fs().mkdirs(self._path("_batches"))
+            self._fs().create(self._path(f"_batches/{batch}"), False).close()
         return n
 
     def between(self, start: int, end: int) -> DataFrame:
@@ -97,3 +134,13 @@ def with_display(rows: DataFrame, identities: DataFrame, ref: str, out: str) ->
 def new_rows_only(incoming: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:
     """Rows whose keys are not known yet: reconciles a legacy table with the ledger."""
     return incoming.join(known.select(*keys).distinct(), keys, "left_anti").select(*incoming.columns)
+
+
+def reconcile(legacy: DataFrame, known: DataFrame, objects: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(rows of a legacy table to take over, rows that cannot be): a row needs an object that is what its id names.
+
+    ``objects(object_id, content)``. Rows the ledger knows already are in neither.
+    """
+    fresh = read_objects(new_rows_only(legacy, known, keys), objects)
+    why = F.when(F.col("content").isNull(), "object_missing").when(~F.col("intact"), "object_altered")
+    return fresh.where("intact").select(*legacy.columns), fresh.where(~F.col("intact")).select(*legacy.columns, why.alias("problem"))
