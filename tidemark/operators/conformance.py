@@ -106,12 +106,16 @@ def _texts(value: Column, kind: DataType) -> Column | None:
 def leak_scan_fields(rows: DataFrame, key: str) -> DataFrame:
     """``key, field, leak``: one row for every pattern held by any string of a column, nested strings included; also of ``key`` itself."""
     texts = {f.name: _texts(F.col(f.name), f.dataType) for f in rows.schema}
+    held = [t for t in texts.values() if t is not None]
+    # One pattern over all strings of a row tells whether it is worth looking closer; few rows are.
+    any_leak = "|".join(f"(?:{p})" for p in LEAKS.values())
+    suspect = rows.where(F.array_join(F.concat(*held), "\n").rlike(any_leak)) if held else rows
     fields = [F.struct(F.lit(n).alias("field"), t.alias("texts")) for n, t in texts.items() if t is not None]
     if not fields:
         fields = [F.struct(F.lit("").alias("field"), F.array().cast("array<string>").alias("texts"))]
-    each = rows.select(key, F.explode(F.array(*fields)).alias("f")).select(key, "f.field", "f.texts")
-    held = lambda p: F.exists("texts", lambda x: F.coalesce(x.rlike(p), F.lit(False)))
-    hits = F.array(*[F.when(held(p), n) for n, p in LEAKS.items()])
+    each = suspect.select(key, F.explode(F.array(*fields)).alias("f")).select(key, "f.field", "f.texts")
+    holds = lambda p: F.exists("texts", lambda x: F.coalesce(x.rlike(p), F.lit(False)))
+    hits = F.array(*[F.when(holds(p), n) for n, p in LEAKS.items()])
     return each.select(key, "field", F.explode(F.filter(hits, lambda x: x.isNotNull())).alias("leak"))
 
 

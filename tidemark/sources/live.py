@@ -156,9 +156,14 @@ SINCE_DAYS, MOST_COMMITS = 90, 2_000
 
 
 def newest_commits(commits: DataFrame, most: int = MOST_COMMITS) -> DataFrame:
-    """The newest commits of each repository and whether more were left out."""
-    order = Window.partitionBy("repository").orderBy(F.desc("author_time"), "commit")
-    ranked = commits.withColumn("__r", F.row_number().over(order))
+    """The newest commits of each repository and whether more were left out.
+
+    Each of 64 parts of a repository keeps its own newest first, so the order over a repository never sees more than those.
+    """
+    order = [F.desc("author_time"), F.asc("commit")]
+    parts = commits.withColumn("__part", F.pmod(F.xxhash64("commit", "author_time"), F.lit(64)))
+    few = parts.withColumn("__r", F.row_number().over(Window.partitionBy("repository", "__part").orderBy(*order))).where(F.col("__r") <= most + 1)
+    ranked = few.drop("__part").withColumn("__r", F.row_number().over(Window.partitionBy("repository").orderBy(*order)))
     return ranked.withColumn("truncated", F.max("__r").over(Window.partitionBy("repository")) > most).where(F.col("__r") <= most).drop("__r")
 
 
