@@ -10,7 +10,8 @@ from tidemark.plans import attention as A
 from tidemark.plans import ingest as I
 from tidemark.plans import params
 from tidemark.plans import report as R
-from tidemark.sources import files, rollouts, transcripts
+from tidemark.functions.timecols import epoch_seconds
+from tidemark.sources import files, ledger, rollouts, snapshots, transcripts
 from tidemark.sources.events import EVENTS_SQL, events_as_observations
 from tidemark.tables import table
 
@@ -90,11 +91,84 @@ def observation_activity(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _snapshots(spark: SparkSession, d: str) -> DataFrame:
+    """The meta lines as snapshots of their files."""
+    lines = table(spark, d, "meta_lines")
+    return lines.select(F.col("line_id").alias("snapshot_id"), F.col("vendor").alias("kind"), F.col("file_ref").alias("locator"), F.col("received_at").alias("acquired_at"))
+
+
+def _observed(spark: SparkSession, d: str) -> DataFrame:
+    obs = table(spark, d, "observations")
+    return obs.select("row_id", F.col("row_id").alias("snapshot_id"), S.short_event(F.col("event_type")).alias("event_type"), F.col("obs_time").alias("occurred_at"), "obs_id", "dedupe_key")
+
+
+def snapshots_found(spark: SparkSession, d: str) -> DataFrame:
+    """Snapshots of one vendor below a prefix, acquired in a span of time."""
+    at = lambda t: F.lit(t).cast("timestamp")
+    return snapshots.find(_snapshots(spark, d), "codex", "raw_", at("2023-03-01T00:00:00Z"), at("2023-12-01T00:00:00Z")).select("snapshot_id", "locator")
+
+
+def snapshot_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Snapshots and files of each kind."""
+    return snapshots.counts(_snapshots(spark, d))
+
+
+def snapshot_observations(spark: SparkSession, d: str) -> DataFrame:
+    """Observations with the kind and file of their snapshot."""
+    return snapshots.with_snapshot(_observed(spark, d), _snapshots(spark, d)).select("row_id", "snapshot_kind", "locator")
+
+
+def capture_range(spark: SparkSession, d: str) -> DataFrame:
+    """First and last time text observed through one kind of snapshot."""
+    return snapshots.channel_range(_observed(spark, d), _snapshots(spark, d), "codex")
+
+
+def observed_within(spark: SparkSession, d: str) -> DataFrame:
+    """Whether any source was observed in the month of the report, and in a year before all of them."""
+    ranges = I.source_ranges(spark, d)
+    seen = lambda first, last, name: snapshots.within_observed_range(ranges, first, last, epoch_seconds).select(F.lit(name).alias("period"), "within")
+    start, end = MONTH.utc_window(A.OFFSET)
+    return seen(start, end, MONTH.label).unionByName(seen(0, 365 * 86_400, "1970"))
+
+
+def keys_present(spark: SparkSession, d: str) -> DataFrame:
+    """Which dedupe keys of the observations a ledger of the first-person profile holds, and under which id."""
+    obs = table(spark, d, "observations").where("dedupe_key is not null")
+    return snapshots.present(obs, obs.where("profile = 'client'"))
+
+
+def id_collisions(spark: SparkSession, d: str) -> DataFrame:
+    """Ids that stand for several dedupe keys; the subjects stand in for ids."""
+    obs = table(spark, d, "observations")
+    return snapshots.id_collisions(obs.select(F.col("subject").alias("obs_id"), "dedupe_key"), obs.where("profile = 'client'").select(F.col("subject").alias("obs_id"), "dedupe_key"))
+
+
+def identity_registry(spark: SparkSession, d: str) -> DataFrame:
+    """Repositories not seen through one profile yet, with the display of their first sighting."""
+    seen = table(spark, d, "observations").where("repository_ref is not null")
+    refs = seen.select(F.sha2("repository_ref", 256).alias("ref"), F.col("repository_ref").alias("display"), F.col("observed_at").alias("first_seen"), "profile")
+    known = refs.where("profile = 'client'").select("ref").distinct()
+    return ledger.register_identities(known, refs.drop("profile")).select("ref", "display")
+
+
+def identity_displays(spark: SparkSession, d: str) -> DataFrame:
+    """Number of observations per repository, by its registered display or else its own reference."""
+    obs = table(spark, d, "observations").withColumn("ref", F.sha2("repository_ref", 256))
+    return ledger.with_display(obs, identity_registry(spark, d), "ref", "name").groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+
+
+def legacy_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Meta lines of a legacy table the ledger does not know yet, by file and line; those of one vendor are known."""
+    lines = table(spark, d, "meta_lines")
+    return ledger.new_rows_only(lines, lines.where("vendor = 'codex'"), ["file_ref", "line_no"]).select("line_id")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         tool_start_lookup, rollout_file_facts, rollout_call_starts, latest_lines, next_cursors, repository_labels, repository_paths, report_month,
-        report_averages, observation_activity,
+        report_averages, observation_activity, snapshots_found, snapshot_counts, snapshot_observations, capture_range, observed_within, keys_present, id_collisions,
+        identity_registry, identity_displays, legacy_rows,
     )
 }
 
@@ -131,4 +205,22 @@ SQL = {
             WHEN ts_raw IS NULL OR payload_json IS NULL OR coalesce({I._STR('session_id')}, f.fs.v) IS NULL THEN 'missing_field' ELSE 'skipped' END AS outcome, kind, ts_raw, payload_json FROM r LEFT JOIN f USING (file_ref))
         SELECT outcome, CASE outcome WHEN 'unmapped_kind' THEN CASE WHEN regexp_matches(kind, '^[A-Za-z0-9_:-]{{1,64}}$') THEN kind END
             WHEN 'missing_field' THEN CASE WHEN ts_raw IS NULL THEN 'timestamp' WHEN payload_json IS NULL THEN 'payload' ELSE 'session_id' END END AS detail, count(*) AS n FROM o GROUP BY ALL""",
+    "snapshots_found": """SELECT line_id AS snapshot_id, file_ref AS locator FROM meta_lines WHERE vendor = 'codex' AND starts_with(file_ref, 'raw_')
+        AND received_at >= TIMESTAMPTZ '2023-03-01 00:00:00+00' AND received_at < TIMESTAMPTZ '2023-12-01 00:00:00+00'""",
+    "snapshot_counts": "SELECT vendor AS kind, count(*) AS snapshots, count(DISTINCT file_ref) AS locators FROM meta_lines GROUP BY vendor",
+    "snapshot_observations": "SELECT row_id, vendor AS snapshot_kind, file_ref AS locator FROM observations JOIN meta_lines ON line_id = row_id",
+    "capture_range": f"""SELECT min(obs_time) AS earliest, max(obs_time) AS latest FROM observations JOIN meta_lines ON line_id = row_id
+        WHERE vendor = 'codex' AND {I._SHORT} <> 'source.gap' AND event_type <> 'source.gap' HAVING min(obs_time) IS NOT NULL""",
+    "observed_within": f"""WITH m AS (SELECT row_id, ms FROM {I._times('observations', 'row_id', 'obs_time')}), r AS (SELECT source_kind, min(obs_time) AS lo, max(obs_time) AS hi FROM observations WHERE {I._SHORT} <> 'source.gap' GROUP BY source_kind),
+        s AS (SELECT r.source_kind, (SELECT max(ms) FROM m JOIN observations o USING (row_id) WHERE o.obs_time = r.lo) AS lo, (SELECT max(ms) FROM m JOIN observations o USING (row_id) WHERE o.obs_time = r.hi) AS hi FROM r),
+        p(period, a, b) AS (VALUES ('{MONTH.label}', {_START}, {_END}), ('1970', 0, {365 * 86_400}))
+        SELECT period, coalesce(bool_or(floor(lo / 1000.0) < b AND floor(hi / 1000.0) >= a), false) AS within FROM p, s GROUP BY period""",
+    "keys_present": """WITH l AS (SELECT dedupe_key, min(obs_id) AS obs_id FROM observations WHERE profile = 'client' AND dedupe_key IS NOT NULL GROUP BY dedupe_key)
+        SELECT DISTINCT o.dedupe_key, l.dedupe_key IS NOT NULL AS present, l.obs_id FROM observations o LEFT JOIN l ON l.dedupe_key = o.dedupe_key WHERE o.dedupe_key IS NOT NULL""",
+    "id_collisions": "SELECT subject AS obs_id, count(DISTINCT dedupe_key) AS keys FROM observations WHERE subject IS NOT NULL GROUP BY subject HAVING count(DISTINCT dedupe_key) > 1",
+    "identity_registry": """SELECT DISTINCT sha256(repository_ref) AS ref, repository_ref AS display FROM observations WHERE repository_ref IS NOT NULL
+        AND repository_ref NOT IN (SELECT repository_ref FROM observations WHERE profile = 'client' AND repository_ref IS NOT NULL)""",
+    "identity_displays": """WITH k AS (SELECT repository_ref FROM observations WHERE profile = 'client' AND repository_ref IS NOT NULL)
+        SELECT CASE WHEN repository_ref IN (FROM k) THEN sha256(repository_ref) ELSE repository_ref END AS name, count(*) AS n FROM observations GROUP BY 1""",
+    "legacy_rows": """SELECT line_id FROM meta_lines a WHERE NOT EXISTS (FROM meta_lines b WHERE b.vendor = 'codex' AND b.file_ref = a.file_ref AND b.line_no = a.line_no)""",
 }
