@@ -14,6 +14,7 @@ from tidemark.plans import report as R
 from tidemark.plans.params import Period, averages
 from tidemark.plans.render import MARKS, active_cells, clock_range, hm, hms, share, short_labels, strip_width
 from tidemark.plans.rules import workstream
+from tidemark.scratch import Scratch
 from tidemark.schema import AFTER, BEFORE, CLUSTER_GAP, LEAST_MEASURED
 
 Rules = tuple[list[tuple[str, str]], list[tuple[str, str]]]
@@ -67,8 +68,9 @@ def _mean_lines(total: int, period: Period, active: int) -> list[str]:
 
 def report_of(rows: DataFrame, period: Period, offset: int, rules: Rules = ((), ()), within: bool = True, ranges: Sequence[Row] = ()) -> str:
     """The text of a period from its routed observations: workstreams, both clocks, commits, distributions, coverage."""
-    repositories = R.repository_places(R.repository_rows(rows)).orderBy("place").withColumn("workstream", workstream(F.col("repository"), *rules)).collect()
-    spare = R.repository_rows(rows).where("repository is null").collect()
+    per = Scratch(rows.sparkSession).cut(R.repository_rows(rows), "repositories")
+    repositories = R.repository_places(per).orderBy("place").withColumn("workstream", workstream(F.col("repository"), *rules)).collect()
+    spare = per.where("repository is null").collect()
     totals = {r.metric: r.value for r in R.totals(rows, offset).collect()}
     coverage = R.coverage(rows, offset).first()
     gaps = R.response_gaps(rows)
