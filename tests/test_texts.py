@@ -199,3 +199,46 @@ def test_ledger_commits_together_and_one_writer(spark, tmp_path):
         ledger.append(rows)
     ledger.unlock()
     assert ledger.append(spark.createDataFrame([("8", "z", 1, 5)], schema)) == 1
+
+
+def test_numbered_lines_of_split_files(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a/big.jsonl").write_bytes(b"".join(b"line %d\r\n" % i for i in range(1, 4001)) + b"torn")
+    (tmp_path / "whole.jsonl").write_bytes("é\n\nz\n".encode())
+    (tmp_path / "empty.jsonl").write_bytes(b"")
+    (tmp_path / "other.txt").write_bytes(b"x\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+    try:
+        got = S.numbered_lines(spark, f"file:{tmp_path}").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    big = {r.line_no: r.line for r in got if r.locator.endswith("big.jsonl")}
+    assert big == {i: f"line {i}" for i in range(1, 4001)}
+    assert sorted((r.line_no, r.line) for r in got if r.locator.endswith("whole.jsonl")) == [(1, "é"), (2, ""), (3, "z")] and not any("empty" in r.locator or "other" in r.locator for r in got)
+
+
+def test_a_prompt_seen_by_both_channels_is_two_observations(spark):
+    from tidemark.sources.live import hook_drafts, hook_records
+    from tidemark.sources.transcripts import transcript_drafts
+
+    at = "2024-05-01T10:00:00.000Z"
+    line = '{"v": 1, "received_at": "%s", "hook_event_name": "UserPromptSubmit", "session_id": "s", "prompt_id": "u1"}' % at
+    hook = hook_drafts(hook_records(spark.createDataFrame([(line,)], "value string")), "dev_1").first()
+    row = (1, "f", "s", "u1", "user", at, "dev_1", None, None, False, False, '"ask"')
+    cols = "row_id bigint, file_ref string, session_id string, rec_uuid string, rec_type string, ts_raw string, device_ref string, cwd string, output_tokens bigint, is_sidechain boolean, is_meta boolean, content_json string"
+    transcript = transcript_drafts(spark.createDataFrame([row], cols)).first()
+    assert hook.event_type == transcript.event_type == "prompt.submitted" and hook.dedupe_key != transcript.dedupe_key
+
+
+def test_fingerprints(spark):
+    from tidemark.operators.inventory import fingerprints, inventory
+
+    meta = '{"type": "session_meta", "payload": {"b": 1, "a": 2, "cli_version": "1.0"}}'
+    rows = [("codex", "f", 1, "{torn"), ("codex", "f", 2, meta), ("codex", "f", 3, meta.replace("1.0", "2.0")), ("codex", "g", 1, '{"type": "x"}'), ("codex", "h", 1, '{"type": "session_meta"}'),
+            ("claude-code", "i", 1, '{"version": "2"}'), ("claude-code", "i", 2, '{"version": "1"}'), ("claude-code", "i", 3, "{}"), ("claude-code", "j", 1, '{"version": "2"}'), (None, None, 1, None)]
+    df = spark.createDataFrame(rows, "v string, f string, o int, body string")
+    assert {tuple(r) for r in fingerprints(df, "v", "f", "body", "o").collect()} == {
+        ("codex", "cli=1.0;meta_keys=a,b,cli_version", 1), ("codex", "cli=?;meta_keys=none", 2), ("claude-code", "version=1,2,?", 1), ("claude-code", "version=2", 1)}
+    ids = spark.createDataFrame([("k", '{"uuid": "1", "t": "x"}'), ("k", '{"t": "x"}'), ("m", '{"payload": {"t": "p"}}'), ("m", '{"payload": {"t": "q"}, "uuid": "u"}'), ("n", '{"t": 5}')], "k string, body string")
+    assert {r.kind: r.stable_id for r in inventory(ids, "k", "body", ("uuid", "t"), "x").collect()} == {"k": None, "m": "t", "n": None}

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import scalars as S
 from tidemark.functions import timecols as C
 from tidemark.operators.conformance import commit_problems, envelope_problems, leak_scan, leak_scan_fields, schema_problems, tier_problems
-from tidemark.operators.inventory import inventory
+from tidemark.operators.inventory import fingerprints, inventory
 from tidemark.plans.report import local_day, observed_ranges
 from tidemark.schema import COMMIT, EVENT_FORM, GAP
 from tidemark.sources import envelope, live
@@ -236,13 +236,54 @@ def record_inventory(spark: SparkSession, d: str) -> DataFrame:
     return inventory(table(spark, d, "meta_lines"), "vendor", "body", ("uuid", "timestamp", "type"), "timestamp")
 
 
+def format_fingerprints(spark: SparkSession, d: str) -> DataFrame:
+    """How many meta files of a vendor have each format."""
+    return fingerprints(table(spark, d, "meta_lines"), "vendor", "file_ref", "body", "line_id")
+
+
+def varied_rollouts(spark: SparkSession, d: str) -> DataFrame:
+    """The rollout lines with kinds they lack made from their own: results of a remote server, subagents and copied histories.
+
+    A call's result becomes a server's; some task starts name the thread of their own file as a subagent's; every file's session record
+    says that lines below the fourth are another thread's history, unless it has a history base.
+    """
+    lines = table(spark, d, "rollouts")
+    text = lambda f: F.get_json_object("payload_json", f"$.{f}")
+    meta = F.col("rec_type") == "session_meta"
+    threads = lines.where(meta).groupBy(F.col("file_ref").alias("m_file")).agg(F.min_by(text("id"), F.struct("line_no", "row_id")).alias("thread"))
+    rows = lines.join(threads, F.col("file_ref") == F.col("m_file"), "left")
+    n = F.col("line_no")
+    server = F.coalesce(F.col("payload_type") == "function_call_output", F.lit(False))
+    agent = F.coalesce((F.col("payload_type") == "task_started") & (n % 3 == 0) & (F.length("thread") > 0), F.lit(False))
+    remote = F.to_json(F.struct(
+        text("call_id").alias("call_id"), F.struct(F.lit("srv").alias("server"), F.lit("look").alias("tool")).alias("invocation"), (n % 2 == 0).alias("success"),
+        F.struct(n.alias("secs"), F.when(n % 7 != 0, n * 1_700_000).alias("nanos")).alias("duration"),
+    ))
+    named = F.to_json(F.struct(F.col("thread").alias("agent_thread_id")))
+    history = F.to_json(F.struct(
+        text("id").alias("id"), text("cwd").alias("cwd"), text("source").alias("source"), F.lit(4).alias("subagent_history_start_ordinal"),
+        F.when(F.col("row_id") % 2 == 0, F.struct(F.lit(1).alias("at"))).alias("history_base"),
+    ))
+    return rows.withColumns({
+        "payload_json": F.when(server, remote).when(agent, named).when(meta, history).otherwise(F.col("payload_json")),
+        "payload_type": F.when(server, "mcp_tool_call_end").when(agent, "sub_agent_activity").otherwise(F.col("payload_type")),
+        "rec_type": F.when(server, "event_msg").otherwise(F.col("rec_type")), "ordinal": n,
+    }).drop("m_file", "thread")
+
+
+def rollout_variants(spark: SparkSession, d: str) -> DataFrame:
+    """The drafts of the varied rollout lines."""
+    drafts = rollout_drafts(varied_rollouts(spark, d))
+    return drafts.select("row_id", "event_type", "tool_family", "outcome", "duration_ms", "origin", "time_basis")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         rfc3339_fields, local_clock, identity_scalars, subject_scalars, session_votes, transcript_observations, transcript_gaps,
         rollout_observations, rollout_events, import_outcomes, transcript_outcomes, import_accounting, source_ranges, observation_counts, file_cursors, envelope_check, leaks,
         observation_leaks, record_inventory, finalised_observations, schema_check, import_summary, dry_run, hook_observations, hook_line_gaps, commit_observations, commit_line_outcomes,
-        commits_taken, commit_check, tier_check, record_leaks,
+        commits_taken, commit_check, tier_check, record_leaks, format_fingerprints, rollout_variants,
     )
 }
 
@@ -475,11 +516,31 @@ SQL = {
         UNION ALL SELECT row_id, 'bad subject' FROM c WHERE NOT coalesce(regexp_matches(subject, '^artifact/commit/cmt_[A-Za-z0-9]+$'), false)""",
     "tier_check": """SELECT row_id AS key, 'content_ref' AS field FROM observations WHERE coalesce(source_kind, '') <> 'media' AND origin IS NOT NULL
         UNION ALL SELECT row_id, 'message_ref' FROM observations WHERE coalesce(source_kind, '') <> 'media' AND workspace_ref IS NOT NULL""",
+    "format_fingerprints": """WITH j AS (SELECT vendor, file_ref, line_id, body::JSON AS b FROM meta_lines WHERE json_valid(body)),
+        m AS (SELECT vendor, file_ref, arg_min(b, line_id) FILTER (b->>'$.type' = 'session_meta') AS b FROM j GROUP BY ALL),
+        s AS (SELECT vendor, 'cli=' || coalesce(b->>'$.payload.cli_version', '?') || ';meta_keys=' || coalesce(array_to_string(list_sort(json_keys(b, '$.payload')), ','), 'none') AS signature FROM m WHERE vendor = 'codex'
+          UNION ALL SELECT vendor, 'version=' || string_agg(DISTINCT coalesce(b->>'$.version', '?'), ',' ORDER BY coalesce(b->>'$.version', '?')) FROM j WHERE vendor <> 'codex' GROUP BY vendor, file_ref)
+        SELECT vendor, signature, count(*) AS files FROM s GROUP BY ALL""",
+    "rollout_variants": f"""WITH base AS (SELECT *, payload_json->>'$.id' AS pid, payload_json->>'$.call_id' AS cid FROM rollouts),
+        th AS (SELECT file_ref, arg_min({{'v': pid}}, (line_no, row_id)).v AS thread, arg_min({{'v': row_id}}, (line_no, row_id)).v AS meta FROM base WHERE rec_type = 'session_meta' GROUP BY file_ref),
+        sub AS (SELECT DISTINCT thread FROM base JOIN th USING (file_ref) WHERE payload_type = 'task_started' AND line_no % 3 = 0 AND length(thread) > 0),
+        own AS (SELECT row_id, event_type, tool_family, outcome, duration_ms FROM ({_ROLLOUTS}) WHERE event_type <> 'tool.finished' AND event_type <> 'turn.completed'
+          UNION ALL SELECT row_id, 'tool.finished', 'mcp', CASE WHEN line_no % 2 = 0 THEN 'succeeded' ELSE 'failed' END, CASE WHEN line_no % 7 <> 0 THEN line_no * 1000 + (line_no * 1700000) // 1000000 END
+            FROM base WHERE payload_type = 'function_call_output' AND ts_raw IS NOT NULL
+          UNION ALL SELECT b.row_id, 'turn.completed', NULL, CASE WHEN json_exists(b.payload_json::JSON, '$.error') THEN 'failed' ELSE 'succeeded' END, CAST(b.payload_json->>'$.duration_ms' AS BIGINT)
+            FROM base b WHERE b.payload_type = 'task_complete' AND b.ts_raw IS NOT NULL AND EXISTS (FROM base s LEFT JOIN th USING (file_ref) WHERE s.payload_type = 'task_started' AND s.file_ref = b.file_ref
+              AND s.payload_json->>'$.turn_id' = b.payload_json->>'$.turn_id' AND NOT coalesce(s.line_no % 3 = 0 AND length(thread) > 0, false)))
+        SELECT o.row_id, o.event_type, o.tool_family, o.outcome, o.duration_ms,
+          CASE WHEN o.event_type = 'prompt.submitted' THEN CASE WHEN th.thread IN (FROM sub) THEN 'subagent' ELSE 'human' END END AS origin,
+          CASE WHEN th.meta % 2 <> 0 AND b.line_no < 4 THEN 'copied_at' END AS time_basis
+        FROM own o JOIN base b USING (row_id) LEFT JOIN th USING (file_ref)""",
     "record_leaks": " UNION ALL ".join(f"SELECT row_id, '{c}' AS field, '{n}' AS leak FROM transcripts WHERE regexp_matches({c}, '{p}')"
         for c in ("cwd", "content_json", "file_ref", "device_ref", "rec_uuid") for n, p in _LEAKS.items()),
     "record_inventory": """WITH v AS (SELECT CASE WHEN json_valid(body) THEN vendor END AS kind, strlen(body) AS b, CASE WHEN json_valid(body) THEN body::JSON END AS j FROM meta_lines),
+        w AS (SELECT *, CASE WHEN json_type(j, '$.payload') = 'OBJECT' THEN j->'$.payload' ELSE j END AS p FROM v),
+        x AS (SELECT *, CASE WHEN j IS NULL THEN NULL WHEN json_type(p, '$.uuid') = 'VARCHAR' THEN 'uuid' WHEN json_type(p, '$.timestamp') = 'VARCHAR' THEN 'timestamp' WHEN json_type(p, '$.type') = 'VARCHAR' THEN 'type' ELSE '' END AS c FROM w),
         f AS (SELECT kind, string_agg(k, ',' ORDER BY k) AS fields FROM (SELECT DISTINCT kind, unnest(json_keys(j)) AS k FROM v WHERE j IS NOT NULL) GROUP BY kind)
         SELECT v.kind, count(*) AS n, CAST(sum(b) AS BIGINT) AS bytes, coalesce(any_value(f.fields), '') AS fields,
-          CASE WHEN bool_and(j->>'$.uuid' IS NOT NULL) THEN 'uuid' WHEN bool_and(j->>'$.timestamp' IS NOT NULL) THEN 'timestamp' WHEN bool_and(j->>'$.type' IS NOT NULL) THEN 'type' END AS stable_id,
-          min(j->>'$.timestamp') AS first_time, max(j->>'$.timestamp') AS last_time FROM v LEFT JOIN f ON f.kind IS NOT DISTINCT FROM v.kind GROUP BY v.kind""",
+          CASE WHEN min(c) = max(c) AND count(c) = count(v.j) AND min(c) <> '' THEN min(c) END AS stable_id,
+          min(j->>'$.timestamp') AS first_time, max(j->>'$.timestamp') AS last_time FROM x v LEFT JOIN f ON f.kind IS NOT DISTINCT FROM v.kind GROUP BY v.kind""",
 }

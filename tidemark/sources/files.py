@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 OBJECT_ID = r"^sha256:[0-9a-f]{64}$"
@@ -81,6 +81,32 @@ def cursors(current: DataFrame, previous: DataFrame) -> DataFrame:
     return both.select("locator", F.when(same, F.col("cursor")).otherwise(0).alias("start_line"))
 
 
+def numbered_lines(spark: SparkSession, root: str, glob: str = "*.jsonl") -> DataFrame:
+    """``locator, line_no, line`` of every complete line below a folder, for files of any size.
+
+    Files are read by splits and no file is ever one row: lines are counted per split, and a prefix sum over a file's splits gives
+    each its first number. A last line without its newline is left out; one trailing return is stripped. Lines are in UTF-8.
+    """
+    meta = F.col("_metadata")
+    read = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).option("lineSep", "\n").text(root)
+    lines = read.select(
+        meta["file_path"].alias("locator"), meta["file_size"].alias("size"), meta["file_block_start"].alias("at"), F.monotonically_increasing_id().alias("m"), F.col("value").alias("line")
+    )
+    # Inside a split the reader hands out lines in order, so the order of their ids is the order of the lines.
+    local = lines.withColumn("k", F.row_number().over(Window.partitionBy("locator", "at").orderBy("m")))
+    per = local.groupBy("locator", "at").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("line") + 1).alias("b"), F.max("size").alias("size"))
+    before = Window.partitionBy("locator").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy("locator")
+    torn = F.sum("b").over(whole) > F.col("size")
+    splits = per.select(
+        F.col("locator").alias("__l"), F.col("at").alias("__a"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"),
+        F.when(torn, F.sum("n").over(whole)).alias("torn_line"),
+    )
+    placed = local.join(splits, (F.col("locator") == F.col("__l")) & (F.col("at") == F.col("__a"))).withColumn("line_no", F.col("offset") + F.col("k"))
+    kept = placed.where(F.col("torn_line").isNull() | (F.col("line_no") < F.col("torn_line")))
+    return kept.select("locator", "line_no", F.regexp_replace("line", r"\r$", "").alias("line"))
+
+
 def lines_after(snapshots: DataFrame, starts: DataFrame) -> DataFrame:
     """The lines of :func:`read_lines` behind each locator's ``start_line`` of :func:`cursors`; locators without one are not read."""
     from_line = starts.select(F.col("locator").alias("__l"), "start_line")
