@@ -24,6 +24,21 @@ P1 = f"""WITH RECURSIVE {_MESSAGES},
   SELECT chain.s AS session_id, CAST(no AS BIGINT) AS msg_no, u AS rec_uuid FROM chain JOIN good ON good.s = chain.s
   WHERE (SELECT count(*) FROM chain x WHERE x.s = chain.s) = good.n"""
 
+#: Rows without a session count as one scope; what hangs below a first message there is a conversation.
+_SCOPED = _MESSAGES.replace("FROM kept WHERE s IS NOT NULL)", "FROM (SELECT * REPLACE (coalesce(s, '') AS s) FROM kept))")
+P1_ALL = f"""WITH RECURSIVE {_SCOPED},
+  w AS (SELECT row_id, up, 0 AS d FROM l WHERE is_msg UNION ALL SELECT w.row_id, l.up, d + 1 FROM w JOIN l ON l.row_id = w.up WHERE NOT l.is_msg AND d < 500),
+  e AS (SELECT row_id, arg_max(up, d) AS up, max(d) AS d FROM w GROUP BY row_id),
+  m AS (SELECT l.row_id, l.s, l.role, l.says, CASE WHEN d >= 500 THEN -2 ELSE e.up END AS up FROM l JOIN e USING (row_id)),
+  below AS (SELECT row_id, row_id AS root FROM m WHERE s = '' AND up = -1 UNION ALL SELECT m.row_id, root FROM below JOIN m ON m.up = below.row_id),
+  v AS (SELECT m.*, CASE WHEN s <> '' THEN 'session/' || s ELSE 'component/' || min(m.row_id) OVER (PARTITION BY root) END AS conv FROM m LEFT JOIN below USING (row_id) WHERE s <> '' OR root IS NOT NULL),
+  c AS (SELECT up, count(*) AS children, bool_or(role = 'assistant' AND says) AS answered FROM m WHERE up >= 0 GROUP BY up),
+  good AS (SELECT conv, count(*) AS n FROM v LEFT JOIN c ON c.up = v.row_id GROUP BY conv HAVING count(*) FILTER (v.up = -1) = 1 AND count(*) FILTER (v.up = -2) = 0
+    AND max(coalesce(children, 0)) <= 1 AND count(*) FILTER (role = 'user' AND NOT coalesce(answered, false)) = 0),
+  chain AS (SELECT row_id, conv, role, 1 AS no FROM v WHERE up = -1 AND conv IN (SELECT conv FROM good) UNION ALL SELECT v.row_id, v.conv, v.role, no + 1 FROM chain JOIN v ON v.up = chain.row_id)
+  SELECT chain.conv AS conversation, count(*) AS n_messages, count(*) FILTER (role = 'user') AS n_prompts, arg_min(row_id, no) AS first_row, arg_max(row_id, no) AS last_row
+  FROM chain JOIN good ON good.conv = chain.conv GROUP BY chain.conv HAVING count(*) = any_value(good.n)"""
+
 #: Letters that look like Latin ones, as two equally long texts: plain ones, then some written with their accent.
 _LIKE = (
     "АВЕЅІЈКМНОРСТХҮԌԚԜаеѕіјорсухһԁԛԝүѵӏӀѴΑΒΕΖΗΙΚΜΝΟΡΤΥΧαγινορυϲϹϳͿօՕսոհցզՏԼՍɡɑёЁїЇόάίύΆΈΌΊ",
@@ -44,6 +59,7 @@ P10_CLASSES = rf"""WITH f AS (SELECT doc_id, text, {_FORM} AS form FROM document
 
 SQL = {
     "p1_found": P1,
+    "p1_conversations": P1_ALL,
     "p8_round_trip": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     "p8_spans": "SELECT doc_id, 0 AS first_char, CAST(length(text) AS INTEGER) AS last_char, 0 AS breaks FROM documents WHERE text <> ''",
     "p9_audit": "SELECT count(*) FILTER (text <> '') AS documents, 0 AS over_capacity, 0 AS over_window, 0 AS incomplete, 0 AS in_two_containers FROM documents",
