@@ -57,11 +57,18 @@ def p8_spans(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def p8_round_trip(spark: SparkSession, d: str) -> DataFrame:
+def p8_texts(spark: SparkSession, d: str) -> DataFrame:
     """The text of every document as it comes back from its ids; empty for a null text."""
     return decode(encode(table(spark, d, "documents"), tokenizer_path()), tokenizer_path())
 
 
+def p8_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Documents whose decoded ids are not their text: none."""
+    back = p8_texts(spark, d).withColumnRenamed("text", "back")
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return docs.join(back, "doc_id").where(F.coalesce("text", F.lit("")) != F.col("back")).select("doc_id", "text", "back")
+
+
 def p9_containers(spark: SparkSession, d: str) -> DataFrame:
     """Every piece of every document with its container and step group."""
     return pack(token_counts(table(spark, d, "documents"), tokenizer_path()))
@@ -95,6 +102,6 @@ def p10_text(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_conversations, p8_ids, p8_offsets, p8_spans, p8_round_trip, p9_containers, p9_steps, p9_audit, p10_found, p10_classes, p10_text,
+        p1_found, p1_conversations, p8_ids, p8_offsets, p8_spans, p8_texts, p8_round_trip, p9_containers, p9_steps, p9_audit, p10_found, p10_classes, p10_text,
     )
 }

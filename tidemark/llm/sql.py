@@ -60,7 +60,8 @@ P10_CLASSES = rf"""WITH f AS (SELECT doc_id, text, {_FORM} AS form FROM document
 SQL = {
     "p1_found": P1,
     "p1_conversations": P1_ALL,
-    "p8_round_trip": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
+    "p8_texts": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
+    "p8_round_trip": "SELECT doc_id, text, text AS back FROM documents WHERE coalesce(text, '') <> coalesce(text, '')",
     "p8_spans": "SELECT doc_id, 0 AS first_char, CAST(length(text) AS INTEGER) AS last_char, 0 AS breaks FROM documents WHERE text <> ''",
     "p9_audit": "SELECT count(*) FILTER (text <> '') AS documents, 0 AS over_capacity, 0 AS over_window, 0 AS incomplete, 0 AS in_two_containers FROM documents",
     "p10_found": P10,
