@@ -294,3 +294,31 @@ def test_a_shared_folder_is_asked_for(spark, monkeypatch, tmp_path):
     frame = kept.cut(spark.range(3), "t")
     assert frame.count() == 3 and scratch.release_all(spark) >= 1
     assert not kept._fs(kept.root).exists(kept._path(kept.root))
+
+
+def test_rename_signatures_find_like_values():
+    """Recall of the minimum-hash test over random pairs of value sets that are alike, and its silence over pairs that are not."""
+    from types import SimpleNamespace
+
+    from tidemark.operators.drift import _h64, _signature, same_kind
+
+    rng = random.Random(5)
+
+    def profile(values, n):
+        hashes = {_h64(v) for v in values}
+        return SimpleNamespace(json_type="string", n=n, field_path="x", values_=_signature(hashes), forms=_signature({_h64(v[:1] + str(len(v))) for v in values}))
+
+    def judged(share, forms_alike):
+        hits = 0
+        for k in range(200):
+            size = rng.randrange(20, 400)
+            common = [f"{k}-c{i}" + "z" * (i % 40) for i in range(round(size * share))]
+            rest = size - len(common)
+            old = [*common, *(f"{k}-a{i}" + "z" * (i % 40) for i in range(rest))]
+            new = [*common, *((f"{k}-b{i}" if forms_alike else f"#{k}{i}" * 9) + "z" * (i % 40) for i in range(rest))]
+            # Values repeat, so forms alone decide nothing.
+            hits += same_kind(profile(old, 10 * size), profile(new, 10 * size)) > 0
+        return hits / 200
+
+    assert judged(0.6, True) > 0.97 and judged(0.5, True) > 0.9
+    assert judged(0.02, False) < 0.05 and judged(0.0, True) == 0

@@ -13,6 +13,7 @@ from tidemark.plans import report as R
 from tidemark.functions.timecols import epoch_seconds
 from tidemark.sources import files, ledger, rollouts, snapshots, transcripts
 from tidemark.sources.events import EVENTS_SQL, events_as_observations
+from tidemark.scratch import Scratch
 from tidemark.tables import table
 
 MONTH = params.month("2024-01")
@@ -163,12 +164,36 @@ def legacy_rows(spark: SparkSession, d: str) -> DataFrame:
     return ledger.new_rows_only(lines, lines.where("vendor = 'codex'"), ["file_ref", "line_no"]).select("line_id")
 
 
+def _raw_files(spark: SparkSession, d: str) -> str:
+    """The meta lines written as raw files, a folder per vendor, in the shared folder; returns its root."""
+    lines = table(spark, d, "meta_lines").where("body is not null").select(F.col("vendor").alias("kind"), F.col("body").alias("value"))
+    return Scratch(spark).text(lines, "raw", ["kind"])
+
+
+def discovered_files(spark: SparkSession, d: str) -> DataFrame:
+    """Bytes of the raw files of each vendor, and whether each object is what its id names, after discovery and archiving."""
+    root = _raw_files(spark, d)
+    found = files.discover(spark, {k: f"{root}/kind={k}" for k in ("codex", "claude-code", "absent")}, "*.txt")
+    none = spark.createDataFrame([], "locator string, object_id string, content binary")
+    objects, fresh, _ = files.archive(found, none.select("object_id", "content"), none.select("locator", "object_id"))
+    held = snapshots.read_objects(fresh, objects)
+    return held.groupBy("kind").agg(F.sum(F.octet_length("content")).cast("bigint").alias("bytes"), F.min("intact").alias("intact"))
+
+
+def file_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Number and length of the lines of the raw files of each vendor, read by splits and numbered, and the lines whose number repeats (none)."""
+    lines = files.numbered_lines(spark, _raw_files(spark, d), "*.txt").withColumn("kind", F.regexp_extract("locator", "kind=([^/]+)", 1))
+    per_file = lines.groupBy("kind", "locator").agg(F.count(F.lit(1)).alias("n"), F.max("line_no").alias("last"), F.count_distinct("line_no").alias("numbers"), F.sum(F.octet_length("line")).alias("b"))
+    odd = F.when((F.col("n") != F.col("last")) | (F.col("n") != F.col("numbers")), 1).otherwise(0)
+    return per_file.groupBy("kind").agg(F.sum("n").alias("n_lines"), F.sum("b").cast("bigint").alias("bytes"), F.sum(odd).cast("bigint").alias("odd_files"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         tool_start_lookup, rollout_file_facts, rollout_call_starts, latest_lines, next_cursors, repository_labels, repository_paths, report_month,
         report_averages, observation_activity, snapshots_found, snapshot_counts, snapshot_observations, capture_range, observed_within, keys_present, id_collisions,
-        identity_registry, identity_displays, legacy_rows,
+        identity_registry, identity_displays, legacy_rows, discovered_files, file_lines,
     )
 }
 
@@ -223,4 +248,6 @@ SQL = {
     "identity_displays": """WITH k AS (SELECT repository_ref FROM observations WHERE profile = 'client' AND repository_ref IS NOT NULL)
         SELECT CASE WHEN repository_ref IN (FROM k) THEN sha256(repository_ref) ELSE repository_ref END AS name, count(*) AS n FROM observations GROUP BY 1""",
     "legacy_rows": """SELECT line_id FROM meta_lines a WHERE NOT EXISTS (FROM meta_lines b WHERE b.vendor = 'codex' AND b.file_ref = a.file_ref AND b.line_no = a.line_no)""",
+    "discovered_files": "SELECT vendor AS kind, CAST(sum(strlen(body) + 1) AS BIGINT) AS bytes, true AS intact FROM meta_lines WHERE body IS NOT NULL AND vendor IN ('codex', 'claude-code') GROUP BY vendor",
+    "file_lines": "SELECT vendor AS kind, count(*) AS n_lines, CAST(sum(strlen(body)) AS BIGINT) AS bytes, 0::BIGINT AS odd_files FROM meta_lines WHERE body IS NOT NULL GROUP BY vendor",
 }

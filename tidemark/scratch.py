@@ -76,20 +76,31 @@ class Scratch:
     def _fs(self, path: str):
         return self._path(path).getFileSystem(self.spark._jsc.hadoopConfiguration())
 
+    def _mark(self) -> None:
+        """Have the tables of this call deleted at the latest when the application ends."""
+        if not self.marked:
+            self._fs(self.root).deleteOnExit(self._path(self.root))
+            self.marked = True
+            _written.setdefault(self.spark.sparkContext.applicationId, []).append(self)
+
     def cut(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` and return it as read from the file; the version before last is deleted."""
         n = self.version.get(name, 0) + 1
         self.version[name] = n
         path = f"{self.root}/{name}-{n}"
         df.write.mode("overwrite").parquet(path)
-        if not self.marked:
-            self._fs(self.root).deleteOnExit(self._path(self.root))
-            self.marked = True
-            _written.setdefault(self.spark.sparkContext.applicationId, []).append(self)
+        self._mark()
         if n > 1:
             self.drop(f"{name}-{n - 1}")
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def text(self, df: DataFrame, name: str, by: list[str]) -> str:
+        """Write one text column as files of lines in a folder per value of ``by``; returns the folder of all."""
+        path = f"{self.root}/{name}"
+        df.write.mode("overwrite").partitionBy(*by).text(path)
+        self._mark()
+        return path
+
     def drop(self, leaf: str) -> None:
         """Delete one written table, wherever the folder lives."""
         self._fs(self.root).delete(self._path(f"{self.root}/{leaf}"), True)

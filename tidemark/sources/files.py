@@ -8,15 +8,15 @@ from pyspark.sql import functions as F
 OBJECT_ID = r"^sha256:[0-9a-f]{64}$"
 
 
-def discover(spark: SparkSession, roots: dict[str, str]) -> DataFrame:
-    """``kind, locator, content, object_id`` of every ``*.jsonl`` below the roots; a missing root has none."""
+def discover(spark: SparkSession, roots: dict[str, str], glob: str = "*.jsonl") -> DataFrame:
+    """``kind, locator, content, object_id`` of every file of the pattern below the roots; a missing root has none."""
     jvm = spark._jvm
     out = spark.createDataFrame([], "kind string, locator string, content binary")
     for kind, root in roots.items():
         path = jvm.org.apache.hadoop.fs.Path(root)
         if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
             continue
-        found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").load(root)
+        found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
         out = out.unionByName(found.select(F.lit(kind).alias("kind"), F.col("path").alias("locator"), "content"))
     return out.withColumn("object_id", object_id(F.col("content")))
 
