@@ -313,3 +313,11 @@ def test_readable_text_keeps_scripts():
 def test_forms_of_documents(spark):
     got = {r.doc_id: (r.consistent, r.readable) for r in consistent_text(docs(spark, [None, "", "ключ", "Тһе"])).collect()}
     assert got[0] == (None, None) and got[1] == ("", "") and got[2][1] == "ключ" and got[2][0] == Transducer().apply("ключ") and got[3] == ("The", "The")
+
+
+def test_tokenizer_is_read_from_the_sent_copy(spark):
+    from tidemark.llm import encode as E
+
+    path = E.send(docs(spark, ["x"]), tokenizer_path())
+    missing = "/no/such/folder/" + path.rsplit("/", 1)[-1]
+    assert E.load(missing).get_vocab_size() == load(path).get_vocab_size()

@@ -31,15 +31,29 @@ def tokenizer_path(name: str = "byte_bpe_50k.json", folder: str | None = None) -
 
 
 _loaded: dict = {}
+_sent: set[tuple[str, str]] = set()
+
+
+def send(df: DataFrame, path: str) -> str:
+    """Send a tokenizer file to the executors, once per application, and return its path."""
+    context = df.sparkSession.sparkContext
+    if (context.applicationId, path) not in _sent:
+        context.addFile(path)
+        _sent.add((context.applicationId, path))
+    return path
 
 
 def load(path: str):
-    """The tokenizer of a file, once per worker process; its special strings are ordinary text."""
+    """The tokenizer of a file, once per worker process; its special strings are ordinary text.
+
+    Where the machine has no such file, the copy that :func:`send` sent is read.
+    """
     if path not in _loaded:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from pyspark import SparkFiles
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
+        tokenizer = Tokenizer.from_file(path if os.path.exists(path) else SparkFiles.get(os.path.basename(path)))
         tokenizer.encode_special_tokens = True
         _loaded[path] = tokenizer
     return _loaded[path]
@@ -72,10 +86,10 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
         for batch in batches:
             at = 0
             for lists in id_lists(batch.column(1).to_pylist(), path):
-                ids = pa.array(lists, pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(lists)), ids], names=[key, "ids"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(lists)), pa.array(lists, pa.list_(pa.int32()))], names=[key, "ids"])
                 at += len(lists)
 
+    path = send(docs, path)
     return docs.select(key, text).mapInArrow(run, f"`{key}` bigint, ids array<int>")
 
 
@@ -89,6 +103,7 @@ def token_counts(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
                 counts += map(len, tokenizer.encode_batch_fast(group, add_special_tokens=False))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64())], names=[key, "n_tokens"])
 
+    path = send(docs, path)
     return docs.select(key, text).mapInArrow(run, f"`{key}` bigint, n_tokens bigint")
 
 
@@ -117,6 +132,7 @@ def token_offsets(docs: DataFrame, path: str, key: str = "doc_id", text: str = "
                     [pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=[key, "pos", "id", "char_from", "char_to"]
                 )
 
+    path = send(docs, path)
     return docs.select(key, text).mapInArrow(run, f"`{key}` bigint, pos int, id int, char_from int, char_to int")
 
 
@@ -145,4 +161,5 @@ def decode(encoded: DataFrame, path: str, key: str = "doc_id", ids: str = "ids")
             ]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=[key, "text"])
 
+    path = send(encoded, path)
     return encoded.select(key, ids).mapInArrow(run, f"`{key}` bigint, text string")
