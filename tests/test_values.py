@@ -112,6 +112,13 @@ def test_scalars(spark):
     assert [one(spark, S.end_reason(F.lit(x).cast("string"))) for x in ("crash", "logout", None)] == ["crash", "unknown", "unknown"]
 
 
+def test_event_names_of_a_namespace(spark):
+    from tidemark.schema import event_name
+
+    full = F.lit(event_name("tool.started", "own"))
+    assert [one(spark, S.short_event(full, n)) for n in (None, "own", "other")] == ["tool.started", "tool.started", ""]
+
+
 def test_leaks(spark):
     df = spark.createDataFrame([(1, "mail a@b.io"), (2, "sha " + "a" * 40), (3, "digest " + "a" * 64), (4, "password: x Bearer abcdefghi"), (5, None), (6, "")], "k bigint, t string")
     assert {tuple(r) for r in leak_scan(df, "k", "t").collect()} == {(1, "email"), (2, "raw_commit_sha"), (4, "password_kv"), (4, "bearer")}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -55,9 +57,10 @@ def session_ref(subject: Column) -> Column:
     return F.nullif(F.regexp_extract(subject, r"^session/([^/]*)", 1), F.lit(""))
 
 
-def short_event(event_type: Column) -> Column:
-    """The short name of a full event type, empty for any other text."""
-    return F.regexp_extract(event_type, EVENT_FORM, 1)
+def short_event(event_type: Column, namespace: str | None = None) -> Column:
+    """The short name of a full event type, of one namespace or of any; empty for any other text."""
+    form = EVENT_FORM if namespace is None else EVENT_FORM.replace("[a-z]+", re.escape(namespace))
+    return F.regexp_extract(event_type, form, 1)
 
 
 def plausible_label(label: Column) -> Column:
