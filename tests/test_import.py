@@ -125,6 +125,11 @@ def test_hook_gaps_and_their_order(spark):
     assert gaps[4].time == "2024-06-01T00:00:00Z" and gaps[3].dedupe_key == "claude-code|dev_7|source.gap|o3|line:3" and gaps[5].reason == "receiver_error_unrecognized"
 
 
+def test_spool_facts(spark):
+    lines = spark.createDataFrame([(2, '{"received_at": "b"}'), (1, '{"received_at": "a"}'), (3, "torn")], "line_no int, line string")
+    assert live.spool_facts(lines, 1).first().asDict() == {"drained": 2, "begins_at": "a"} and live.spool_facts(lines.limit(0)).first().asDict() == {"drained": 0, "begins_at": None}
+
+
 def test_commit_gaps_and_limits(spark):
     cols = "repository string, commit string, author_time string, files_changed bigint, insertions bigint, deletions bigint"
     df = spark.createDataFrame([("r", "c", AT, 1, 2, None), ("r", "d", AT, None, 1, 1), (None, None, AT, 0, 0, 0), ("r", "e", None, 0, 0, 0)], cols)

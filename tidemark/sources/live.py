@@ -59,6 +59,15 @@ def hook_drafts(records: DataFrame, device: str, home: str = HOME) -> DataFrame:
     )
 
 
+def spool_facts(lines: DataFrame, start_line: int = 0, line_no: str = "line_no", line: str = "line") -> DataFrame:
+    """One row: ``drained``, the lines behind the cursor, and ``begins_at``, the receipt of the very first line, before which nothing was captured.
+
+    ``begins_at`` is null of an empty spool or an unreadable first line.
+    """
+    at = F.get_json_object(line, "$.received_at")
+    return lines.agg(F.count_if(F.col(line_no) > start_line).alias("drained"), F.min_by(at, line_no).alias("begins_at"))
+
+
 #: Hook events with a case, and the reference each of them needs.
 HOOKS = {"SessionStart": None, "SessionEnd": None, "UserPromptSubmit": "prompt_id", "Stop": "prompt_id", "StopFailure": "prompt_id",
          "PreToolUse": "tool_use_id", "PostToolUse": "tool_use_id", "PostToolUseFailure": "tool_use_id"}
