@@ -46,7 +46,8 @@ def _repeated(hashed: DataFrame) -> DataFrame:
 def _ranked(members: DataFrame, order: Column) -> tuple[DataFrame, DataFrame]:
     """(first rows, further rows) of repeated groups, members carrying their group's COUNT."""
     buckets = F.ceil(F.col(COUNT) / F.lit(GROUP_AT_ONCE))
-    cut = members.withColumn(BUCKET, F.pmod(F.xxhash64(order), buckets))
+    # The join leaves a group in one task, which would do for the window: the buckets are spread on purpose.
+    cut = members.withColumn(BUCKET, F.pmod(F.xxhash64(order), buckets)).repartition(H1, H2, BUCKET)
     inside = Window.partitionBy(H1, H2, BUCKET).orderBy(order)
     local = cut.withColumn(RANK, F.row_number().over(inside))
     # The first row of each bucket competes once more: one row per bucket of a group.
