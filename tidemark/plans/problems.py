@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.identifiers import canonical_uuid
+from tidemark.functions.steps import step
 from tidemark.operators.activity import activity_sessions
 from tidemark.operators.blocks import block_table
 from tidemark.operators.copies import duplicate_rows, kept_rows, transcript_key
@@ -66,9 +67,12 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
         F.regexp_extract("subject", r"^session/([^/]+)", 1).alias("session_ref"),
         F.regexp_extract("source_uri", DEVICE_OF_URI, 1).alias("device"),
     )
-    kept = kept_rows(rows, [F.col("dedupe_key")], F.col("row_id")).where(F.col("session_ref") != "")
-    timed = normalise_instants(kept, table(spark, d, "devices"), "obs_time", "device")
-    return activity_sessions(timed, ["source_kind", "session_ref"], "epoch_us")
+    kept = kept_rows(rows, [F.col("dedupe_key")], F.col("row_id"))
+    # A step of its own, which a filter does not pass: singletons and repeated groups then need the same columns and
+    # rows, and share one shuffle of them.
+    named = step(kept, session=F.col("session_ref"), one=F.when(F.col("row_id").isNotNull(), 1)).where("session <> ''")
+    timed = normalise_instants(named, table(spark, d, "devices"), "obs_time", "device")
+    return activity_sessions(timed, ["source_kind", "session_ref"], "epoch_us", count="one")
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
