@@ -9,7 +9,7 @@ boundary splits a character.
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -72,11 +72,18 @@ def grouped(texts: list[str | None]) -> Iterator[list[str]]:
         yield group
 
 
-def id_lists(texts: list[str | None], path: str) -> Iterator[list[list[int]]]:
-    """Token ids of each text by group, without special tokens; empty for an empty and for a null text."""
+def encoded_once(texts: list[str | None], path: str, take: Callable) -> Iterator[list]:
+    """``take`` of the encoding of each text by group, without special tokens; copies of a text in a group are encoded once."""
     tokenizer = load(path)
     for group in grouped(texts):
-        yield [encoded.ids for encoded in tokenizer.encode_batch_fast(group, add_special_tokens=False)]
+        distinct = list(dict.fromkeys(group))
+        found = dict(zip(distinct, map(take, tokenizer.encode_batch_fast(distinct, add_special_tokens=False)), strict=True))
+        yield [found[t] for t in group]
+
+
+def id_lists(texts: list[str | None], path: str) -> Iterator[list[list[int]]]:
+    """Token ids of each text by group; empty for an empty and for a null text."""
+    return encoded_once(texts, path, lambda encoded: encoded.ids)
 
 
 def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -98,9 +105,7 @@ def token_counts(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tokenizer, counts = load(path), []
-            for group in grouped(batch.column(1).to_pylist()):
-                counts += map(len, tokenizer.encode_batch_fast(group, add_special_tokens=False))
+            counts = [n for group in encoded_once(batch.column(1).to_pylist(), path, len) for n in group]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64())], names=[key, "n_tokens"])
 
     path = send(docs, path)
