@@ -103,11 +103,14 @@ def _h64(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "little")
 
 
-def _form(value) -> str:
-    text = value if isinstance(value, str) else json_text(value)
+def _form(text: str) -> str:
     return re.sub(r"[0-9A-Za-z]+", "", text) + f"#{len(text)}"
 
 
+def _forms(texts: set[str]) -> set[str]:
+    return {_form(t) for t in texts}
+
+
 def _signature(hashes: set[int]) -> list[int]:
     x = np.fromiter(hashes, np.uint64, len(hashes))
     mixed = x[:, None] * _MULTIPLY + _ADD
@@ -135,15 +138,15 @@ def field_profiles(lines: DataFrame) -> DataFrame:
                 for path, value in leaves(record):
                     if path == RECORD[vendor][1]:
                         continue
-                    known = seen.setdefault((vendor, version, utf8(path), json_type(value)), [0, set(), set(), 0])
+                    known = seen.setdefault((vendor, version, utf8(path), json_type(value)), [0, set(), 0])
                     known[0] += 1
-                    known[3] |= number_bits(value)
-                    known[1].add(_h64(value if isinstance(value, str) else json_text(value, sort_keys=True)))
-                    known[2].add(_h64(_form(value)))
+                    known[1].add(value if isinstance(value, str) else json_text(value, sort_keys=True))
+                    known[2] |= number_bits(value)
             keys = list(zip(*seen, strict=True)) or [()] * 4
             yield pa.RecordBatch.from_arrays(
-                [pa.array(list(k), t) for k, t in zip([*keys, [v[0] for v in seen.values()], [v[3] for v in seen.values()]], kinds, strict=True)]
-                + [pa.array([_signature(v[i]) for v in seen.values()], pa.list_(pa.int64())) for i in (1, 2)],
+                [pa.array(list(k), t) for k, t in zip([*keys, [v[0] for v in seen.values()], [v[2] for v in seen.values()]], kinds, strict=True)]
+                # Each distinct value of a batch is hashed once, each distinct form too.
+                + [pa.array([_signature({_h64(x) for x in of(v[1])}) for v in seen.values()], pa.list_(pa.int64())) for of in (set, _forms)],
                 names=[*names, "values", "forms"],
             )
 
