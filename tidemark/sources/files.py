@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.scratch import Scratch
+
 OBJECT_ID = r"^sha256:[0-9a-f]{64}$"
 
 
@@ -81,28 +83,41 @@ def cursors(current: DataFrame, previous: DataFrame) -> DataFrame:
     return both.select("locator", F.when(same, F.col("cursor")).otherwise(0).alias("start_line"))
 
 
+#: Splits whose first numbers are sent to every task; beyond that they are joined by a shuffle.
+SPLITS_TO_SEND = 200_000
+
+
 def numbered_lines(spark: SparkSession, root: str, glob: str = "*.jsonl") -> DataFrame:
     """``locator, line_no, line`` of every complete line below a folder, for files of any size.
 
-    Files are read by splits and no file is ever one row: lines are counted per split, and a prefix sum over a file's splits gives
-    each its first number. A last line without its newline is left out; one trailing return is stripped. Lines are in UTF-8.
+    Files are read by splits and no file is ever one row. A task hands out a split's lines in order under consecutive ids, so a line's
+    number is its id less the split's lowest, plus the lines of the file's splits before, which a prefix sum over splits gives: lines
+    themselves are not shuffled. Should the splits of the second reading differ from those counted (small inputs are split by the number of
+    cores, which may change), the reading fails with a message and loses nothing. A last line without its newline is left out; one trailing return is stripped. Lines are in UTF-8. The
+    splits are counted in a job of their own while the frame is being built.
     """
     meta = F.col("_metadata")
     read = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).option("lineSep", "\n").text(root)
     lines = read.select(
         meta["file_path"].alias("locator"), meta["file_size"].alias("size"), meta["file_block_start"].alias("at"), F.monotonically_increasing_id().alias("m"), F.col("value").alias("line")
     )
-    # Inside a split the reader hands out lines in order, so the order of their ids is the order of the lines.
-    local = lines.withColumn("k", F.row_number().over(Window.partitionBy("locator", "at").orderBy("m")))
-    per = local.groupBy("locator", "at").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("line") + 1).alias("b"), F.max("size").alias("size"))
+    per = lines.groupBy("locator", "at").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("line") + 1).alias("b"), F.max("size").alias("size"), F.min("m").alias("m0")
+    )
+    per = Scratch(spark).cut(per, "splits")
     before = Window.partitionBy("locator").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy("locator")
     torn = F.sum("b").over(whole) > F.col("size")
     splits = per.select(
-        F.col("locator").alias("__l"), F.col("at").alias("__a"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"),
+        F.col("locator").alias("__l"), F.col("at").alias("__a"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"), "n", "m0",
         F.when(torn, F.sum("n").over(whole)).alias("torn_line"),
     )
-    placed = local.join(splits, (F.col("locator") == F.col("__l")) & (F.col("at") == F.col("__a"))).withColumn("line_no", F.col("offset") + F.col("k"))
+    if per.count() <= SPLITS_TO_SEND:
+        splits = F.broadcast(splits)
+    placed = lines.join(splits, (F.col("locator") == F.col("__l")) & (F.col("at") == F.col("__a")), "left")
+    k = F.col("m") - F.col("m0") + 1
+    number = F.when(F.coalesce(k.between(1, F.col("n")), F.lit(False)), F.col("offset") + k).otherwise(F.raise_error(F.lit("the splits changed between two readings: read again")).cast("bigint"))
+    placed = placed.withColumn("line_no", number)
     kept = placed.where(F.col("torn_line").isNull() | (F.col("line_no") < F.col("torn_line")))
     return kept.select("locator", "line_no", F.regexp_replace("line", r"\r$", "").alias("line"))
 
