@@ -99,9 +99,14 @@ def p10_text(spark: SparkSession, d: str) -> DataFrame:
     return consistent_text(table(spark, d, "documents")).select("doc_id", "consistent", "readable")
 
 
+def p10_keys(spark: SparkSession, d: str) -> DataFrame:
+    """The one form of every text for comparisons."""
+    return consistent_text(table(spark, d, "documents"), readable=False).select("doc_id", "consistent")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_conversations, p8_ids, p8_offsets, p8_spans, p8_texts, p8_round_trip, p9_containers, p9_steps, p9_audit, p10_found, p10_classes, p10_text,
+        p1_found, p1_conversations, p8_ids, p8_offsets, p8_spans, p8_texts, p8_round_trip, p9_containers, p9_steps, p9_audit, p10_found, p10_classes, p10_keys, p10_text,
     )
 }

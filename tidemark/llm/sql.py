@@ -44,12 +44,22 @@ _LIKE = (
     "АВЕЅІЈКМНОРСТХҮԌԚԜаеѕіјорсухһԁԛԝүѵӏӀѴΑΒΕΖΗΙΚΜΝΟΡΤΥΧαγινορυϲϹϳͿօՕսոհցզՏԼՍɡɑёЁїЇόάίύΆΈΌΊ",
     "ABESIJKMHOPCTXYGQWaesijopcyxhdqwyvlIVABEZHIKMNOPTYXayivopucCjJoOunhgqSLUgaëËïÏóáíúÁÉÓÍ",
 )
-_FORM = rf"""nfc_normalize(translate(replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(translate(text,
+#: A joiner between two pictures is part of what is shown: it is set aside while the others go.
+_PICTURE = r"[\x{1F000}-\x{1FAFF}\x{2600}-\x{27BF}][\x{FE0F}\x{1F3FB}-\x{1F3FF}]*"
+
+
+def _apart(text: str) -> str:
+    """SQL that replaces the joiner between two pictures by a private character."""
+    return "regexp_replace(" + text + ", '(" + _PICTURE + r")\x{200d}(" + _PICTURE + r")', '\1' || chr(57344) || '\2', 'g')"
+
+
+_TEXT = _apart(_apart("text"))
+_FORM = rf"""nfc_normalize(translate(replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(translate({_TEXT},
     array_to_string(list_transform(range(65281, 65375), lambda c: chr(c::INT)), '') || chr(12288), array_to_string(list_transform(range(33, 127), lambda c: chr(c::INT)), '') || ' '),
     '[\x{{00ad}}\x{{034f}}\x{{061c}}\x{{115f}}\x{{1160}}\x{{17b4}}\x{{17b5}}\x{{180b}}-\x{{180f}}\x{{200b}}-\x{{200c}}\x{{200e}}-\x{{200f}}\x{{202a}}-\x{{202e}}\x{{2060}}-\x{{206f}}\x{{fe00}}-\x{{fe0e}}\x{{feff}}]', '', 'g'),
     '[\x{{00a0}}\x{{2000}}-\x{{200a}}\x{{202f}}\x{{205f}}]', ' ', 'g'), '[\x{{2010}}\x{{2011}}]', '-', 'g'), '\x{{200d}}', '', 'g'),
     'ﬀ', 'ff'), 'ﬁ', 'fi'), 'ﬂ', 'fl'), 'ﬃ', 'ffi'), 'ﬄ', 'ffl'), 'ﬅ', 'st'), 'ﬆ', 'st'),
-    '{_LIKE[0]}µτπ', '{_LIKE[1]}μтп'))"""
+    '{_LIKE[0]}µτπ' || chr(57344), '{_LIKE[1]}μтп' || chr(8205)))"""
 P10 = rf"""WITH f AS (SELECT doc_id, text, {_FORM} AS form FROM documents WHERE text IS NOT NULL),
   v AS (SELECT * FROM f WHERE regexp_matches(form, '[^\s\p{{Z}}\p{{Cc}}]')),
   r AS (SELECT form, text, min(doc_id) AS rep FROM v GROUP BY form, text)
@@ -66,4 +76,5 @@ SQL = {
     "p9_audit": "SELECT count(*) FILTER (text <> '') AS documents, 0 AS over_capacity, 0 AS over_window, 0 AS incomplete, 0 AS in_two_containers FROM documents",
     "p10_found": P10,
     "p10_classes": P10_CLASSES,
+    "p10_keys": f"SELECT doc_id, {_FORM} AS consistent FROM documents",
 }
