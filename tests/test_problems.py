@@ -322,3 +322,10 @@ def test_rename_signatures_find_like_values():
 
     assert judged(0.6, True) > 0.97 and judged(0.5, True) > 0.9
     assert judged(0.02, False) < 0.05 and judged(0.0, True) == 0
+
+
+def test_activity_of_keys_with_any_name(spark):
+    df = spark.createDataFrame([(1, 2, 0, 9), (1, 2, 200, 9), (1, None, 900, 9), (1, 2, 900, 9)], "a int, n int, cell bigint, b int")
+    got = {tuple(r) for r in activity_sessions(df, ["a", "n"], "cell", 300).collect()}
+    assert got == {(1, 2, 0, 200, 2), (1, 2, 900, 900, 1), (1, None, 900, 900, 1)}
+    assert {tuple(r) for r in activity_sessions(df, ["a", "b"], "cell", 300, "n").collect()} == {(1, 9, 0, 200, 4), (1, 9, 900, 900, 2)}

@@ -28,28 +28,28 @@ def cell_of(at: Column, gap: int) -> Column:
 
 
 def cells(events: DataFrame, keys: Sequence[str], at: str, gap: int, count: str | None = None) -> DataFrame:
-    """``keys, cell, a, b, n``: first and last instant and number of events (or sum of ``count``) of every cell."""
+    """``keys, __cell, __a, __b, __n``: first and last instant and number of events (or sum of ``count``) of every cell."""
     at_col = F.col(at).cast("bigint")
     n = F.count(F.lit(1)) if count is None else F.sum(count)
     return (
         events.where(at_col.isNotNull())
-        .groupBy(*keys, cell_of(at_col, gap).alias("cell"))
-        .agg(F.min(at_col).alias("a"), F.max(at_col).alias("b"), n.alias("n"))
+        .groupBy(*keys, cell_of(at_col, gap).alias("__cell"))
+        .agg(F.min(at_col).alias("__a"), F.max(at_col).alias("__b"), n.alias("__n"))
     )
 
 
 def numbered(df: DataFrame, keys: Sequence[str], gap: int) -> DataFrame:
-    """``df(keys, a, b)`` plus ``__no``, the number of its session within the keys."""
-    order = Window.partitionBy(*keys).orderBy("a", "b")
-    away = F.col("a") - F.lag("b").over(order)
+    """``df(keys, __a, __b)`` plus ``__no``, the number of its session within the keys."""
+    order = Window.partitionBy(*keys).orderBy("__a", "__b")
+    away = F.col("__a") - F.lag("__b").over(order)
     flagged = df.withColumn("__flag", F.when(away > gap, 1).otherwise(0))
     return flagged.withColumn("__no", F.sum("__flag").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("__flag")
 
 
 def stretches(df: DataFrame, keys: Sequence[str], gap: int) -> DataFrame:
-    """``keys, a, b, n`` of the sessions of ``df(keys, a, b, n)``."""
+    """``keys, __a, __b, __n`` of the sessions of ``df(keys, __a, __b, __n)``."""
     per = numbered(df, keys, gap).groupBy(*keys, "__no")
-    return per.agg(F.min("a").alias("a"), F.max("b").alias("b"), F.sum("n").alias("n")).drop("__no")
+    return per.agg(F.min("__a").alias("__a"), F.max("__b").alias("__b"), F.sum("__n").alias("__n")).drop("__no")
 
 
 def activity_sessions(
@@ -62,14 +62,14 @@ def activity_sessions(
     column that says how many events a row stands for. The stretches of the buckets are written to the
     shared folder before the second pass.
     """
-    bucket = F.floor(F.col("cell") / F.lit(CELLS_AT_ONCE)).cast("bigint").alias("__bucket")
-    single = cells(events, keys, at_us, gap_us, count).select(*keys, bucket, "a", "b", "n")
+    bucket = F.floor(F.col("__cell") / F.lit(CELLS_AT_ONCE)).cast("bigint").alias("__bucket")
+    single = cells(events, keys, at_us, gap_us, count).select(*keys, bucket, "__a", "__b", "__n")
     inside = Window.partitionBy(*keys, "__bucket")
-    edge = (F.col("a") == F.min("a").over(inside)) | (F.col("b") == F.max("b").over(inside))
+    edge = (F.col("__a") == F.min("__a").over(inside)) | (F.col("__b") == F.max("__b").over(inside))
     local = stretches(single, [*keys, "__bucket"], gap_us).withColumn("__edge", edge)
     local = Scratch(events.sparkSession).cut(local, "stretches")
-    final = local.where(~F.col("__edge")).select(*keys, "a", "b", "n")
-    joined = stretches(local.where("__edge").select(*keys, "a", "b", "n"), list(keys), gap_us)
+    final = local.where(~F.col("__edge")).select(*keys, "__a", "__b", "__n")
+    joined = stretches(local.where("__edge").select(*keys, "__a", "__b", "__n"), list(keys), gap_us)
     return final.unionByName(joined).select(
-        *keys, F.col("a").alias("start_us"), F.col("b").alias("end_us"), F.col("n").alias("event_count")
+        *keys, F.col("__a").alias("start_us"), F.col("__b").alias("end_us"), F.col("__n").alias("event_count")
     )

@@ -60,25 +60,25 @@ def seconds(spans: DataFrame, by: Sequence[str], out: str) -> DataFrame:
 
 
 def cluster_cells(instants: DataFrame, by: Sequence[str], t: str = "instant", gap: int = CLUSTER_GAP) -> DataFrame:
-    """``by, cell, first, n``: every cell that holds instants, and the first instant of its cluster."""
+    """``by, __cell, first, __n``: every cell that holds instants, and the first instant of its cluster."""
     keys = [*by, "__bucket"]
-    single = cells(instants, by, t, gap).withColumn("__bucket", F.floor(F.col("cell") / F.lit(CELLS_AT_ONCE)).cast("bigint"))
+    single = cells(instants, by, t, gap).withColumn("__bucket", F.floor(F.col("__cell") / F.lit(CELLS_AT_ONCE)).cast("bigint"))
     inside = Window.partitionBy(*keys)
     local = numbered(single, keys, gap)
     run = Window.partitionBy(*keys, "__no")
-    lo, hi = F.min("a").over(run), F.max("b").over(run)
-    local = local.withColumns({"__a": lo, "__b": hi})
-    local = local.withColumn("__edge", (F.col("__a") == F.min("__a").over(inside)) | (F.col("__b") == F.max("__b").over(inside)))
-    local = Scratch(instants.sparkSession).cut(local.select(*by, "__bucket", "cell", "n", "__a", "__b", "__edge"), "cells")
-    line = Window.partitionBy(*by).orderBy("__a")
+    lo, hi = F.min("__a").over(run), F.max("__b").over(run)
+    local = local.withColumns({"__lo": lo, "__hi": hi})
+    local = local.withColumn("__edge", (F.col("__lo") == F.min("__lo").over(inside)) | (F.col("__hi") == F.max("__hi").over(inside)))
+    local = Scratch(instants.sparkSession).cut(local.select(*by, "__bucket", "__cell", "__n", "__lo", "__hi", "__edge"), "cells")
+    line = Window.partitionBy(*by).orderBy("__lo")
     stitched = (
-        local.where("__edge").select(*by, "__a", "__b").distinct()
-        .withColumn("__new", F.when(F.col("__a") - F.lag("__b").over(line) <= gap, F.lit(None)).otherwise(F.col("__a")))
-        .select(*[F.col(c).alias(f"__k_{c}") for c in by], F.col("__a").alias("__k"), F.last("__new", ignorenulls=True).over(line).alias("first"))
+        local.where("__edge").select(*by, "__lo", "__hi").distinct()
+        .withColumn("__new", F.when(F.col("__lo") - F.lag("__hi").over(line) <= gap, F.lit(None)).otherwise(F.col("__lo")))
+        .select(*[F.col(c).alias(f"__k_{c}") for c in by], F.col("__lo").alias("__k"), F.last("__new", ignorenulls=True).over(line).alias("first"))
     )
-    edged = local.where("__edge").join(stitched, (F.col("__a") == F.col("__k")) & _same(by, "__k_"))
-    inner = local.where("not __edge").withColumn("first", F.col("__a"))
-    out = [*by, "cell", "first", "n"]
+    edged = local.where("__edge").join(stitched, (F.col("__lo") == F.col("__k")) & _same(by, "__k_"))
+    inner = local.where("not __edge").withColumn("first", F.col("__lo"))
+    out = [*by, "__cell", "first", "__n"]
     return edged.select(*out).unionByName(inner.select(*out))
 
 
@@ -88,7 +88,7 @@ def labelled_clusters(instants: DataFrame, by: Sequence[str], t: str = "instant"
     Rows find their cluster by their cell, in a many-to-one join.
     """
     found = cluster_cells(instants, by, t, gap)
-    named = found.select(*[F.col(c).alias(f"__k_{c}") for c in by], F.col("cell").alias("__k_cell"), F.col("first").alias(out))
+    named = found.select(*[F.col(c).alias(f"__k_{c}") for c in by], F.col("__cell").alias("__k_cell"), F.col("first").alias(out))
     labelled = instants.withColumn("__cell", cell_of(F.col(t), gap)).join(named, (F.col("__cell") == F.col("__k_cell")) & _same(by, "__k_"), "left")
     return labelled.drop("__cell", "__k_cell", *[f"__k_{c}" for c in by])
 
