@@ -226,7 +226,7 @@ def commit_problems(rows: DataFrame) -> DataFrame:
 
 #: What a file of record shapes must hold, and the two things it must not.
 SHAPE_FIELDS = ("vendor", "variant", "description", "records")
-SHAPE_LEAKS = {"email-like value": r"[\w.+-]+@[\w-]+\.[\w.]+", "real-looking home path": r"/(?:Users|home)/(?!x\b|alice\b|dev\b)[\w.-]+"}
+SHAPE_LEAKS = {"holds an address": r"[\w.+-]+@[\w-]+\.[\w.]+", "holds a home directory": r"/(?:Users|home)/(?!x\b|alice\b|dev\b)[\w.-]+"}
 
 
 def shape_problems(files: DataFrame, name: str = "name", text: str = "text") -> DataFrame:
@@ -238,8 +238,8 @@ def shape_problems(files: DataFrame, name: str = "name", text: str = "text") ->
     v = F.try_parse_json(F.col(text))
     rows = step(files.select(name, text), __v=v)
     at = lambda path: F.try_variant_get("__v", path, "variant")
-    lacking = [F.when(F.coalesce(~F.array_contains(F.json_object_keys(text), f), F.lit(True)), F.lit(f"missing: {f}")) for f in SHAPE_FIELDS]
-    filled = F.when(at("$.records[0]").isNull(), F.lit("records must be a filled list"))
+    lacking = [F.when(F.coalesce(~F.array_contains(F.json_object_keys(text), f), F.lit(True)), F.lit(f"lacks {f}")) for f in SHAPE_FIELDS]
+    filled = F.when(at("$.records[0]").isNull(), F.lit("has no records"))
     leaked = [F.when(F.col(text).rlike(p), F.lit(n)) for n, p in SHAPE_LEAKS.items()]
-    found = F.when(F.col("__v").isNull(), F.array(F.lit("invalid json"))).otherwise(F.array(*lacking, filled, *leaked))
+    found = F.when(F.col("__v").isNull(), F.array(F.lit("unreadable"))).otherwise(F.array(*lacking, filled, *leaked))
     return rows.select(name, F.explode(F.filter(found, lambda x: x.isNotNull())).alias("problem"))

@@ -18,6 +18,8 @@ from tidemark.sources.live import MOST_COMMITS, SINCE_DAYS, parse_log
 #: Seconds any call may run, bytes of one log, and the references walked. A detached head is not walked.
 SECONDS, BYTES = 20, 8 * 1024 * 1024
 REFS = ("--branches", "--tags", "--remotes")
+#: What a log prints of each commit, and that it is walked without merges, oldest first, addresses taken literally.
+LOG = ("log", "--format=%H%x09%aI", "--shortstat", "--no-merges", "--reverse", "--fixed-strings")
 #: Why a repository gave no commits.
 OUTCOMES = ("missing", "not_a_repository", "no_commits_yet", "no_identity", "unreadable", "timed_out")
 SCHEMA = "repository string, outcome string, truncated boolean, line_no bigint, line string"
@@ -65,8 +67,8 @@ def scan(repository: str, path: str | None, days: int, most: int, seconds: float
         emails = list(dict.fromkeys(x.strip() for x in out.decode("utf-8", "replace").splitlines() if x.strip()))
         if not emails:
             return "no_identity", False, []
-        args = ["log", "--format=%H%x09%aI", "--shortstat", "--no-merges", "--reverse", f"--since={days}.days.ago", f"--max-count={most + 1}", "--fixed-strings"]
-        code, out, cut = _git(path, [*args, *REFS, *[f"--author=<{e}>" for e in emails]], seconds)
+        bounds = [f"--since={days}.days.ago", f"--max-count={most + 1}"]
+        code, out, cut = _git(path, [*LOG, *bounds, *REFS, *[f"--author=<{e}>" for e in emails]], seconds)
     except _Late:
         return "timed_out", False, []
     except OSError:
