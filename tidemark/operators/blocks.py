@@ -102,6 +102,7 @@ def json_text(value, **options) -> str:
         return json.dumps(value, **options)
     except RecursionError:
         pass
+    comma, colon = options.get("separators") or (", ", ": ")
     out: list[str] = []
     todo: list[tuple[bool, object]] = [(False, value)]
     while todo:
@@ -109,11 +110,11 @@ def json_text(value, **options) -> str:
         if is_text or not (x and isinstance(x, (list, dict))):
             out.append(x if is_text else json.dumps(x, **options))
         elif isinstance(x, list):
-            parts = [p for v in x for p in ((True, ", "), (False, v))][1:]
+            parts = [p for v in x for p in ((True, comma), (False, v))][1:]
             todo += [(True, "]"), *reversed(parts), (True, "[")]
         else:
             items = sorted(x.items()) if options.get("sort_keys") else x.items()
-            parts = [p for k, v in items for p in ((True, ", "), (True, json.dumps(k, **options) + ": "), (False, v))][1:]
+            parts = [p for k, v in items for p in ((True, comma), (True, json.dumps(k, **options) + colon), (False, v))][1:]
             todo += [(True, "}"), *reversed(parts), (True, "{")]
     return "".join(out)
 

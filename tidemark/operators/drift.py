@@ -281,7 +281,7 @@ def unified_table(lines: DataFrame, fields: list[tuple[str, str]]) -> DataFrame:
             return value
         if kind == "double":
             return float(value)
-        return utf8(value if isinstance(value, str) else json_text(value, ensure_ascii=False))
+        return utf8(value if isinstance(value, str) else json_text(value, ensure_ascii=False, separators=(",", ":")))
 
     def conform(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

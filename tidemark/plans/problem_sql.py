@@ -95,14 +95,14 @@ P3 = f"""WITH RECURSIVE {KEPT_TRANSCRIPTS},
   SELECT e.row_id, e.path AS block_path, coalesce(e.kind, '') AS block_type, coalesce(v.row_id, -1) AS use_row_id, coalesce(v.path, '') AS use_path
   FROM e LEFT JOIN uses v ON e.kind = 'tool_result' AND v.s = e.s AND v.id = e.use"""
 
-#: View ``leaf(vendor, ver, path, kind, val)``: the leaves of every readable record.
-_LEAVES = r"""WITH r AS (SELECT vendor, CASE WHEN json_valid(body) THEN CASE vendor WHEN 'codex' THEN body::JSON->'$.payload' WHEN 'claude-code' THEN body::JSON END END AS rec,
+#: View ``leaf(line_id, vendor, ver, path, kind, val)``: the leaves of every readable record.
+_LEAVES = r"""WITH r AS (SELECT line_id, vendor, CASE WHEN json_valid(body) THEN CASE vendor WHEN 'codex' THEN body::JSON->'$.payload' WHEN 'claude-code' THEN body::JSON END END AS rec,
     CASE vendor WHEN 'codex' THEN 'cli_version' ELSE 'version' END AS vf FROM meta_lines),
-  v AS (SELECT vendor, vf, rec, CASE WHEN json_type(rec->vf) = 'VARCHAR' AND regexp_matches(rec->>vf, '^\s*[vV]?\d+\.\d+\.\d+([^\d.]|$)')
+  v AS (SELECT line_id, vendor, vf, rec, CASE WHEN json_type(rec->vf) = 'VARCHAR' AND regexp_matches(rec->>vf, '^\s*[vV]?\d+\.\d+\.\d+([^\d.]|$)')
     THEN list_transform(regexp_extract_all(regexp_extract(rec->>vf, '\d+\.\d+\.\d+'), '\d+'), lambda x: x::INT) END AS ver FROM r WHERE json_type(rec) = 'OBJECT'),
-  t AS (SELECT vendor, ver, vf, j.fullkey, j.type, j.value FROM v, json_tree(rec) AS j
+  t AS (SELECT line_id, vendor, ver, vf, j.fullkey, j.type, j.value FROM v, json_tree(rec) AS j
     WHERE j.type NOT IN ('OBJECT', 'NULL') AND NOT regexp_matches(j.path, '\[\d+\]') AND NOT regexp_matches(j.fullkey, '\[\d+\]$')),
-  leaf AS (SELECT vendor, ver, replace(substr(fullkey, 3), '"', '') AS path,
+  leaf AS (SELECT line_id, vendor, ver, replace(substr(fullkey, 3), '"', '') AS path,
     CASE WHEN type IN ('VARCHAR', 'BOOLEAN', 'ARRAY') THEN CASE type WHEN 'VARCHAR' THEN 'string' ELSE lower(type) END ELSE 'number' END AS kind,
     CASE WHEN type = 'VARCHAR' THEN value->>'$' ELSE value::VARCHAR END AS val FROM t WHERE replace(substr(fullkey, 3), '"', '') <> vf)"""
 P4_FIELDS = _LEAVES + " SELECT vendor, array_to_string(ver, '.') AS cli_version, path AS field_path, kind AS json_type, count(*) AS n FROM leaf GROUP BY ALL"
@@ -134,3 +134,25 @@ P4_FOUND = (
     UNION ALL SELECT o.vendor, o.later, o.path, 'retyped', '' FROM old o JOIN new n ON o.vendor = n.vendor AND o.later = n.later AND o.path = n.path WHERE o.kind <> n.kind)
   SELECT vendor, array_to_string(later, '.') AS cli_version, path AS field_path, kind AS change_kind, np AS new_path FROM c"""
 )
+#: The fields of the meta lines and the types of those that are no text.
+_FIELDS = """agent.label agent_nickname agent_path approval base_instructions client_name context_window costUSD ctx_limit cwd dynamic_tools forked_from_id git.branch git.commit_hash git.head_sha
+  git.repository_url gitBranch git_branch history_mode id isMeta isSidechain message.content message.role message.usage.output_tokens model_provider multi_agent_version originator parent_thread_id
+  promptSource sandbox sessionId session_id source thread_source timestamp tools type userType uuid""".split()
+_TYPES = {"ctx_limit": "BIGINT", "message.usage.output_tokens": "BIGINT", "isMeta": "BOOLEAN"}
+
+
+def _names(fields: list[str]) -> list[str]:
+    """Column names: two that differ in case alone are told apart by a number."""
+    out: list[str] = []
+    for f in fields:
+        plain, taken = f.replace(".", "__"), {x.lower() for x in out}
+        out.append(plain if plain.lower() not in taken else f"{plain}__2")
+    return out
+
+
+P4_TABLE = (
+    _LEAVES
+    + " SELECT v.line_id, v.vendor, array_to_string(v.ver, '.') AS cli_version, "
+    + ", ".join(f"CAST(max(val) FILTER (path = '{f}') AS {_TYPES.get(f, 'VARCHAR')}) AS \"{n}\"" for f, n in zip(_FIELDS, _names(_FIELDS), strict=True))
+    + " FROM v LEFT JOIN leaf ON leaf.line_id = v.line_id GROUP BY v.line_id, v.vendor, v.ver"
+)

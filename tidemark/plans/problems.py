@@ -94,6 +94,7 @@ SQL = {
     "p2_found": problem_sql.P2,
     "p3_found": problem_sql.P3,
     "p4_found": problem_sql.P4_FOUND,
+    "p4_table": problem_sql.P4_TABLE,
     "p4_fields": problem_sql.P4_FIELDS,
     "p5_found": problem_sql.P5,
     "p6_found": """
