@@ -242,9 +242,12 @@ SQL = {
         count(DISTINCT repository) AS named_repositories, array_to_string(list_sort(list_distinct(list(source_kind))), '+') AS vendors FROM b3 LEFT JOIN att USING (block) GROUP BY b3.block""",
     "log_day_strips": _ANCHORS + f""", c AS (SELECT (instant + {OFFSET}) // 86400 AS local_day, repository, ((instant + {OFFSET}) % 86400) // 1800 AS cell, count(*) AS n,
           count(*) FILTER (route = 'anchor') AS prompts FROM live GROUP BY ALL),
-        s AS (SELECT local_day, min(cell) - min(cell) % 2 AS lo, least(max(cell) + 1 - max(cell) % 2, 47) AS hi, max(n) AS peak FROM c GROUP BY local_day),
-        g AS (SELECT local_day, repository, peak, unnest(range(lo, hi + 1)) AS cell FROM s JOIN (SELECT DISTINCT local_day, repository FROM c) USING (local_day)),
-        f AS (SELECT g.*, coalesce(n, 0) AS n, coalesce(prompts, 0) AS prompts FROM g LEFT JOIN c ON c.local_day = g.local_day AND c.cell = g.cell AND c.repository IS NOT DISTINCT FROM g.repository),
+        d AS (SELECT local_day, repository, min(cell) AS a, max(cell) AS b FROM c GROUP BY local_day, repository),
+        s AS (SELECT local_day, repository, min(a) OVER w AS a, max(b) OVER w AS b FROM d WINDOW w AS (PARTITION BY local_day)),
+        g AS (SELECT local_day, repository, unnest(range(a - a % 2, least(b + 1 - b % 2, 47) + 1)) AS cell FROM s),
+        e AS (SELECT local_day, repository, cell, CAST(sum(n) AS BIGINT) AS n, CAST(sum(prompts) AS BIGINT) AS prompts
+          FROM (SELECT local_day, repository, cell, n, prompts FROM c UNION ALL SELECT local_day, repository, cell, 0, 0 FROM g) GROUP BY local_day, repository, cell),
+        f AS (SELECT *, max(n) OVER (PARTITION BY local_day) AS peak FROM e),
         u AS (SELECT local_day, 'repository' AS row_kind, repository, cell, n, prompts, peak FROM f
           UNION ALL SELECT local_day, 'all', NULL, cell, CAST(sum(n) AS BIGINT), CAST(sum(prompts) AS BIGINT), any_value(peak) FROM f GROUP BY local_day, cell)
         SELECT local_day, row_kind, repository, cell, n, prompts, CASE WHEN n = 0 THEN 0 ELSE CAST(greatest(1, least(8, (16 * n + peak) // (2 * peak))) AS INTEGER) END AS level FROM u""",
